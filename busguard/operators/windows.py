@@ -25,6 +25,7 @@ order by (t, sequence, _ord).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,13 +152,14 @@ def add_state_features(df: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- stage 3
-DIST_SCHEMA = ("_bus string, _chunk bigint, _ord bigint, _d_n long, _d_s double, _d_k long, "
-               "_d_idmax long, _d_sigmax long")
+DIST_SCHEMA = ("_bus string, _chunk bigint, t bigint, sequence bigint, _ord bigint, _d_n long, _d_idn long, "
+               "_d_s double, _d_k long, _d_idmax long, _d_sigmax long")
 
 
-def _sweep_distributions(span_ns: int, halo_col: str = "_halo"):
-    """Grouped-map body: for every own row of a (bus, chunk) group, the id and signature
-    distributions of the frames in [t - span, t] (RANGE: equal times are peers).
+def _sweep_distributions(span_ns: int):
+    """Grouped-map body: for every own row of a (bus, chunk) group, counts over the frames in
+    [t - span, t] (RANGE: equal times are peers): all frames, frames of the row's id, distinct ids,
+    sum of c*log2(c) over id counts, largest id count and largest signature count.
 
     One pass over the time-sorted rows; each frame enters and leaves once and updates running
     counts, sum c*log2(c), distinct count and the maximum count (kept with a count-of-counts
@@ -169,15 +171,14 @@ def _sweep_distributions(span_ns: int, halo_col: str = "_halo"):
     import pandas as pd
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "_ord"], kind="stable")
+        pdf = pdf.sort_values(["t", "sequence", "_ord"], kind="stable")
         t = pdf["t"].to_numpy(dtype=np.int64)
         ids = pd.factorize(pdf[KEY])[0].tolist()
         sigs = pd.factorize(pdf["sig"])[0].tolist()
         n = len(t)
         cnt_i, cnt_s = [0] * (max(ids, default=0) + 1), [0] * (max(sigs, default=0) + 1)
         hist_i, hist_s = [0] * (n + 2), [0] * (n + 2)
-        out_n, out_s, out_k, out_mi, out_ms = (np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64),
-                                               np.zeros(n, np.int64), np.zeros(n, np.int64))
+        out_n, out_idn, out_s, out_k, out_mi, out_ms = ([0] * n, [0] * n, [0.0] * n, [0] * n, [0] * n, [0] * n)
         flog = [0.0] + [c * math.log2(c) for c in range(1, n + 2)]
         s, k, mi, ms = 0.0, 0, 0, 0
         lo = i = 0
@@ -228,33 +229,44 @@ def _sweep_distributions(span_ns: int, halo_col: str = "_halo"):
                 if c > 1:
                     hist_s[c - 1] += 1
                 lo += 1
-            out_n[i:j], out_s[i:j], out_k[i:j], out_mi[i:j], out_ms[i:j] = j - lo, s, k, mi, ms
+            for r in range(i, j):
+                out_n[r], out_idn[r], out_s[r], out_k[r], out_mi[r], out_ms[r] = j - lo, cnt_i[ids[r]], s, k, mi, ms
             i = j
-        res = pd.DataFrame({"_bus": pdf["_bus"].to_numpy(), "_chunk": pdf["_chunk"].to_numpy(),
-                            "_ord": pdf["_ord"].to_numpy(), "_d_n": out_n, "_d_s": out_s, "_d_k": out_k,
+        keep = ~pdf["_halo"].to_numpy()
+        res = pd.DataFrame({"_bus": pdf["_bus"].to_numpy(), "_chunk": pdf["_chunk"].to_numpy(), "t": t,
+                            "sequence": pdf["sequence"].to_numpy(), "_ord": pdf["_ord"].to_numpy(),
+                            "_d_n": out_n, "_d_idn": out_idn, "_d_s": out_s, "_d_k": out_k,
                             "_d_idmax": out_mi, "_d_sigmax": out_ms})
-        return res[~pdf[halo_col].to_numpy()]
+        return res[keep]
 
     return fn
 
 
-def window_distributions(df: DataFrame, params: DetectorParams) -> DataFrame:
-    """W4/W5/W6/W8 inputs per frame, from a narrow projection (bus, chunk, t, id, signature, row id)
-    spread over time chunks with the same halo as the window stage."""
+def time_halo(df: DataFrame, params: DetectorParams) -> DataFrame:
+    """Copy rows in the last ``halo_ns`` of their chunk into the next chunk (``_halo`` = copy)."""
     L, H = params.chunk_ns, params.halo_ns
-    narrow = df.select("_bus", "_chunk", "t", "_ord", KEY, "sig")
     copy = F.when(F.col("t") >= (F.col("_chunk") + 1) * F.lit(L) - F.lit(H), F.array(F.lit(0), F.lit(1))) \
         .otherwise(F.array(F.lit(0)))
-    ext = (narrow.withColumn("_copy", F.explode(copy))
-                 .withColumn("_chunk", F.col("_chunk") + F.col("_copy"))
-                 .withColumn("_halo", F.col("_copy") == 1).drop("_copy"))
-    return ext.groupBy("_bus", "_chunk").applyInPandas(_sweep_distributions(params.traffic_window_ns), DIST_SCHEMA)
+    return (df.withColumn("_copy", F.explode(copy))
+              .withColumn("_chunk", F.col("_chunk") + F.col("_copy"))
+              .withColumn("_halo", F.col("_copy") == 1).drop("_copy"))
 
 
-def _markers(seq: DataFrame, params: DetectorParams) -> DataFrame:
-    """Carry rows for look-backs that may reach past the previous chunk (see module doc)."""
+def window_distributions(df: DataFrame, params: DetectorParams) -> DataFrame:
+    """W3-W6/W8 counts per frame, from a narrow projection (bus, chunk, time, order, id, signature)
+    spread over time chunks with the same halo as the window stage."""
+    narrow = time_halo(df.select("_bus", "_chunk", "t", "sequence", "_ord", KEY, "sig"), params)
+    return narrow.groupBy("_bus", "_chunk").applyInPandas(_sweep_distributions(params.traffic_window_ns), DIST_SCHEMA)
+
+
+def _markers(base: DataFrame, seq: DataFrame, params: DetectorParams) -> DataFrame:
+    """Carry rows for look-backs that may reach past the previous chunk (see module doc).
+
+    ``base``: frames before stage 1 (bus and signature carries need no sequence position);
+    ``seq``: stage-2 output (3-gram carries).
+    """
     L, H = params.chunk_ns, params.halo_ns
-    real = seq.select("_bus", "_chunk", KEY, "sig", "ngram", "t", "sequence", "_ord")
+    real = base.select("_bus", "_chunk", KEY, "sig", "t", "sequence", "_ord")
     by_chunk = Window.partitionBy
     # previous frame on the bus before this chunk
     bus = real.groupBy("_bus", "_chunk").agg(
@@ -275,71 +287,77 @@ def _markers(seq: DataFrame, params: DetectorParams) -> DataFrame:
     sig = sig_here.unionByName(sig_next).filter(F.col("_mk_t").isNotNull()) \
         .withColumn("_kind", F.lit("sig"))
     # earlier sightings of a 3-gram before a chunk: count and last time
-    ng = real.filter(F.col("ngram").isNotNull()).groupBy("_bus", KEY, "ngram", "_chunk").agg(
+    ng = seq.select("_bus", "_chunk", KEY, "ngram", "t").filter(F.col("ngram").isNotNull()).groupBy("_bus", KEY, "ngram", "_chunk").agg(
         F.count(F.lit(1)).alias("_n"), F.max("t").alias("_t1"))
     wn = by_chunk("_bus", KEY, "ngram").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     ng = ng.select("_bus", "_chunk", KEY, "ngram", F.sum("_n").over(wn).alias("_mk_n"),
                    F.max("_t1").over(wn).alias("_mk_t")).filter(F.col("_mk_n").isNotNull()) \
         .withColumn("_kind", F.lit("ngram"))
-    return bus.unionByName(sig, allowMissingColumns=True).unionByName(ng, allowMissingColumns=True)
+    out = bus.unionByName(sig, allowMissingColumns=True).unionByName(ng, allowMissingColumns=True)
+    # a carry row sorts before every row of its chunk (halo included); a NULL time would make all
+    # carry rows one peer group at the head of every RANGE frame
+    return out.withColumn("t", F.col("_chunk") * F.lit(L) - F.lit(H) - F.lit(1))
 
 
-def add_traffic_features(seq: DataFrame, params: DetectorParams) -> DataFrame:
-    """W2-W9, W11, W12, W15, W16, W19 over time chunks with a halo; input from stage 2."""
+def add_traffic_features(base: DataFrame, seq: DataFrame, params: DetectorParams) -> DataFrame:
+    """W2-W9, W11, W12, W15, W16, W19 over time chunks with a halo; ``seq`` is the stage-2 output
+    of ``base`` (frames with bus and chunk).  Four window specs share one exchange on (bus, chunk)."""
     L, H, S = params.chunk_ns, params.halo_ns, params.traffic_window_ns
-    copy = F.when(F.col("t") >= (F.col("_chunk") + 1) * F.lit(L) - F.lit(H), F.array(F.lit(0), F.lit(1))) \
-        .otherwise(F.array(F.lit(0)))
-    ext = (seq.withColumn("_copy", F.explode(copy))
-              .withColumn("_chunk", F.col("_chunk") + F.col("_copy"))
-              .withColumn("_halo", F.col("_copy") == 1).drop("_copy")
-              .withColumn("_kind", F.lit("real")))
-    ext = ext.unionByName(_markers(seq, params), allowMissingColumns=True)
-    dist = window_distributions(seq, params).withColumn("_kind", F.lit("dist"))
+    ext = time_halo(seq, params).withColumn("_kind", F.lit("real"))
+    ext = ext.unionByName(_markers(base, seq, params), allowMissingColumns=True)
+    dist = window_distributions(base, params).withColumn("_kind", F.lit("dist"))
     ext = ext.unionByName(dist, allowMissingColumns=True)
-    real = F.col("_kind") == "real"
+    kind = F.col("_kind")
+    real = kind == "real"
     own = real & ~F.col("_halo")
-
-    bus_t = Window.partitionBy("_bus", "_chunk").orderBy("t")
-    bus_o = Window.partitionBy("_bus", "_chunk").orderBy(*ORDER)
-    bus_all = Window.partitionBy("_bus", "_chunk")
-    row_all = Window.partitionBy("_bus", "_chunk", "_ord")
+    before, after = Window.unboundedPreceding, Window.unboundedFollowing
+    # a distribution row sorts right before the frame it describes
+    rank = F.when(real, F.lit(1)).otherwise(F.lit(0))
+    bus_o = Window.partitionBy("_bus", "_chunk").orderBy(*ORDER, "_rank")
     id_t = Window.partitionBy("_bus", "_chunk", KEY).orderBy("t")
-    sig_o = Window.partitionBy("_bus", "_chunk", KEY, "sig").orderBy(*ORDER)
     sig_t = Window.partitionBy("_bus", "_chunk", KEY, "sig").orderBy("t")
-    sig_all = Window.partitionBy("_bus", "_chunk", KEY, "sig")
     ng_o = Window.partitionBy("_bus", "_chunk", KEY, "ngram").orderBy(*ORDER)
-    ng_all = Window.partitionBy("_bus", "_chunk", KEY, "ngram")
-    before = Window.unboundedPreceding
 
-    one_s = bus_t.rangeBetween(-S, 0)
+    def trailing(x: Column, w: Window, span: int) -> Column:
+        """sum of x over t in [t - span, t] as the difference of two running sums: both frames
+        start unbounded, which Spark evaluates incrementally (a sliding RANGE frame would
+        re-aggregate all w rows of the frame for every row)."""
+        upto = F.sum(x).over(w.rangeBetween(before, 0))
+        older = F.sum(x).over(w.rangeBetween(before, -(span + 1)))
+        return F.coalesce(upto, F.lit(0)) - F.coalesce(older, F.lit(0))
+
+    # spec 1 (bus order): previous frame on the bus (W19), distribution counts onto their frame
+    ext = ext.withColumn("_rank", rank)
+    cols = {"_prev_bus_id": F.coalesce(
+        F.last(F.when(real, F.col(KEY)), ignorenulls=True).over(bus_o.rowsBetween(before, -1)),
+        F.max(F.when(kind == "bus", F.col("_mk_id"))).over(bus_o.rowsBetween(before, after)))}
+    for c in ("_d_n", "_d_idn", "_d_s", "_d_k", "_d_idmax", "_d_sigmax"):
+        cols[c] = F.last(c, ignorenulls=True).over(bus_o.rowsBetween(before, 0))
+    ext = ext.withColumns(cols).filter(real | kind.isin("sig", "ngram"))
+    # spec 2 (id, signature): 3 s repeats (W12), previous sighting -> replay suspicion
     ext = ext.withColumns({
-        "_bus_n": F.count(F.when(real, 1)).over(one_s),
-        "_d_n": F.max("_d_n").over(row_all),
-        "_d_s": F.max("_d_s").over(row_all),
-        "_d_k": F.max("_d_k").over(row_all),
-        "_d_idmax": F.max("_d_idmax").over(row_all),
-        "_d_sigmax": F.max("_d_sigmax").over(row_all),
-        "_id_n": F.count(F.when(real, 1)).over(id_t.rangeBetween(-S, 0)),
-        "_sig_n3": F.count(F.when(real, 1)).over(sig_t.rangeBetween(-params.repeat_window_ns, 0)),
-        "_prev_bus_id": F.coalesce(F.last(F.when(real, F.col(KEY)), ignorenulls=True).over(bus_o.rowsBetween(before, -1)),
-                                   F.max(F.when(F.col("_kind") == "bus", F.col("_mk_id"))).over(bus_all)),
-        "_prev_sig_t": F.last(F.when(real, F.col("t")), ignorenulls=True).over(sig_o.rowsBetween(before, -1)),
-        "_sig_first_before": F.min(F.when(F.col("_kind") == "sig", F.col("_mk_t"))).over(sig_all),
-        "_ng_prev_t": F.last(F.when(own, F.col("t")), ignorenulls=True).over(ng_o.rowsBetween(before, -1)),
-        "_ng_before_n": F.count(F.when(own, 1)).over(ng_o.rowsBetween(before, -1)),
-        "_ng_mk_n": F.max(F.when(F.col("_kind") == "ngram", F.col("_mk_n"))).over(ng_all),
-        "_ng_mk_t": F.max(F.when(F.col("_kind") == "ngram", F.col("_mk_t"))).over(ng_all),
+        "_sig_n3": trailing(F.when(real, F.lit(1)).otherwise(F.lit(0)), sig_t, params.repeat_window_ns),
+        "_prev_sig_t": F.last(F.when(real, F.col("t")), ignorenulls=True).over(sig_t.rowsBetween(before, -1)),
+        "_sig_first_before": F.min(F.when(kind == "sig", F.col("_mk_t"))).over(sig_t.rowsBetween(before, after)),
     })
     suspicious = F.when(
         F.col("_prev_sig_t").isNotNull(),
         (F.col("t") - F.col("_prev_sig_t")) > F.lit(params.replay_suspicion_age_ns),
     ).otherwise(F.coalesce(F.col("_sig_first_before") < F.col("t"), F.lit(False)))
-    ext = ext.withColumn("_suspicious", F.when(real, suspicious.cast("int")))
-    ext = ext.withColumn("_replay_n", F.sum("_suspicious").over(id_t.rangeBetween(-S, 0)))
+    ext = ext.withColumn("_suspicious", F.when(real & suspicious, F.lit(1)).otherwise(F.lit(0)))
+    # spec 3 (id, time): suspicious frames of the id in the last second
+    ext = ext.withColumn("_replay_n", trailing(F.col("_suspicious"), id_t, S))
+    # spec 4 (id, 3-gram): earlier sightings and age of the last one
+    ext = ext.filter(real | (kind == "ngram")).withColumns({
+        "_ng_prev_t": F.last(F.when(own, F.col("t")), ignorenulls=True).over(ng_o.rowsBetween(before, -1)),
+        "_ng_before_n": F.count(F.when(own, 1)).over(ng_o.rowsBetween(before, -1)),
+        "_ng_mk_n": F.max(F.when(kind == "ngram", F.col("_mk_n"))).over(ng_o.rowsBetween(before, after)),
+        "_ng_mk_t": F.max(F.when(kind == "ngram", F.col("_mk_t"))).over(ng_o.rowsBetween(before, after)),
+    })
     out = ext.filter(own)
 
-    bus_total = F.least(F.col("_bus_n"), F.lit(params.bus_arrival_cap)).cast("double")
-    id_total = F.least(F.col("_id_n"), F.lit(params.id_arrival_cap)).cast("double")
+    bus_total = F.least(F.col("_d_n"), F.lit(params.bus_arrival_cap)).cast("double")
+    id_total = F.least(F.col("_d_idn"), F.lit(params.id_arrival_cap)).cast("double")
     n = F.col("_d_n").cast("double")
     entropy = F.log2(n) - F.col("_d_s") / n
     norm = F.log2(F.greatest(F.lit(2.0), F.col("_d_k").cast("double")))
@@ -364,12 +382,34 @@ def add_traffic_features(seq: DataFrame, params: DetectorParams) -> DataFrame:
                                           (F.col("t") - ng_prev).cast("double") / NS_PER_MS).otherwise(F.lit(0.0)),
     })
     out = out.withColumn("payload_repeat_score", F.least(F.lit(1.0), F.col("payload_signature_repeats_3s") / 12.0))
-    drop = [c for c in out.columns if c.startswith("_") and c not in ("_bus", "_ord", "_pos", "_chunk", "_n_gaps")]
-    return out.drop(*drop, "_kind", "_halo", "_mk_id", "_mk_t", "_mk_n")
+    keep = [c for c in out.columns if not c.startswith("_") or c in ("_ord", "_pos", "_n_gaps")]
+    return out.select(*keep)
+
+
+# Columns the window stages read; everything else rides along once, joined back on ``_ord``.
+NARROW = ["_bus", "_chunk", "t", "sequence", "_ord", KEY, "sig", "speed", "rpm", "coolant_temp",
+          "brake_pressure", "odometer_km"]
+STAGE_OUTPUTS = ["interarrival_ms", "_n_gaps", "rolling_interarrival_mean", "rolling_interarrival_std", "rolling_cv",
+                 "ngram", "speed_delta_mps2", "rpm_delta_per_second", "coolant_delta_per_second",
+                 "brake_drop_per_second", "odometer_rollback_flag", "state_transition_violation_score",
+                 "id_frequency_1s", "bus_frequency_1s", "id_entropy_1s", "dominant_id_ratio", "unique_ids_per_second",
+                 "bus_utilization", "repeated_id_ratio", "payload_repeat_ratio", "replay_signature_repeats_1s",
+                 "payload_signature_repeats_3s", "payload_repeat_score", "previous_bus_id",
+                 "payload_sequence_repeat_count", "payload_sequence_age_ms"]
 
 
 def frame_features(decoded: DataFrame, params: DetectorParams, keep_text: bool = False) -> DataFrame:
-    """All baseline-free features of SURVEY 2.D for decoded frames."""
-    df = with_chunk(with_bus(decoded, params), params)
-    seq = add_sequence_features(df, params, keep_text=keep_text)
-    return add_traffic_features(seq, params)
+    """All baseline-free features of SURVEY 2.D for decoded frames.
+
+    The three window stages see only the narrow columns; the wide frame (payload text, decoded
+    signals, labels) is joined back once on ``_ord``.  The narrow frame feeds stage 1 twice, the
+    distribution sweep and the carries, and the stage-2 rows feed stage 3 and the 3-gram carries,
+    so both are persisted (recomputed from lineage if an executor is lost).
+    """
+    wide = with_chunk(with_bus(decoded, params), params)
+    cols = NARROW + (["payload_signature"] if keep_text else [])
+    narrow = wide.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    seq = add_sequence_features(narrow, params, keep_text=keep_text).persist(StorageLevel.MEMORY_AND_DISK)
+    feats = add_traffic_features(narrow, seq, params)
+    outs = STAGE_OUTPUTS + (["ngram_text"] if keep_text else [])
+    return wide.join(feats.select("_ord", *outs), "_ord")
