@@ -138,5 +138,9 @@ def decode_frames(frames: DataFrame, params: DetectorParams | None = None,
     feats["payload_signature"] = payload_signature(pv)
     feats["has_raw_bytes"] = has_raw
     out = out.withColumns(feats)
-    out = out.withColumn("sig", F.xxhash64("payload_signature"))
+    out = out.withColumns({
+        "sig": F.xxhash64("payload_signature"),
+        "reserved_id_flag": reserved_id_flag("arbitration_id_numeric"),
+        "arbitration_priority_score": arbitration_priority_score("arbitration_id_numeric"),
+    })
     return out.drop("_pv")

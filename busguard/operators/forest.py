@@ -143,14 +143,15 @@ def fit_forest(vectors: DataFrame, params: DetectorParams, row_key: str = "_row"
 
 def scoring_udf(spark, forest: Forest):
     """M2: pandas UDF array<double> -> struct(score_samples, decision, prediction)."""
-    bc = spark.sparkContext.broadcast(forest)
+    # plain arrays travel as the broadcast; the class comes with the UDF closure (pickled by value)
+    bc = spark.sparkContext.broadcast(dict(vars(forest)))
     schema = T.StructType([T.StructField("score_samples", T.DoubleType()),
                            T.StructField("decision", T.DoubleType()),
                            T.StructField("prediction", T.IntegerType())])
 
     @F.pandas_udf(schema)
     def score(x: pd.Series) -> pd.DataFrame:
-        fo = bc.value
+        fo = Forest(**bc.value)
         if len(x) == 0:
             return pd.DataFrame({"score_samples": [], "decision": [], "prediction": []})
         mat = np.vstack(x.to_numpy()).astype(float)

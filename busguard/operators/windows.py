@@ -76,6 +76,11 @@ def add_sequence_features(df: DataFrame, params: DetectorParams, keep_text: bool
 
     Input needs ``_bus``, ``_chunk``, ``t``, signals, ``sig``.  Adds ``_pos`` (position in the id
     sequence) and the columns below; rows are unchanged.
+
+    The rolling gap statistics are exact: gaps are integer nanoseconds, their sums and sums of
+    squares over the last ``interarrival_rows`` gaps are decimal(38,0), taken as the difference of
+    two running totals (both growing frames, O(1) per row), and mean / population std come from one
+    final floating division.
     """
     rows = params.interarrival_rows
     block = params.block_rows
@@ -91,19 +96,24 @@ def add_sequence_features(df: DataFrame, params: DetectorParams, keep_text: bool
              .withColumn("_rhalo", F.col("_copy") == 1).drop("_copy"))
 
     w = Window.partitionBy(*keys, "_blk").orderBy("_pos")
-    roll = w.rowsBetween(-(rows - 1), 0)
-    prev_t = F.lag("t").over(w)
-    gap = (F.col("t") - F.col("_prev_t")).cast("double") / NS_PER_MS
-    ext = ext.withColumn("_prev_t", prev_t).withColumn("_gap", gap)
-    pos_gap = F.when(F.col("_gap") > 0, F.col("_gap"))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    older = w.rowsBetween(Window.unboundedPreceding, -rows)
+    ext = ext.withColumn("_prev_t", F.lag("t").over(w))
+    gap_ns = F.col("t") - F.col("_prev_t")
+    dec = "decimal(38,0)"
+    ext = ext.withColumns({
+        "_g": gap_ns,
+        "_gp": F.when(gap_ns > 0, gap_ns),
+    })
+    sums = {}
+    for name, x in (("a", F.col("_g")), ("p", F.col("_gp"))):
+        for stat, expr in (("n", F.count(x)), ("s1", F.sum(x.cast(dec))), ("s2", F.sum(x.cast(dec) * x.cast(dec)))):
+            zero = F.lit(0).cast(dec) if stat != "n" else F.lit(0)
+            sums[f"_{name}{stat}"] = F.coalesce(expr.over(upto), zero) - F.coalesce(expr.over(older), zero)
     lag1, lag2 = F.lag("sig", 1).over(w), F.lag("sig", 2).over(w)
     cols = {
-        "interarrival_ms": F.coalesce(F.col("_gap"), F.lit(0.0)),
-        "_n_gaps": F.count("_gap").over(roll),
-        "rolling_interarrival_mean": F.coalesce(F.avg("_gap").over(roll), F.lit(0.0)),
-        "rolling_interarrival_std": F.coalesce(F.stddev_pop("_gap").over(roll), F.lit(0.0)),
-        "_pos_gap_mean": F.avg(pos_gap).over(roll),
-        "_pos_gap_std": F.stddev_pop(pos_gap).over(roll),
+        "interarrival_ms": F.coalesce(gap_ns.cast("double") / NS_PER_MS, F.lit(0.0)),
+        **sums,
         "ngram": F.when(lag2.isNotNull(), F.xxhash64(lag2, lag1, F.col("sig"))),
         "_prev_speed": F.lag("speed").over(w),
         "_prev_rpm": F.lag("rpm").over(w),
@@ -117,12 +127,24 @@ def add_sequence_features(df: DataFrame, params: DetectorParams, keep_text: bool
             F.array(F.lag("payload_signature", 2).over(w), F.lag("payload_signature", 1).over(w),
                     F.col("payload_signature")))
     ext = ext.withColumns(cols)
-    ext = ext.withColumn(
-        "rolling_cv",
-        F.when(F.col("_pos_gap_mean") > 0, F.coalesce(F.col("_pos_gap_std"), F.lit(0.0)) / F.col("_pos_gap_mean"))
-        .otherwise(F.lit(0.0)))
+
+    def mean_std(p: str) -> tuple[Column, Column]:
+        n, s1, s2 = F.col(f"_{p}n"), F.col(f"_{p}s1"), F.col(f"_{p}s2")
+        mean = s1.cast("double") / n.cast("double") / NS_PER_MS
+        var = (n.cast(dec) * s2 - s1 * s1).cast("double") / (n.cast("double") * n.cast("double"))
+        return (F.when(n > 0, mean).otherwise(F.lit(0.0)),
+                F.when(n > 0, F.sqrt(var) / NS_PER_MS).otherwise(F.lit(0.0)))
+
+    g_mean, g_std = mean_std("a")
+    p_mean, p_std = mean_std("p")
+    ext = ext.withColumns({
+        "_n_gaps": F.col("_an"),
+        "rolling_interarrival_mean": g_mean,
+        "rolling_interarrival_std": g_std,
+        "rolling_cv": F.when(p_mean > 0, p_std / p_mean).otherwise(F.lit(0.0)),
+    })
     ext = add_state_features(ext)
-    return ext.filter(~F.col("_rhalo")).drop("_rhalo", "_blk", "_pos_gap_mean", "_pos_gap_std")
+    return ext.filter(~F.col("_rhalo")).drop("_rhalo", "_blk", "_g", "_gp", *sums.keys())
 
 
 def add_state_features(df: DataFrame) -> DataFrame:

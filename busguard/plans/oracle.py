@@ -7,6 +7,8 @@ are rounded to 6 decimals in both engines where summation order differs.
 
 from __future__ import annotations
 
+import re
+
 from busguard.params import REFERENCE_BUS as P
 from busguard.schema import FEATURE_COLUMNS, RULE_NAMES
 from busguard.sources.frames import FRAMES_SQL
@@ -63,6 +65,7 @@ FEATS_SQL = f"""
 w1 AS (
   SELECT *,
     (t - lag(t) OVER (PARTITION BY akey ORDER BY t, "sequence")) / 1e6 AS gap,
+    CAST(t - lag(t) OVER (PARTITION BY akey ORDER BY t, "sequence") AS DECIMAL(38,0)) AS gap_ns,
     lag(t) OVER (PARTITION BY akey, sig ORDER BY t, "sequence") AS prev_sig_t,
     lag(akey) OVER (ORDER BY t, "sequence") AS previous_bus_id,
     lag(sig, 2) OVER (PARTITION BY akey ORDER BY t, "sequence") AS sig2,
@@ -83,9 +86,10 @@ w1 AS (
   SELECT *,
     CASE WHEN sig2 IS NOT NULL THEN sig2 || chr(1) || sig1 || chr(1) || sig END AS ngram,
     CASE WHEN prev_sig_t IS NOT NULL AND t - prev_sig_t > {P.replay_suspicion_age_ns} THEN 1 ELSE 0 END AS suspicious,
-    count(gap) OVER r AS n_gaps,
-    avg(gap) OVER r AS g_mean, stddev_pop(gap) OVER r AS g_std,
-    avg(CASE WHEN gap > 0 THEN gap END) OVER r AS pg_mean, stddev_pop(CASE WHEN gap > 0 THEN gap END) OVER r AS pg_std,
+    count(gap_ns) OVER r AS n_gaps,
+    sum(gap_ns) OVER r AS a_s1, sum(gap_ns * gap_ns) OVER r AS a_s2,
+    count(CASE WHEN gap_ns > 0 THEN gap_ns END) OVER r AS p_n,
+    sum(CASE WHEN gap_ns > 0 THEN gap_ns END) OVER r AS p_s1, sum(CASE WHEN gap_ns > 0 THEN gap_ns * gap_ns END) OVER r AS p_s2,
     list_transform(list_distinct(ids), lambda x: len(list_filter(ids, lambda y: y = x))) AS id_counts,
     list_max(list_transform(list_distinct(sigs), lambda x: len(list_filter(sigs, lambda y: y = x)))) AS sig_max
   FROM w1
@@ -111,9 +115,12 @@ w1 AS (
     least(id_n, {P.id_arrival_cap}) / least(bus_n, {P.bus_arrival_cap}) AS repeated_id_ratio,
     sig_max / bus_n AS payload_repeat_ratio,
     CAST(least(replay_n, {P.replay_suspicion_cap}) AS DOUBLE) AS replay_signature_repeats_1s,
-    COALESCE(g_mean, 0.0) AS rolling_interarrival_mean,
-    COALESCE(g_std, 0.0) AS rolling_interarrival_std,
-    CASE WHEN pg_mean > 0 THEN COALESCE(pg_std, 0.0) / pg_mean ELSE 0.0 END AS rolling_cv,
+    CASE WHEN n_gaps > 0 THEN CAST(a_s1 AS DOUBLE) / CAST(n_gaps AS DOUBLE) / 1e6 ELSE 0.0 END AS rolling_interarrival_mean,
+    CASE WHEN n_gaps > 0 THEN sqrt(CAST(CAST(n_gaps AS DECIMAL(38,0)) * a_s2 - a_s1 * a_s1 AS DOUBLE)
+      / (CAST(n_gaps AS DOUBLE) * CAST(n_gaps AS DOUBLE))) / 1e6 ELSE 0.0 END AS rolling_interarrival_std,
+    CASE WHEN p_n > 0 AND CAST(p_s1 AS DOUBLE) / CAST(p_n AS DOUBLE) / 1e6 > 0 THEN
+      (sqrt(CAST(CAST(p_n AS DECIMAL(38,0)) * p_s2 - p_s1 * p_s1 AS DOUBLE) / (CAST(p_n AS DOUBLE) * CAST(p_n AS DOUBLE))) / 1e6)
+      / (CAST(p_s1 AS DOUBLE) / CAST(p_n AS DOUBLE) / 1e6) ELSE 0.0 END AS rolling_cv,
     CASE WHEN arbitration_id_numeric <= 15 THEN 1.0 ELSE 0.0 END AS reserved_id_flag,
     CASE WHEN arbitration_id_numeric < 0 THEN 0.0 ELSE 1.0 - least(arbitration_id_numeric, 2047) / 2047 END
       AS arbitration_priority_score,
@@ -138,9 +145,184 @@ w1 AS (
 )"""
 
 
+_DECIMAL_LITERAL = re.compile(r"(?<![\w.'%])(\d+\.\d+)(?![\w.])")
+
+
+def doubles(sql: str) -> str:
+    """Type decimal literals as DOUBLE: the reference computes in binary floating point (and DuckDB
+    would otherwise infer DECIMAL columns for flags and scores)."""
+    return _DECIMAL_LITERAL.sub(r"CAST(\1 AS DOUBLE)", sql)
+
+
+def bigint_counts(sql: str) -> str:
+    """``count_if(c)`` -> ``count(*) FILTER (WHERE c)``: a BIGINT like Spark's count_if."""
+    out, i, tag = [], 0, "count_if("
+    while True:
+        j = sql.find(tag, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(tag)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j] + f"count(*) FILTER (WHERE {sql[j + len(tag):k - 1]})")
+        i = k
+
+
 def with_ctes(*bodies: str, select: str) -> str:
-    return "WITH " + ",\n".join(b.strip() for b in bodies) + "\n" + select
+    return bigint_counts(doubles("WITH " + ",\n".join(b.strip() for b in bodies) + "\n" + select))
 
 
 def features_query(select: str) -> str:
     return with_ctes(FRAMES_SQL, DECODED_SQL, FEATS_SQL, select=select)
+
+N = P.warmup_samples
+
+# Warm-up gate, phase, baselines learned from the first N accepted frames, and the features that
+# read them (transition W20, timing W21-W24, W13, W17, W18).
+LEARNED_SQL = f"""
+acc AS (
+  SELECT *, (label = 'normal' AND bus_frequency_1s >= {P.min_warmup_bus_frequency}) AS accepted FROM feats
+), ph AS (
+  SELECT *, COALESCE(sum(CASE WHEN accepted THEN 1 ELSE 0 END)
+      OVER (ORDER BY t, "sequence" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS acc_before
+  FROM acc
+), phased AS (
+  SELECT *, CASE WHEN acc_before >= {N} THEN 'inference' ELSE 'warmup' END AS detector_phase FROM ph
+), warm AS (
+  SELECT * FROM ph WHERE accepted AND acc_before < {N}
+), tb_src AS (
+  SELECT akey, interarrival_ms AS g,
+    row_number() OVER (PARTITION BY akey ORDER BY t DESC, "sequence" DESC) AS r
+  FROM warm WHERE interarrival_ms > 0
+), tb_pos AS (
+  SELECT * FROM tb_src WHERE r <= {P.baseline_sample_cap}
+), tb_m AS (
+  SELECT akey, quantile_cont(g, 0.5) AS median, avg(g) AS mean, stddev_pop(g) AS std,
+    CAST(count(*) AS DOUBLE) AS cnt FROM tb_pos GROUP BY akey
+), tb AS (
+  SELECT m.akey AS arbitration_id, m.median, quantile_cont(abs(p.g - m.median), 0.5) AS mad, m.mean, m.std,
+    CASE WHEN m.mean > 0 THEN m.std / m.mean ELSE 0.0 END AS cv, m.cnt AS "count"
+  FROM tb_m m JOIN tb_pos p ON p.akey = m.akey GROUP BY m.akey, m.median, m.mean, m.std, m.cnt
+), tm_p AS (
+  SELECT lag(akey) OVER (ORDER BY t, "sequence") AS prev_id, akey AS next_id FROM warm
+), tm_c AS (
+  SELECT prev_id, next_id, count(*) AS n FROM tm_p WHERE prev_id IS NOT NULL AND prev_id <> '' GROUP BY prev_id, next_id
+), tm AS (
+  SELECT *, CAST(sum(n) OVER (PARTITION BY prev_id) AS BIGINT) AS total, count(*) OVER (PARTITION BY prev_id) AS next_ids FROM tm_c
+), tm_tot AS (
+  SELECT DISTINCT prev_id, total, next_ids FROM tm
+), lj AS (
+  SELECT f.*, b.median AS b_median, b.mad AS b_mad, b.cv AS b_cv, b."count" AS b_count,
+    p.n AS t_n, u.total AS t_total, u.next_ids AS t_k, (f.detector_phase = 'inference') AS ready
+  FROM phased f
+  LEFT JOIN tb b ON f.detector_phase = 'inference' AND b.arbitration_id = f.akey
+  LEFT JOIN tm p ON f.detector_phase = 'inference' AND p.prev_id = f.previous_bus_id AND p.next_id = f.akey
+  LEFT JOIN tm_tot u ON f.detector_phase = 'inference' AND u.prev_id = f.previous_bus_id
+), tr AS (
+  SELECT *,
+    (CAST(COALESCE(t_n, 0) AS DOUBLE) + {P.transition_alpha})
+      / (COALESCE(t_total, 0) + {P.transition_alpha} * CASE WHEN COALESCE(t_k, 0) > 1 THEN t_k ELSE 1 END) AS p_tr,
+    (NOT ready OR previous_bus_id IS NULL OR previous_bus_id = '' OR COALESCE(t_total, 0) < {P.transition_min_total})
+      AS tr_neutral,
+    (b_count IS NULL OR b_count < {P.baseline_min_timing_samples} OR interarrival_ms <= 0) AS tm_neutral,
+    (interarrival_ms - b_median) / (1.4826 * CASE WHEN b_mad > 0.5 THEN b_mad ELSE 0.5 END) AS z,
+    rolling_cv / CASE WHEN b_cv > 0.01 THEN b_cv ELSE 0.01 END AS ratio
+  FROM lj
+), tr2 AS (
+  SELECT *,
+    CASE WHEN tr_neutral THEN 1.0 ELSE p_tr END AS transition_probability,
+    CASE WHEN tr_neutral THEN 0.0 ELSE -ln(CASE WHEN p_tr > 1e-9 THEN p_tr ELSE 1e-9 END) END AS transition_surprise,
+    CASE WHEN tr_neutral THEN 0.0 WHEN p_tr < {P.transition_rare_below} THEN 1.0 ELSE 0.0 END AS rare_transition_flag,
+    COALESCE(least(n_gaps, {P.interarrival_rows}) >= {P.baseline_min_timing_samples} AND b_cv >= 0.03
+             AND ratio <= {P.exactness_cv_ratio}, false) AS exact
+  FROM tr
+), tr3 AS (
+  SELECT *,
+    CASE WHEN tm_neutral THEN 0.0 ELSE z END AS iat_robust_z,
+    CASE WHEN tm_neutral THEN 0.0 WHEN z <= -{P.iat_robust_z} THEN 1.0 ELSE 0.0 END AS iat_drop_flag,
+    CASE WHEN tm_neutral THEN 0.0 WHEN z >= {P.iat_robust_z} THEN 1.0 ELSE 0.0 END AS iat_spike_flag,
+    CASE WHEN tm_neutral THEN 1.0 ELSE ratio END AS iat_exactness_ratio,
+    CASE WHEN tm_neutral THEN 0.0 WHEN exact THEN 1.0 ELSE 0.0 END AS iat_exactness_flag,
+    CASE WHEN tm_neutral THEN 0.0 ELSE least(1.0, greatest(abs(z) / 8.0,
+        CASE WHEN exact THEN 1.0 - least(1.0, ratio) ELSE 0.0 END)) END AS timing_anomaly_score
+  FROM tr2
+), tr4 AS (
+  SELECT *,
+    CASE WHEN iat_spike_flag = 1.0 AND timing_anomaly_score < 0.75 THEN 0.75 ELSE timing_anomaly_score END AS boost1
+  FROM tr3
+), tr5 AS (
+  SELECT *,
+    payload_repeat_score * CASE WHEN iat_exactness_flag = 1.0 AND boost1 < 0.65 THEN 0.65 ELSE boost1 END
+      AS payload_timing_replay_score,
+    ((COALESCE(b_median, 0.0) > 0 AND interarrival_ms > 0 AND interarrival_ms <= COALESCE(b_median, 0.0) * {P.ngram_tight_ratio})
+      OR iat_drop_flag = 1.0 OR iat_exactness_flag = 1.0) AS tight
+  FROM tr4
+), lf AS (
+  SELECT *,
+    CASE WHEN ngram IS NOT NULL AND tight THEN 1.0 ELSE 0.0 END AS payload_sequence_tight_timing_flag,
+    CASE WHEN ngram IS NULL THEN 0.0 ELSE least(1.0,
+        CASE WHEN payload_sequence_repeat_count >= {P.ngram_min_repeats} THEN 0.45 ELSE 0.0 END
+      + CASE WHEN payload_sequence_repeat_count >= {P.ngram_min_repeats} AND tight THEN 0.45 ELSE 0.0 END
+      + CASE WHEN payload_sequence_repeat_count >= 1 AND timing_anomaly_score >= 0.65 THEN 0.25 ELSE 0.0 END) END
+      AS payload_sequence_replay_score
+  FROM tr5
+)"""
+
+_KNOWN = ", ".join(f"'{x}'" for x in P.known_ids)
+# Rules with the model prediction fixed at +1 (the rules-only detector): R12 and R14 cannot fire.
+RULES_SQL = f"""
+rl AS (
+  SELECT *,
+    akey = '0x000' AND id_frequency_1s >= 25 AS "{RULE_NAMES[0]}",
+    akey NOT IN ({_KNOWN}) AND has_raw_bytes AS "{RULE_NAMES[1]}",
+    speed >= 180.0 AS "{RULE_NAMES[2]}",
+    abs(acceleration) >= 7.0 AS "{RULE_NAMES[3]}",
+    rpm >= 7000.0 AS "{RULE_NAMES[4]}",
+    coolant_temp >= 130.0 AS "{RULE_NAMES[5]}",
+    battery_voltage <> 0 AND battery_voltage <= 11.5 AS "{RULE_NAMES[6]}",
+    brake_pressure <= 0.1 AND greatest(wheel_speed_fl, wheel_speed_fr) >= 70.0 AND brake_drop_per_second > 500.0
+      AS "{RULE_NAMES[7]}",
+    payload_signature_repeats_3s >= {P.repeat_min_count} AND payload_timing_replay_score >= {P.replay_composite}
+      AS "{RULE_NAMES[8]}",
+    payload_signature_repeats_3s >= {P.repeat_min_count} AND rare_transition_flag <> 0 AND timing_anomaly_score >= 0.5
+      AND payload_timing_replay_score >= {P.rare_replay_floor} AS "{RULE_NAMES[9]}",
+    CASE WHEN payload_sequence_replay_score >= 0.70 THEN '{RULE_NAMES[10]}'
+         WHEN payload_sequence_repeat_count >= 1 AND rare_transition_flag <> 0 AND payload_signature_repeats_3s >= 1
+              AND timing_anomaly_score >= 0.95 THEN '{RULE_NAMES[12]}'
+         WHEN payload_sequence_repeat_count >= 3 AND payload_sequence_tight_timing_flag <> 0 THEN '{RULE_NAMES[14]}'
+         WHEN payload_sequence_repeat_count >= {P.ngram_min_repeats} AND rare_transition_flag <> 0
+              AND timing_anomaly_score >= 0.5 THEN '{RULE_NAMES[15]}' END AS replay_rule,
+    state_transition_violation_score >= 0.5 AS "{RULE_NAMES[16]}"
+  FROM lf
+), rl2 AS (
+  SELECT *,
+    CASE WHEN detector_phase = 'inference' THEN list_filter([
+      {', '.join(f'CASE WHEN "{r}" THEN {chr(39)}{r}{chr(39)} END' for r in RULE_NAMES[:10])},
+      replay_rule,
+      CASE WHEN "{RULE_NAMES[16]}" THEN '{RULE_NAMES[16]}' END], lambda x: x IS NOT NULL)
+    ELSE CAST([] AS VARCHAR[]) END AS triggered_rules
+  FROM rl
+), alerts AS (
+  SELECT *,
+    len(triggered_rules) > 0 AS is_anomaly,
+    len(triggered_rules) > 0 AS rule_flag,
+    false AS model_flag,
+    1 AS model_prediction,
+    0.0 AS anomaly_score,
+    least(1.0, len(triggered_rules) / 3.0) AS rule_score,
+    CASE WHEN len(triggered_rules) > 0 THEN -1 ELSE 1 END AS anomaly_prediction,
+    triggered_rules AS decision_reasons,
+    CASE WHEN simulator_send_time_ns IS NULL THEN 0.0
+         ELSE greatest(0.0, (100000000000 - simulator_send_time_ns) / 1e6) END AS pipeline_latency_ms
+  FROM rl2
+)"""
+
+
+def learned_query(select: str) -> str:
+    return with_ctes(FRAMES_SQL, DECODED_SQL, FEATS_SQL, LEARNED_SQL, select=select)
+
+
+def alerts_query(select: str) -> str:
+    return with_ctes(FRAMES_SQL, DECODED_SQL, FEATS_SQL, LEARNED_SQL, RULES_SQL, select=select)
