@@ -65,6 +65,15 @@ def learned(feats: DataFrame, art: Artifacts, params: DetectorParams) -> DataFra
     return out.withColumn("detector_phase", baselines.detector_phase(baselines.FitPoint(art.fit_key)))
 
 
+def neutral_learned(feats: DataFrame, params: DetectorParams) -> DataFrame:
+    """All 56 features with transition and timing features neutral (no baseline, model not ready)."""
+    spark = feats.sparkSession
+    base = spark.createDataFrame([], "arbitration_id string, median double, mad double, mean double, std double, "
+                                     "cv double, count double")
+    trans = spark.createDataFrame([], "prev_id string, next_id string, n long, total long, next_ids long")
+    return baselines.learned_features(feats, base, trans, params, ready=F.lit(False))
+
+
 def fit_model(warm: DataFrame, art: Artifacts, params: DetectorParams) -> Artifacts:
     spark = warm.sparkSession
     scaler_df = baselines.feature_scaler(warm)
