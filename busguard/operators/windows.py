@@ -281,11 +281,17 @@ def window_distributions(df: DataFrame, params: DetectorParams) -> DataFrame:
     return narrow.groupBy("_bus", "_chunk").applyInPandas(_sweep_distributions(params.traffic_window_ns), DIST_SCHEMA)
 
 
-def _markers(base: DataFrame, seq: DataFrame, params: DetectorParams) -> DataFrame:
+HISTORY_CHUNK = -(10 ** 6)  # virtual chunk before every real one: sightings from earlier runs
+
+
+def _markers(base: DataFrame, seq: DataFrame, params: DetectorParams,
+             history: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Carry rows for look-backs that may reach past the previous chunk (see module doc).
 
     ``base``: frames before stage 1 (bus and signature carries need no sequence position);
-    ``seq``: stage-2 output (3-gram carries).
+    ``seq``: stage-2 output (3-gram carries); ``history``: sightings of earlier runs (a stream's
+    previous micro-batches) as (signatures: _bus, id, sig, first_t, last_t; 3-grams: _bus, id,
+    ngram, n, last_t), entered as one chunk before all others.
     """
     L, H = params.chunk_ns, params.halo_ns
     real = base.select("_bus", "_chunk", KEY, "sig", "t", "sequence", "_ord")
@@ -299,6 +305,9 @@ def _markers(base: DataFrame, seq: DataFrame, params: DetectorParams) -> DataFra
     # first sighting of (id, signature) before a chunk; also sent to the next chunk when the group
     # has rows in that chunk's halo
     g = real.groupBy("_bus", KEY, "sig", "_chunk").agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))
+    if history is not None:
+        g = g.unionByName(history[0].select("_bus", KEY, "sig", F.lit(HISTORY_CHUNK).cast("bigint").alias("_chunk"),
+                                            F.col("first_t").alias("_t0"), F.col("last_t").alias("_t1")))
     w = by_chunk("_bus", KEY, "sig").orderBy("_chunk")
     g = g.select("*", F.min("_t0").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
                  F.min("_t0").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"))
@@ -309,24 +318,30 @@ def _markers(base: DataFrame, seq: DataFrame, params: DetectorParams) -> DataFra
     sig = sig_here.unionByName(sig_next).filter(F.col("_mk_t").isNotNull()) \
         .withColumn("_kind", F.lit("sig"))
     # earlier sightings of a 3-gram before a chunk: count and last time
-    ng = seq.select("_bus", "_chunk", KEY, "ngram", "t").filter(F.col("ngram").isNotNull()).groupBy("_bus", KEY, "ngram", "_chunk").agg(
+    counted = seq.filter(~F.col("_hist")) if "_hist" in seq.columns else seq  # tail rows are in history
+    ng = counted.select("_bus", "_chunk", KEY, "ngram", "t").filter(F.col("ngram").isNotNull()).groupBy("_bus", KEY, "ngram", "_chunk").agg(
         F.count(F.lit(1)).alias("_n"), F.max("t").alias("_t1"))
+    if history is not None:
+        ng = ng.unionByName(history[1].select("_bus", KEY, "ngram", F.lit(HISTORY_CHUNK).cast("bigint").alias("_chunk"),
+                                              F.col("n").alias("_n"), F.col("last_t").alias("_t1")))
     wn = by_chunk("_bus", KEY, "ngram").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     ng = ng.select("_bus", "_chunk", KEY, "ngram", F.sum("_n").over(wn).alias("_mk_n"),
                    F.max("_t1").over(wn).alias("_mk_t")).filter(F.col("_mk_n").isNotNull()) \
         .withColumn("_kind", F.lit("ngram"))
     out = bus.unionByName(sig, allowMissingColumns=True).unionByName(ng, allowMissingColumns=True)
+    out = out.filter(F.col("_chunk") > HISTORY_CHUNK + 1)
     # a carry row sorts before every row of its chunk (halo included); a NULL time would make all
     # carry rows one peer group at the head of every RANGE frame
     return out.withColumn("t", F.col("_chunk") * F.lit(L) - F.lit(H) - F.lit(1))
 
 
-def add_traffic_features(base: DataFrame, seq: DataFrame, params: DetectorParams) -> DataFrame:
+def add_traffic_features(base: DataFrame, seq: DataFrame, params: DetectorParams,
+                         history: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """W2-W9, W11, W12, W15, W16, W19 over time chunks with a halo; ``seq`` is the stage-2 output
     of ``base`` (frames with bus and chunk).  Four window specs share one exchange on (bus, chunk)."""
     L, H, S = params.chunk_ns, params.halo_ns, params.traffic_window_ns
     ext = time_halo(seq, params).withColumn("_kind", F.lit("real"))
-    ext = ext.unionByName(_markers(base, seq, params), allowMissingColumns=True)
+    ext = ext.unionByName(_markers(base, seq, params, history), allowMissingColumns=True)
     dist = window_distributions(base, params).withColumn("_kind", F.lit("dist"))
     ext = ext.unionByName(dist, allowMissingColumns=True)
     kind = F.col("_kind")
@@ -372,7 +387,8 @@ def add_traffic_features(base: DataFrame, seq: DataFrame, params: DetectorParams
     # spec 4 (id, 3-gram): earlier sightings and age of the last one
     ext = ext.filter(real | (kind == "ngram")).withColumns({
         "_ng_prev_t": F.last(F.when(own, F.col("t")), ignorenulls=True).over(ng_o.rowsBetween(before, -1)),
-        "_ng_before_n": F.count(F.when(own, 1)).over(ng_o.rowsBetween(before, -1)),
+        "_ng_before_n": F.count(F.when(own & ~F.col("_hist"), 1) if "_hist" in ext.columns else F.when(own, 1))
+        .over(ng_o.rowsBetween(before, -1)),
         "_ng_mk_n": F.max(F.when(kind == "ngram", F.col("_mk_n"))).over(ng_o.rowsBetween(before, after)),
         "_ng_mk_t": F.max(F.when(kind == "ngram", F.col("_mk_t"))).over(ng_o.rowsBetween(before, after)),
     })
@@ -420,7 +436,8 @@ STAGE_OUTPUTS = ["interarrival_ms", "_n_gaps", "rolling_interarrival_mean", "rol
                  "payload_sequence_repeat_count", "payload_sequence_age_ms"]
 
 
-def frame_features(decoded: DataFrame, params: DetectorParams, keep_text: bool = False) -> DataFrame:
+def frame_features(decoded: DataFrame, params: DetectorParams, keep_text: bool = False,
+                   history: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """All baseline-free features of SURVEY 2.D for decoded frames.
 
     The three window stages see only the narrow columns; the wide frame (payload text, decoded
@@ -429,9 +446,9 @@ def frame_features(decoded: DataFrame, params: DetectorParams, keep_text: bool =
     so both are persisted (recomputed from lineage if an executor is lost).
     """
     wide = with_chunk(with_bus(decoded, params), params)
-    cols = NARROW + (["payload_signature"] if keep_text else [])
+    cols = NARROW + (["payload_signature"] if keep_text else []) + (["_hist"] if "_hist" in wide.columns else [])
     narrow = wide.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     seq = add_sequence_features(narrow, params, keep_text=keep_text).persist(StorageLevel.MEMORY_AND_DISK)
-    feats = add_traffic_features(narrow, seq, params)
+    feats = add_traffic_features(narrow, seq, params, history)
     outs = STAGE_OUTPUTS + (["ngram_text"] if keep_text else [])
     return wide.join(feats.select("_ord", *outs), "_ord")

@@ -44,9 +44,10 @@ def quarantine(frames: DataFrame, params: DetectorParams) -> DataFrame:
 
 
 def features(frames: DataFrame, params: DetectorParams, processing_ns: Column | None = None,
-             keep_text: bool = False) -> DataFrame:
+             keep_text: bool = False, history=None) -> DataFrame:
     """Baseline-free per-frame features."""
-    return windows.frame_features(decoded_frames(frames, params, processing_ns), params, keep_text=keep_text)
+    return windows.frame_features(decoded_frames(frames, params, processing_ns), params, keep_text=keep_text,
+                                  history=history)
 
 
 def learn(feats: DataFrame, params: DetectorParams, materialize: bool = True) -> tuple[DataFrame, Artifacts]:
