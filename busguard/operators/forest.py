@@ -120,10 +120,12 @@ class Forest:
         return -np.power(2.0, -mean_h / average_path_length(np.array([self.psi]))[0])
 
 
-def fit_forest(vectors: DataFrame, params: DetectorParams, row_key: str = "_row") -> tuple[DataFrame, int]:
+def fit_forest(vectors: DataFrame, params: DetectorParams, row_key: str = "_row",
+               n: int | None = None) -> tuple[DataFrame, int]:
     """M1: node table grown on Spark, one tree per group.  ``vectors`` has ``row_key`` and ``x``
-    (array<double>, scaled); its size is bounded by the warm-up size."""
-    n = vectors.count()
+    (array<double>, scaled); its size is bounded by the warm-up size.  The trees are spread over
+    the cluster with an explicit repartition (a tiny shuffle AQE would otherwise fold into one task)."""
+    n = vectors.count() if n is None else n
     psi = int(min(256, n))
     height = int(math.ceil(math.log2(max(psi, 2))))
     seed = params.seed
@@ -137,7 +139,8 @@ def fit_forest(vectors: DataFrame, params: DetectorParams, row_key: str = "_row"
         cols = ["tree_id", "node_id", "feature", "threshold", "left", "right", "size", "depth"]
         return pd.DataFrame(grow_tree(x, tree_id, seed, height), columns=cols)
 
-    nodes = sample.groupBy("tree_id").applyInPandas(grow, NODE_SCHEMA)
+    slots = max(1, min(params.n_trees, vectors.sparkSession.sparkContext.defaultParallelism * 2))
+    nodes = sample.repartition(slots, "tree_id").groupBy("tree_id").applyInPandas(grow, NODE_SCHEMA)
     return nodes, psi
 
 
@@ -168,9 +171,9 @@ def scaled_vector(cols: list[str], scaler_rows: list) -> Column:
     return F.array(*[((F.col(c) - F.lit(float(stats[c][0]))) / F.lit(float(stats[c][1]))) for c in cols])
 
 
-def train(spark, warm_vectors: DataFrame, params: DetectorParams) -> tuple[Forest, DataFrame]:
+def train(spark, warm_vectors: DataFrame, params: DetectorParams, n: int | None = None) -> tuple[Forest, DataFrame]:
     """Fit the forest, then set its offset from the contamination percentile of training scores."""
-    nodes, psi = fit_forest(warm_vectors, params)
+    nodes, psi = fit_forest(warm_vectors, params, n=n)
     nodes_pd = nodes.toPandas()  # bounded: n_trees * (2 psi - 1) rows
     forest = Forest.from_nodes(nodes_pd, psi)
     udf = scoring_udf(spark, forest)

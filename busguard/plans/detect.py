@@ -81,7 +81,7 @@ def fit_model(warm: DataFrame, art: Artifacts, params: DetectorParams) -> Artifa
     scaler_rows = scaler_df.collect()  # 32 rows
     vec = forest.scaled_vector(FEATURE_COLUMNS, scaler_rows)
     warm_vec = warm.select(F.xxhash64(*windows.ORDER).alias("_row"), vec.alias("x"))
-    fo, nodes = forest.train(spark, warm_vec, params)
+    fo, nodes = forest.train(spark, warm_vec, params, n=params.warmup_samples)
     art.scaler, art.forest, art.forest_nodes = scaler_df, fo, nodes
     art.extra["scaler_rows"] = scaler_rows
     return art
