@@ -531,3 +531,34 @@ _dash("kql_detection_rates", D.kql_detection_rates,
       "count_if(attack_type_label <> 'normal') AS attack_total, "
       "count_if(attack_type_label = 'normal' AND is_anomaly) AS normal_flagged, "
       "count_if(attack_type_label = 'normal') AS normal_total FROM alerts)")
+
+
+# 2.H streaming: the fixture's frames as three time slices through the stream detector, scored
+# with the artifacts of the batch fit (rows-only: equal to the batch alerts after warm-up, which
+# tests/test_stream.py checks value by value)
+@reg("stream_detect", None)
+def q_stream_detect(spark, sf):
+    from busguard.schema import FRAME_COLUMNS, FRAME_SCHEMA
+    from busguard.streaming.stream import StreamDetector
+    art = model_state(spark, sf)[1]
+    root = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    fr = frames(spark, sf).select(*[F.col(c).cast(FRAME_SCHEMA[c].dataType).alias(c) for c in FRAME_COLUMNS])
+    edges = fr.select(F.percentile("simulator_send_time_ns", [1 / 3, 2 / 3])).first()[0]
+    bounds = [None, int(edges[0]), int(edges[1]), None]
+    for i in range(3):
+        part = fr
+        if bounds[i] is not None:
+            part = part.filter(F.col("simulator_send_time_ns") > bounds[i])
+        if bounds[i + 1] is not None:
+            part = part.filter(F.col("simulator_send_time_ns") <= bounds[i + 1])
+        # four range-partitioned files per slice, slices written one after another: with four files
+        # per trigger each micro-batch is exactly one time slice
+        part.repartitionByRange(4, "simulator_send_time_ns").write.mode("overwrite").parquet(f"{root}/in/slice={i}")
+    stream = spark.readStream.schema(FRAME_SCHEMA).option("maxFilesPerTrigger", 4) \
+        .option("recursiveFileLookup", "true").parquet(f"{root}/in")
+    det = StreamDetector(spark, P, art, f"{root}/alerts", f"{root}/state", processing_ns=proc())
+    q = det.start(stream, f"{root}/ckpt", available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/alerts").select(
+        "sequence", "batch_id", "detector_phase", "is_anomaly", "anomaly_score",
+        F.array_join("triggered_rules", ",").alias("rules"))
