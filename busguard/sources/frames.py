@@ -120,7 +120,9 @@ def frames_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit('],"rpm":0,"speed":0}')))
         .otherwise(F.lit(zero_raw))
     )
-    send_ns = F.expr(f"((unix_micros(cast(ts as timestamp)) - {EPOCH_2024_US}) * 1000) div {TIME_COMPRESSION}")
+    # microseconds since 2024-01-01 on the wall-clock (NTZ) value: independent of the session time zone
+    send_ns = F.expr(f"(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', "
+                     f"cast(ts as timestamp_ntz)) * 1000) div {TIME_COMPRESSION}")
     return ev.select(
         F.col("ts").alias("timestamp"),
         (send_ns.cast("bigint") / F.lit(1_000_000)).cast("bigint").alias("event_time_epoch_ms"),
