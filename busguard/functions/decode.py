@@ -60,7 +60,16 @@ def bool_signal(v: Column, key: str) -> Column:
 
 
 def raw_byte_values(v: Column) -> Column:
-    """Numeric (and boolean) items of ``raw_bytes`` as array<double>; strings and nulls are skipped."""
+    """Numeric (and boolean) items of ``raw_bytes`` as array<double>; strings and nulls are skipped.
+
+    Homogeneous numeric or boolean arrays (the usual case) are read directly as array<double>;
+    only mixed arrays pay for a per-item type check."""
+    t = F.schema_of_variant(F.try_variant_get(v, "$.raw_bytes", "variant"))
+    homogeneous = F.regexp_like(t, F.lit(r"^ARRAY<(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL\([0-9,]+\)|BOOLEAN)>$"))
+    return F.when(homogeneous, F.try_variant_get(v, "$.raw_bytes", "array<double>")).otherwise(_raw_byte_values_mixed(v))
+
+
+def _raw_byte_values_mixed(v: Column) -> Column:
     items = F.try_variant_get(v, "$.raw_bytes", "array<variant>")
     typed = F.transform(items, lambda e: F.struct(F.schema_of_variant(e).alias("t"),
                                                    F.try_variant_get(e, "$", "double").alias("x")))
@@ -124,9 +133,13 @@ def decode_frames(frames: DataFrame, params: DetectorParams | None = None,
     out = frames.withColumns(cols)
     pv = F.col("_pv")
     has_raw = F.coalesce(F.array_contains(F.json_object_keys("payload"), "raw_bytes"), F.lit(False))
-    raw_mean, raw_std = array_mean_std(raw_byte_values(pv))
-    raw_mean = F.when(has_raw, raw_mean).otherwise(F.lit(0.0))
-    raw_std = F.when(has_raw, raw_std).otherwise(F.lit(0.0))
+    # array and mean as columns first: a lambda would re-evaluate an outer mean for every item
+    out = out.withColumn("_raw", F.when(has_raw, raw_byte_values(pv)))
+    n_raw = F.size("_raw")
+    out = out.withColumn("_rmean", F.when(n_raw > 0, F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x) / n_raw))
+    rss = F.aggregate("_raw", F.lit(0.0), lambda a, x: a + (x - F.col("_rmean")) * (x - F.col("_rmean")))
+    raw_mean = F.coalesce(F.col("_rmean"), F.lit(0.0))
+    raw_std = F.when(F.col("_rmean").isNotNull(), F.sqrt(rss / n_raw)).otherwise(F.lit(0.0))
     feats = {"arbitration_id_numeric": parse_arbitration_id("arbitration_id").cast("double")}
     for k in NUMERIC_SIGNALS:
         feats[k] = numeric_signal(pv, k)
@@ -143,4 +156,4 @@ def decode_frames(frames: DataFrame, params: DetectorParams | None = None,
         "reserved_id_flag": reserved_id_flag("arbitration_id_numeric"),
         "arbitration_priority_score": arbitration_priority_score("arbitration_id_numeric"),
     })
-    return out.drop("_pv")
+    return out.drop("_pv", "_raw", "_rmean")
