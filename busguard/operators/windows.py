@@ -451,4 +451,12 @@ def frame_features(decoded: DataFrame, params: DetectorParams, keep_text: bool =
     seq = add_sequence_features(narrow, params, keep_text=keep_text).persist(StorageLevel.MEMORY_AND_DISK)
     feats = add_traffic_features(narrow, seq, params, history)
     outs = STAGE_OUTPUTS + (["ngram_text"] if keep_text else [])
-    return wide.join(feats.select("_ord", *outs), "_ord")
+    out = wide.join(feats.select("_ord", *outs), "_ord")
+    out._busguard_cached = (narrow, seq)  # released by callers that materialise ``out``
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Unpersist the intermediate tables a ``frame_features`` result keeps cached."""
+    for c in getattr(df, "_busguard_cached", ()):
+        c.unpersist()

@@ -143,7 +143,8 @@ def detect(frames: DataFrame, params: DetectorParams, processing_ns: Column | No
         processing_ns = F.unix_micros(F.current_timestamp()) * 1000
     feats = features(frames, params, processing_ns)
     if materialize:
-        feats = cut_lineage(feats)
+        cached, feats = feats, cut_lineage(feats)
+        windows.release(cached)
     warm, art = learn(feats, params, materialize=materialize)
     if params.use_model and art.fit_key is not None:
         art = fit_model(warm, art, params)

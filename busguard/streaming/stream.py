@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from busguard.functions.decode import event_time_ns
-from busguard.operators import baselines
+from busguard.operators import baselines, windows
 from busguard.operators.windows import KEY, ORDER
 from busguard.params import DetectorParams
 from busguard.plans import detect
@@ -136,6 +136,7 @@ class StreamDetector:
                 next_sig, next_ng = next_sig.filter(F.col("last_t") >= edge), next_ng.filter(F.col("last_t") >= edge)
         self._save_state(batch_id, next_tail, next_sig, next_ng)
         feats.unpersist()
+        windows.release(feats)
 
     # ------------------------------------------------------------------ query
     def start(self, frames_stream: DataFrame, checkpoint: str, available_now: bool = False,
