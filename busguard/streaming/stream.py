@@ -120,7 +120,7 @@ class StreamDetector:
         w_id = Window.partitionBy("_bus", KEY).orderBy(*[F.col(c).desc() for c in ORDER])
         bus_max = F.max("t").over(Window.partitionBy("_bus"))
         keep = (F.row_number().over(w_id) <= p.interarrival_rows) | (F.col("t") >= bus_max - F.lit(p.halo_ns))
-        next_tail = feats.select(*FRAME_COLUMNS, "_ord", "_bus", KEY, "t", "sequence").withColumn("_keep", keep) \
+        next_tail = feats.select(*FRAME_COLUMNS, "_ord", "_bus", KEY, "t").withColumn("_keep", keep) \
             .filter("_keep").select(*FRAME_COLUMNS, "_ord")
         sig_new = fresh.groupBy("_bus", KEY, "sig").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
         next_sig = sig_state.unionByName(sig_new).groupBy("_bus", KEY, "sig").agg(
