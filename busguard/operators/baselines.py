@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from busguard.operators import quantiles
 from busguard.operators.windows import KEY, ORDER
 from busguard.params import DetectorParams
 from busguard.schema import FEATURE_COLUMNS
@@ -60,13 +61,25 @@ def detector_phase(point: FitPoint) -> Column:
 
 
 # --------------------------------------------------------------------------- A1 / A2
-def robust_stats(samples: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """A1 per key over positive values: exact interpolated median, MAD, mean, population std, cv."""
-    pos = samples.filter(F.col(value) > 0)
-    med = pos.groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"), F.avg(value).alias("mean"),
-                                 F.stddev_pop(value).alias("std"), F.count(F.lit(1)).cast("double").alias("count"))
-    dev = pos.join(med.select(*keys, "median"), keys).groupBy(*keys).agg(
-        F.percentile(F.abs(F.col(value) - F.col("median")), 0.5).alias("mad"))
+def robust_stats(samples: DataFrame, keys: list[str], value: str, bounded: bool = False) -> DataFrame:
+    """A1 per key over positive values: exact interpolated median, MAD, mean, population std, cv.
+
+    ``bounded=True`` (groups of a known small size, such as the warm-up samples) uses ``percentile``
+    directly; otherwise the medians come from ``quantiles.exact_median``, which never gathers one
+    key's values in one task."""
+    pos = samples.filter(F.col(value) > 0).select(*keys, value)
+    if bounded:
+        med = pos.groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"), F.avg(value).alias("mean"),
+                                     F.stddev_pop(value).alias("std"), F.count(F.lit(1)).cast("double").alias("count"))
+        dev = pos.join(med.select(*keys, "median"), keys).groupBy(*keys).agg(
+            F.percentile(F.abs(F.col(value) - F.col("median")), 0.5).alias("mad"))
+    else:
+        moments = pos.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
+                                         F.count(F.lit(1)).alias("n"))
+        median = quantiles.exact_median(pos, keys, value, moments)
+        med = moments.join(median, keys).withColumn("count", F.col("n").cast("double"))
+        devs = pos.join(median, keys).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_d"))
+        dev = quantiles.exact_median(devs, keys, "_d", moments).withColumnRenamed("median", "mad")
     out = med.join(dev, keys)
     return out.select(*keys, "median", "mad", "mean", "std",
                       F.when(F.col("mean") > 0, F.col("std") / F.col("mean")).otherwise(F.lit(0.0)).alias("cv"),
@@ -78,7 +91,8 @@ def timing_baseline(warm: DataFrame, params: DetectorParams) -> DataFrame:
     pos = warm.filter(F.col("interarrival_ms") > 0)
     w = Window.partitionBy(KEY).orderBy(*[F.col(c).desc() for c in ORDER])
     recent = pos.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= params.baseline_sample_cap)
-    return robust_stats(recent, [KEY], "interarrival_ms").withColumnRenamed(KEY, "arbitration_id")
+    # bounded: at most baseline_sample_cap samples per id, and the warm-up set itself has N rows
+    return robust_stats(recent, [KEY], "interarrival_ms", bounded=True).withColumnRenamed(KEY, "arbitration_id")
 
 
 def transition_matrix(warm: DataFrame) -> DataFrame:
