@@ -51,3 +51,28 @@ def exact_median(values: DataFrame, keys: list[str], value: str, counts: DataFra
     both = kth.groupBy(*keys).agg(F.max(F.when(F.col("rank_id") == 0, F.col(value))).alias("_v0"),
                                   F.max(F.when(F.col("rank_id") == 1, F.col(value))).alias("_v1"))
     return both.select(*keys, (F.lit(0.5) * F.col("_v0") + F.lit(0.5) * F.col("_v1")).alias("median"))
+
+
+def exact_percentiles(values: DataFrame, keys: list[str], value: str, ps: list[float],
+                      counts: DataFrame | None = None) -> DataFrame:
+    """Interpolated percentiles per key, as ``percentile(x, p)``: position (n - 1) p between the two
+    neighbouring order statistics.  Returns keys + one column ``p<i>`` per requested percentile."""
+    if counts is None:
+        counts = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    items = []
+    for i, p in enumerate(ps):
+        pos = (F.col("n") - 1) * F.lit(float(p))
+        items += [F.struct(F.lit(2 * i).alias("rank_id"), F.floor(pos).cast("long").alias("r")),
+                  F.struct(F.lit(2 * i + 1).alias("rank_id"), F.ceil(pos).cast("long").alias("r"))]
+    ranks = counts.select(*keys, "n", F.explode(F.array(*items)).alias("_q")).select(*keys, "_q.rank_id", "_q.r")
+    kth = kth_smallest(values, keys, value, ranks)
+    wide = kth.groupBy(*keys).agg(*[F.max(F.when(F.col("rank_id") == j, F.col(value))).alias(f"_v{j}")
+                                    for j in range(2 * len(ps))])
+    wide = wide.join(counts, keys)
+    cols = []
+    for i, p in enumerate(ps):
+        pos = (F.col("n") - 1) * F.lit(float(p))
+        lo, hi = F.floor(pos), F.ceil(pos)
+        v0, v1 = F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}")
+        cols.append(F.when(lo == hi, v0).otherwise((hi - pos) * v0 + (pos - lo) * v1).alias(f"p{i}"))
+    return wide.select(*keys, *cols)

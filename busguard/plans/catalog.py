@@ -494,9 +494,9 @@ _dash("attack_mix", D.attack_mix,
       "SELECT attack_type_label, count(*) AS events, round(count(*) / sum(count(*)) OVER (), 6) AS share "
       "FROM alerts GROUP BY 1")
 _dash("score_by_attack", D.score_by_attack,
-      "SELECT attack_type_label, round(quantile_cont(anomaly_score, 0.25), 6) AS q1_score, "
-      "round(quantile_cont(anomaly_score, 0.5), 6) AS median_score, "
-      "round(quantile_cont(anomaly_score, 0.75), 6) AS q3_score, round(avg(anomaly_score), 6) AS avg_score "
+      "SELECT attack_type_label, round(quantile_cont(anomaly_score, 0.25), 6) + 0.0 AS q1_score, "
+      "round(quantile_cont(anomaly_score, 0.5), 6) + 0.0 AS median_score, "
+      "round(quantile_cont(anomaly_score, 0.75), 6) + 0.0 AS q3_score, round(avg(anomaly_score), 6) + 0.0 AS avg_score "
       "FROM alerts GROUP BY 1")
 _DOS = "(attack_type_label = 'dos' OR arbitration_id = '0x000')"
 _dash("dos_kpis", D.dos_kpis,

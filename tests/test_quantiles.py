@@ -30,3 +30,15 @@ def test_kth_smallest_every_rank(spark):
     wanted = spark.createDataFrame([("a", i, i) for i in range(len(vals))], "k string, rank_id int, r long")
     got = sorted((r["rank_id"], r["x"]) for r in kth_smallest(df, ["k"], "x", wanted).collect())
     assert [v for _, v in got] == sorted(vals)
+
+
+def test_exact_percentiles_match_numpy(spark):
+    from busguard.operators.quantiles import exact_percentiles
+    rng = np.random.default_rng(3)
+    rows = [("a", float(v)) for v in rng.normal(0, 1, 999)] + [("b", float(v)) for v in [-2.0, 0.0, 0.0, 5.0]]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r["k"]: r for r in exact_percentiles(df, ["k"], "x", [0.25, 0.5, 0.75]).collect()}
+    for k in ("a", "b"):
+        a = np.array([v for kk, v in rows if kk == k])
+        for i, p in enumerate([0.25, 0.5, 0.75]):
+            assert got[k][f"p{i}"] == pytest.approx(np.percentile(a, p * 100), rel=1e-12, abs=1e-12)
