@@ -77,16 +77,6 @@ def _raw_byte_values_mixed(v: Column) -> Column:
     return F.transform(numeric, lambda s: s["x"])
 
 
-def array_mean_std(arr: Column) -> tuple[Column, Column]:
-    """Mean and population std (two-pass, like numpy) of an array<double>; (0, 0) if empty or null."""
-    n = F.size(arr)
-    mean = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x) / n
-    ss = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    has = arr.isNotNull() & (n > 0)
-    return (F.when(has, mean).otherwise(F.lit(0.0)),
-            F.when(has, F.sqrt(ss / n)).otherwise(F.lit(0.0)))
-
-
 def payload_signature(v: Column) -> Column:
     """P5: canonical JSON text with sorted keys (non-object payload -> '{}')."""
     return F.coalesce(F.to_json(v), F.lit("{}"))

@@ -101,7 +101,8 @@ class Forest:
         return Forest(feat, thr, left, right, leafv, psi, int(math.ceil(math.log2(max(psi, 2)))))
 
     def score_samples(self, x: np.ndarray) -> np.ndarray:
-        """-2^(-mean path length / c(psi)) for each row of x."""
+        """-2^(-mean path length / c(psi)) for each row of x; each tree walks the whole batch one
+        level at a time (numpy, no per-row Python)."""
         n = len(x)
         rows = np.arange(n)
         total = np.zeros(n)

@@ -117,11 +117,6 @@ def score_and_decide(df: DataFrame, art: Artifacts, params: DetectorParams) -> D
     return df.drop("_m")
 
 
-ALERT_FIELDS = ["detector_timestamp", "detector_phase", "is_anomaly", "anomaly_prediction", "model_prediction",
-                "model_flag", "anomaly_score", "rule_flag", "rule_score", "rule_flags", "triggered_rules",
-                "decision_reasons", "features", "pipeline_latency_ms"]
-
-
 def enrich(df: DataFrame, processing_ns: Column) -> DataFrame:
     """Frame columns + detector fields + the 56-feature struct + latency."""
     feats = F.struct(*[F.col(c).cast("double").alias(c) for c in ALL_FEATURES])

@@ -85,10 +85,9 @@ def frame_key_value(frames: DataFrame) -> DataFrame:
 
 def frames_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FIXTURES 7: labelled frames derived from the driver's ``events`` table (integer arithmetic)."""
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    ev = ev.select("event_id", "ts", "user_id", "event_type", k.alias("k"))
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "props")
     ev = spread(with_row_id(ev), "event_id")
+    ev = ev.withColumn("k", F.get_json_object("props", "$.k").cast("bigint")).drop("props")
     m = F.pmod(F.col("k"), F.lit(4))
     label = (F.when(F.col("event_type") == "error", F.lit("dos"))
              .when(F.col("k") >= 97, F.lit("injection"))
