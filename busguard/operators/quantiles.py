@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Largest group ``percentile`` may hold in one aggregation buffer; larger groups use the selection.
+IN_TASK_LIMIT = 2_000_000
+
 
 def kth_smallest(values: DataFrame, keys: list[str], value: str, wanted: DataFrame,
                  passes: int = 2, buckets: int = 1 << 16) -> DataFrame:
@@ -40,9 +43,13 @@ def kth_smallest(values: DataFrame, keys: list[str], value: str, wanted: DataFra
         .select(*keys, "rank_id", F.col("_x").alias(value))
 
 
-def exact_median(values: DataFrame, keys: list[str], value: str, counts: DataFrame) -> DataFrame:
+def exact_median(values: DataFrame, keys: list[str], value: str, counts: DataFrame,
+                 in_task_limit: int | None = None) -> DataFrame:
     """Interpolated median per key (the two middle order statistics, as ``percentile(x, 0.5)``).
-    ``counts``: keys + ``n``."""
+    ``counts``: keys + ``n``.  Groups within ``in_task_limit`` (size-checked) use ``percentile``."""
+    limit = IN_TASK_LIMIT if in_task_limit is None else in_task_limit
+    if largest_group(counts) <= limit:
+        return values.groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"))
     ranks = counts.select(*keys, F.explode(F.array(
         F.struct(F.lit(0).alias("rank_id"), F.floor((F.col("n") - 1) / 2).cast("long").alias("r")),
         F.struct(F.lit(1).alias("rank_id"), F.ceil((F.col("n") - 1) / 2).cast("long").alias("r")))).alias("_q")
@@ -53,12 +60,24 @@ def exact_median(values: DataFrame, keys: list[str], value: str, counts: DataFra
     return both.select(*keys, (F.lit(0.5) * F.col("_v0") + F.lit(0.5) * F.col("_v1")).alias("median"))
 
 
+def largest_group(counts: DataFrame) -> int:
+    """Size check before choosing an in-task aggregate (one small aggregation job)."""
+    return int(counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])
+
+
 def exact_percentiles(values: DataFrame, keys: list[str], value: str, ps: list[float],
-                      counts: DataFrame | None = None) -> DataFrame:
+                      counts: DataFrame | None = None, in_task_limit: int | None = None) -> DataFrame:
     """Interpolated percentiles per key, as ``percentile(x, p)``: position (n - 1) p between the two
-    neighbouring order statistics.  Returns keys + one column ``p<i>`` per requested percentile."""
+    neighbouring order statistics.  Returns keys + one column ``p<i>`` per requested percentile.
+
+    When the size check shows every group within ``in_task_limit`` values, ``percentile`` runs
+    directly (bounded memory per task); otherwise the range-narrowing selection below."""
     if counts is None:
         counts = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    limit = IN_TASK_LIMIT if in_task_limit is None else in_task_limit
+    if largest_group(counts) <= limit:
+        q = values.groupBy(*keys).agg(F.percentile(value, [float(p) for p in ps]).alias("_q"))
+        return q.select(*keys, *[F.col("_q")[i].alias(f"p{i}") for i in range(len(ps))])
     items = []
     for i, p in enumerate(ps):
         pos = (F.col("n") - 1) * F.lit(float(p))

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from busguard.operators import baselines
+from busguard.operators import baselines, quantiles
 from busguard.operators.quantiles import kth_smallest
 
 
@@ -14,7 +14,11 @@ def test_robust_stats_matches_numpy(spark):
     rows += [("one", 3.5), ("two", 1.0), ("two", 4.0), ("neg", -1.0), ("neg", 2.0)]
     rows += [("wide", float(v)) for v in np.concatenate([rng.normal(1e-3, 1e-4, 300), rng.normal(1e6, 1, 301)])]
     df = spark.createDataFrame(rows, "k string, x double")
-    got = {r["k"]: r for r in baselines.robust_stats(df, ["k"], "x").collect()}
+    quantiles.IN_TASK_LIMIT = 100  # force the distributed selection on this small fixture
+    try:
+        got = {r["k"]: r for r in baselines.robust_stats(df, ["k"], "x").collect()}
+    finally:
+        quantiles.IN_TASK_LIMIT = 2_000_000
     for k in {r[0] for r in rows}:
         a = np.array([v for kk, v in rows if kk == k and v > 0])
         med = np.median(a)
@@ -37,8 +41,11 @@ def test_exact_percentiles_match_numpy(spark):
     rng = np.random.default_rng(3)
     rows = [("a", float(v)) for v in rng.normal(0, 1, 999)] + [("b", float(v)) for v in [-2.0, 0.0, 0.0, 5.0]]
     df = spark.createDataFrame(rows, "k string, x double")
-    got = {r["k"]: r for r in exact_percentiles(df, ["k"], "x", [0.25, 0.5, 0.75]).collect()}
+    exact = {r["k"]: r for r in exact_percentiles(df, ["k"], "x", [0.25, 0.5, 0.75], in_task_limit=10).collect()}
+    direct = {r["k"]: r for r in exact_percentiles(df, ["k"], "x", [0.25, 0.5, 0.75]).collect()}
+    got = exact
     for k in ("a", "b"):
         a = np.array([v for kk, v in rows if kk == k])
         for i, p in enumerate([0.25, 0.5, 0.75]):
             assert got[k][f"p{i}"] == pytest.approx(np.percentile(a, p * 100), rel=1e-12, abs=1e-12)
+            assert direct[k][f"p{i}"] == pytest.approx(np.percentile(a, p * 100), rel=1e-12, abs=1e-12)
