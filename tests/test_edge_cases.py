@@ -53,3 +53,22 @@ def test_late_stream_frames_go_to_quarantine(spark):
     det.start(stream, f"{root}/ckpt", available_now=True).awaitTermination(300)
     assert spark.read.parquet(f"{root}/alerts").count() == 200
     assert [r["sequence"] for r in spark.read.parquet(f"{root}/quarantine").collect()] == [999]
+
+
+def test_stream_drops_redelivered_frames(spark):
+    root = tempfile.mkdtemp(prefix="bg-dedupe-")
+    os.makedirs(f"{root}/in")
+    frames = spark.createDataFrame([frame("0x110", send_ns=T0 + i * 100_000_000, sequence=i) for i in range(50)],
+                                   FRAME_SCHEMA)
+    art = detect.Artifacts(None, spark.createDataFrame([], "arbitration_id string, median double, mad double, "
+                                                           "mean double, std double, cv double, count double"),
+                           spark.createDataFrame([], "prev_id string, next_id string, n long, total long, next_ids long"))
+    for i in range(2):  # the same frames delivered twice
+        frames.coalesce(1).write.parquet(f"{root}/tmp{i}")
+        src = [f for f in os.listdir(f"{root}/tmp{i}") if f.endswith(".parquet")][0]
+        os.replace(f"{root}/tmp{i}/{src}", f"{root}/in/part-{i}.parquet")
+    stream = spark.readStream.schema(FRAME_SCHEMA).parquet(f"{root}/in")
+    det = StreamDetector(spark, REFERENCE_BUS.with_(use_model=False), art, f"{root}/alerts", f"{root}/state",
+                         processing_ns=F.lit(T0))
+    det.start(stream, f"{root}/ckpt", available_now=True, dedupe_watermark="1 hour").awaitTermination(300)
+    assert spark.read.parquet(f"{root}/alerts").count() == 50
