@@ -16,7 +16,13 @@ stage 3  ``add_traffic_features``: rows are cut into time chunks; rows within ``
          reuse one hash exchange on (bus, chunk).  Look-backs of unbounded age (previous bus frame,
          previous sighting of a signature or of a 3-gram, number of earlier 3-gram sightings) read
          one small *marker* row per (key, chunk) computed from a grouped running aggregate over
-         chunks.
+         chunks.  The distributions over the 1 s bus window (entropy, dominant id, distinct ids,
+         dominant payload) come from ``_sweep_distributions``, a grouped-map pass per (bus, chunk)
+         with O(1) work per frame, merged back through the same exchange.
+
+All three stages run on a narrow projection (``NARROW``); ``frame_features`` joins the results
+back to the wide decoded frame once, on the scan row id.  Streaming passes earlier sightings in
+as ``history`` (one virtual chunk before all others).
 
 Caps of the reference deques are applied with ``least``.  Frames with equal event time are peers
 of a RANGE window (the reference counts only those already arrived); ``lag`` and running counts
