@@ -184,10 +184,12 @@ DIST_SCHEMA = ("_bus string, _chunk bigint, t bigint, sequence bigint, _ord bigi
                "_d_s double, _d_k long, _d_idmax long, _d_sigmax long")
 
 
-def _sweep_distributions(span_ns: int):
-    """Grouped-map body: for every own row of a (bus, chunk) group, counts over the frames in
-    [t - span, t] (RANGE: equal times are peers): all frames, frames of the row's id, distinct ids,
-    sum of c*log2(c) over id counts, largest id count and largest signature count.
+def _sweep_distributions(span_ns: int, cap: int):
+    """Grouped-map body: for every own row of a (bus, chunk) group, over the bus window -- the
+    frames in [t - span, t] (RANGE: equal times are peers), at most the last ``cap`` of them, as the
+    reference's bounded bus deques hold -- the number of frames, distinct ids, sum of c*log2(c) over
+    id counts, largest id count and largest signature count; and, over the time window alone, the
+    frames of the row's id.
 
     One pass over the time-sorted rows; each frame enters and leaves once and updates running
     counts, sum c*log2(c), distinct count and the maximum count (kept with a count-of-counts
@@ -205,17 +207,19 @@ def _sweep_distributions(span_ns: int):
         sigs = pd.factorize(pdf["sig"])[0].tolist()
         n = len(t)
         cnt_i, cnt_s = [0] * (max(ids, default=0) + 1), [0] * (max(sigs, default=0) + 1)
+        cnt_t = [0] * (max(ids, default=0) + 1)  # per id over the time window only
         hist_i, hist_s = [0] * (n + 2), [0] * (n + 2)
         out_n, out_idn, out_s, out_k, out_mi, out_ms = ([0] * n, [0] * n, [0.0] * n, [0] * n, [0] * n, [0] * n)
         flog = [0.0] + [c * math.log2(c) for c in range(1, n + 2)]
         s, k, mi, ms = 0.0, 0, 0, 0
-        lo = i = 0
+        lo = lo_t = i = 0
         tl = t.tolist()
         while i < n:
             u = tl[i]
             j = i
             while j < n and tl[j] == u:
                 x = ids[j]
+                cnt_t[x] += 1
                 c = cnt_i[x]
                 s += flog[c + 1] - flog[c]
                 if c == 0:
@@ -236,7 +240,10 @@ def _sweep_distributions(span_ns: int):
                     ms = c + 1
                 j += 1
             edge = u - span_ns
-            while tl[lo] < edge:
+            while tl[lo_t] < edge:
+                cnt_t[ids[lo_t]] -= 1
+                lo_t += 1
+            while tl[lo] < edge or j - lo > cap:
                 x = ids[lo]
                 c = cnt_i[x]
                 s += flog[c - 1] - flog[c]
@@ -258,7 +265,7 @@ def _sweep_distributions(span_ns: int):
                     hist_s[c - 1] += 1
                 lo += 1
             for r in range(i, j):
-                out_n[r], out_idn[r], out_s[r], out_k[r], out_mi[r], out_ms[r] = j - lo, cnt_i[ids[r]], s, k, mi, ms
+                out_n[r], out_idn[r], out_s[r], out_k[r], out_mi[r], out_ms[r] = j - lo, cnt_t[ids[r]], s, k, mi, ms
             i = j
         keep = ~pdf["_halo"].to_numpy()
         res = pd.DataFrame({"_bus": pdf["_bus"].to_numpy(), "_chunk": pdf["_chunk"].to_numpy(), "t": t,
@@ -284,7 +291,8 @@ def window_distributions(df: DataFrame, params: DetectorParams) -> DataFrame:
     """W3-W6/W8 counts per frame, from a narrow projection (bus, chunk, time, order, id, signature)
     spread over time chunks with the same halo as the window stage."""
     narrow = time_halo(df.select("_bus", "_chunk", "t", "sequence", "_ord", KEY, "sig"), params)
-    return narrow.groupBy("_bus", "_chunk").applyInPandas(_sweep_distributions(params.traffic_window_ns), DIST_SCHEMA)
+    body = _sweep_distributions(params.traffic_window_ns, params.bus_arrival_cap)
+    return narrow.groupBy("_bus", "_chunk").applyInPandas(body, DIST_SCHEMA)
 
 
 HISTORY_CHUNK = -(10 ** 6)  # virtual chunk before every real one: sightings from earlier runs

@@ -28,6 +28,9 @@ CASES = {
     "one_bus": REFERENCE_BUS.with_(min_warmup_bus_frequency=5.0, warmup_samples=200, use_model=False),
     "one_bus_tiny_chunks": REFERENCE_BUS.with_(min_warmup_bus_frequency=5.0, warmup_samples=200, use_model=False,
                                                chunk_ns=4_000_000_000, block_rows=301),
+    "one_bus_small_deque_caps": REFERENCE_BUS.with_(min_warmup_bus_frequency=5.0, warmup_samples=200,
+                                                    use_model=False, chunk_ns=4_000_000_000, block_rows=301,
+                                                    bus_arrival_cap=6, id_arrival_cap=3),
     "three_buses_tiny_chunks": REFERENCE_BUS.with_(bus_keys=("vehicle_id",), min_warmup_bus_frequency=3.0,
                                                    warmup_samples=150, use_model=False,
                                                    chunk_ns=3_500_000_000, block_rows=305),
