@@ -14,8 +14,9 @@ arrives in one batch or many (T1-T3).  Tail rows are recomputed and dropped, nev
 Delivery (S6): the source offsets live in ``checkpointLocation``; alerts of batch N go to
 ``<alerts>/batch_id=N`` and state to ``<state>/v=N`` with overwrite, so a re-run batch replaces
 its own output: effectively once.  Frames older than the newest event time minus
-``late_ns`` go to a quarantine folder (T6); re-delivered frames are dropped by document id within
-the watermark.  Counters are collected per batch with ``observe`` (A13).
+``late_ns`` and frames whose payload is not JSON go to a quarantine folder with a reason (T6, S4);
+re-delivered frames are dropped within the watermark.  Counters (processed, anomalies,
+quarantined) are collected per batch with ``observe`` (A13).
 """
 
 from __future__ import annotations
@@ -95,12 +96,17 @@ class StreamDetector:
         tail, sig_state, ng_state, max_t = self._load_state(batch_id)
         new = batch.select(*FRAME_COLUMNS).withColumn(
             "_ord", F.xxhash64(F.lit(batch_id), F.monotonically_increasing_id()))
-        if max_t is not None:
-            t = event_time_ns("simulator_send_time_ns", "event_time_epoch_ms", proc)
-            late = t < F.lit(max_t - self.late_ns)
-            new.filter(late).withColumn("batch_id", F.lit(batch_id)) \
-                .write.mode("overwrite").parquet(f"{self.quarantine_dir}/batch_id={batch_id}")
-            new = new.filter(~late)
+        # quarantine: payload text that is not JSON, and frames older than the lateness bound
+        t = event_time_ns("simulator_send_time_ns", "event_time_epoch_ms", proc)
+        malformed = F.col("payload").isNotNull() & F.try_parse_json("payload").isNull()
+        late = F.lit(False) if max_t is None else t < F.lit(max_t - self.late_ns)
+        reason = F.when(malformed, F.lit("malformed_payload")).when(late, F.lit("late"))
+        bad_obs = Observation(f"quarantine-{batch_id}")
+        (new.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+         .observe(bad_obs, F.count(F.lit(1)).alias("quarantined"))
+         .write.mode("overwrite").parquet(f"{self.quarantine_dir}/batch_id={batch_id}"))
+        self.stats["quarantined"] += int(bad_obs.get.get("quarantined") or 0)
+        new = new.filter(reason.isNull())
         frames = tail.withColumn("_hist", F.lit(True)).unionByName(new.withColumn("_hist", F.lit(False)))
         feats = detect.features(frames, p, proc, history=(sig_state, ng_state)).persist()
         ready = F.lit(True)

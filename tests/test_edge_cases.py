@@ -39,7 +39,9 @@ def test_late_stream_frames_go_to_quarantine(spark):
     os.makedirs(f"{root}/in")
     frames = spark.createDataFrame([frame("0x110", send_ns=T0 + i * 100_000_000, sequence=i) for i in range(200)],
                                    FRAME_SCHEMA)
-    late = spark.createDataFrame([frame("0x110", send_ns=T0 - 60_000_000_000, sequence=999)], FRAME_SCHEMA)
+    late = spark.createDataFrame([frame("0x110", send_ns=T0 - 60_000_000_000, sequence=999),
+                                  frame("0x110", send_ns=T0 + 30_000_000_000, sequence=998, raw_payload="{oops")],
+                                 FRAME_SCHEMA)
     art = detect.Artifacts(None, spark.createDataFrame([], "arbitration_id string, median double, mad double, "
                                                            "mean double, std double, cv double, count double"),
                            spark.createDataFrame([], "prev_id string, next_id string, n long, total long, next_ids long"))
@@ -52,7 +54,9 @@ def test_late_stream_frames_go_to_quarantine(spark):
                          f"{root}/quarantine", processing_ns=F.lit(T0))
     det.start(stream, f"{root}/ckpt", available_now=True).awaitTermination(300)
     assert spark.read.parquet(f"{root}/alerts").count() == 200
-    assert [r["sequence"] for r in spark.read.parquet(f"{root}/quarantine").collect()] == [999]
+    q = {r["sequence"]: r["reason"] for r in spark.read.parquet(f"{root}/quarantine").collect()}
+    assert q == {999: "late", 998: "malformed_payload"}
+    assert det.stats["quarantined"] == 2 and det.stats["processed"] == 200
 
 
 def test_stream_drops_redelivered_frames(spark):
