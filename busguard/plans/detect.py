@@ -145,3 +145,38 @@ def detect(frames: DataFrame, params: DetectorParams, processing_ns: Column | No
         art = fit_model(warm, art, params)
     decided = score_and_decide(learned(feats, art, params), art, params)
     return enrich(decided, processing_ns), art
+
+
+def save_artifacts(art: Artifacts, path: str) -> None:
+    """Learned tables as Parquet plus one small JSON row of scalars (fit point, forest constants)."""
+    spark = art.timing_baseline.sparkSession
+    art.timing_baseline.write.mode("overwrite").parquet(f"{path}/timing_baseline")
+    art.transitions.write.mode("overwrite").parquet(f"{path}/transitions")
+    if art.scaler is not None:
+        art.scaler.write.mode("overwrite").parquet(f"{path}/scaler")
+    if art.forest_nodes is not None:
+        art.forest_nodes.write.mode("overwrite").parquet(f"{path}/forest_nodes")
+    meta = {"fit_key": list(art.fit_key) if art.fit_key else None,
+            "psi": art.forest.psi if art.forest else None, "offset": art.forest.offset if art.forest else None}
+    spark.createDataFrame([(json_dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def load_artifacts(spark, path: str) -> Artifacts:
+    import json
+
+    meta = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
+    art = Artifacts(tuple(meta["fit_key"]) if meta["fit_key"] else None,
+                    spark.read.parquet(f"{path}/timing_baseline"), spark.read.parquet(f"{path}/transitions"))
+    if meta["psi"] is not None:
+        nodes = spark.read.parquet(f"{path}/forest_nodes")
+        fo = forest.Forest.from_nodes(nodes.toPandas(), meta["psi"])  # bounded node table
+        fo.offset = meta["offset"]
+        art.forest, art.forest_nodes = fo, nodes
+        art.scaler = spark.read.parquet(f"{path}/scaler")
+        art.extra["scaler_rows"] = art.scaler.collect()  # 32 rows
+    return art
+
+
+def json_dumps(obj) -> str:
+    import json
+    return json.dumps(obj)
