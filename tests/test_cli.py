@@ -33,3 +33,17 @@ def test_cli_round_trip(spark):
     again = detect.load_artifacts(spark, f"{d}/art2").forest
     assert np.allclose(art2.forest.score_samples(x), again.score_samples(x))
     assert spark.read.parquet(f"{d}/alerts-b").filter("detector_phase = 'inference'").count() > 0
+
+
+def test_cli_stream_with_saved_artifacts(spark):
+    d = tempfile.mkdtemp(prefix="bg-cli-stream-")
+    frames = frames_from_events(spark, "/root/testdata/sf0.001")
+    frames.select(*[F.col(c).cast(FRAME_SCHEMA[c].dataType).alias(c) for c in FRAME_COLUMNS]) \
+        .coalesce(1).write.parquet(f"{d}/frames")
+    assert main(["detect", "--frames", f"{d}/frames", "--alerts", f"{d}/alerts-batch", "--artifacts", f"{d}/art",
+                 "--warmup-samples", "200", "--min-warmup-bus-frequency", "5", "--bus-keys"]) == 0
+    assert main(["stream", "--frames", f"{d}/frames", "--format", "parquet", "--alerts", f"{d}/alerts-stream",
+                 "--artifacts", f"{d}/art", "--checkpoint", f"{d}/ckpt", "--available-now",
+                 "--min-warmup-bus-frequency", "5", "--warmup-samples", "200", "--bus-keys"]) == 0
+    got = spark.read.parquet(f"{d}/alerts-stream")
+    assert got.count() == 1000 and got.filter(F.col("anomaly_score") != 0).count() > 0
