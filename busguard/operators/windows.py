@@ -58,6 +58,9 @@ def floor_div(x: Column, n: int) -> Column:
 
 
 def with_chunk(df: DataFrame, params: DetectorParams) -> DataFrame:
+    if params.chunk_ns < params.halo_ns:
+        # the halo copies a chunk's tail into the next chunk only
+        raise ValueError(f"chunk_ns ({params.chunk_ns}) must be at least halo_ns ({params.halo_ns})")
     return df.withColumn("_chunk", floor_div(F.col("t"), params.chunk_ns))
 
 
@@ -184,7 +187,7 @@ DIST_SCHEMA = ("_bus string, _chunk bigint, t bigint, sequence bigint, _ord bigi
                "_d_s double, _d_k long, _d_idmax long, _d_sigmax long")
 
 
-def _sweep_distributions(span_ns: int, cap: int):
+def _sweep_distributions(span_ns: int, cap: int, arrival_ties: bool = False):
     """Grouped-map body: for every own row of a (bus, chunk) group, over the bus window -- the
     frames in [t - span, t] (RANGE: equal times are peers), at most the last ``cap`` of them, as the
     reference's bounded bus deques hold -- the number of frames, distinct ids, sum of c*log2(c) over
@@ -217,7 +220,7 @@ def _sweep_distributions(span_ns: int, cap: int):
         while i < n:
             u = tl[i]
             j = i
-            while j < n and tl[j] == u:
+            while j < n and tl[j] == u and (j == i or not arrival_ties):
                 x = ids[j]
                 cnt_t[x] += 1
                 c = cnt_i[x]
@@ -291,7 +294,7 @@ def window_distributions(df: DataFrame, params: DetectorParams) -> DataFrame:
     """W3-W6/W8 counts per frame, from a narrow projection (bus, chunk, time, order, id, signature)
     spread over time chunks with the same halo as the window stage."""
     narrow = time_halo(df.select("_bus", "_chunk", "t", "sequence", "_ord", KEY, "sig"), params)
-    body = _sweep_distributions(params.traffic_window_ns, params.bus_arrival_cap)
+    body = _sweep_distributions(params.traffic_window_ns, params.bus_arrival_cap, params.arrival_ties)
     return narrow.groupBy("_bus", "_chunk").applyInPandas(body, DIST_SCHEMA)
 
 
@@ -366,14 +369,20 @@ def add_traffic_features(base: DataFrame, seq: DataFrame, params: DetectorParams
     rank = F.when(real, F.lit(1)).otherwise(F.lit(0))
     bus_o = Window.partitionBy("_bus", "_chunk").orderBy(*ORDER, "_rank")
     id_t = Window.partitionBy("_bus", "_chunk", KEY).orderBy("t")
+    id_o = Window.partitionBy("_bus", "_chunk", KEY).orderBy(*ORDER)
     sig_t = Window.partitionBy("_bus", "_chunk", KEY, "sig").orderBy("t")
+    sig_o = Window.partitionBy("_bus", "_chunk", KEY, "sig").orderBy(*ORDER)
     ng_o = Window.partitionBy("_bus", "_chunk", KEY, "ngram").orderBy(*ORDER)
 
-    def trailing(x: Column, w: Window, span: int) -> Column:
+    def trailing(x: Column, w: Window, span: int, w_order: Window | None = None) -> Column:
         """sum of x over t in [t - span, t] as the difference of two running sums: both frames
         start unbounded, which Spark evaluates incrementally (a sliding RANGE frame would
-        re-aggregate all w rows of the frame for every row)."""
-        upto = F.sum(x).over(w.rangeBetween(before, 0))
+        re-aggregate all w rows of the frame for every row).  With ``arrival_ties`` the first sum
+        runs in arrival order up to this frame, so later frames of the same time are not counted."""
+        if params.arrival_ties and w_order is not None:
+            upto = F.sum(x).over(w_order.rowsBetween(before, 0))
+        else:
+            upto = F.sum(x).over(w.rangeBetween(before, 0))
         older = F.sum(x).over(w.rangeBetween(before, -(span + 1)))
         return F.coalesce(upto, F.lit(0)) - F.coalesce(older, F.lit(0))
 
@@ -387,8 +396,8 @@ def add_traffic_features(base: DataFrame, seq: DataFrame, params: DetectorParams
     ext = ext.withColumns(cols).filter(real | kind.isin("sig", "ngram"))
     # spec 2 (id, signature): 3 s repeats (W12), previous sighting -> replay suspicion
     ext = ext.withColumns({
-        "_sig_n3": trailing(F.when(real, F.lit(1)).otherwise(F.lit(0)), sig_t, params.repeat_window_ns),
-        "_prev_sig_t": F.last(F.when(real, F.col("t")), ignorenulls=True).over(sig_t.rowsBetween(before, -1)),
+        "_sig_n3": trailing(F.when(real, F.lit(1)).otherwise(F.lit(0)), sig_t, params.repeat_window_ns, sig_o),
+        "_prev_sig_t": F.last(F.when(real, F.col("t")), ignorenulls=True).over(sig_o.rowsBetween(before, -1)),
         "_sig_first_before": F.min(F.when(kind == "sig", F.col("_mk_t"))).over(sig_t.rowsBetween(before, after)),
     })
     suspicious = F.when(
@@ -397,7 +406,7 @@ def add_traffic_features(base: DataFrame, seq: DataFrame, params: DetectorParams
     ).otherwise(F.coalesce(F.col("_sig_first_before") < F.col("t"), F.lit(False)))
     ext = ext.withColumn("_suspicious", F.when(real & suspicious, F.lit(1)).otherwise(F.lit(0)))
     # spec 3 (id, time): suspicious frames of the id in the last second
-    ext = ext.withColumn("_replay_n", trailing(F.col("_suspicious"), id_t, S))
+    ext = ext.withColumn("_replay_n", trailing(F.col("_suspicious"), id_t, S, id_o))
     # spec 4 (id, 3-gram): earlier sightings and age of the last one
     ext = ext.filter(real | (kind == "ngram")).withColumns({
         "_ng_prev_t": F.last(F.when(own, F.col("t")), ignorenulls=True).over(ng_o.rowsBetween(before, -1)),

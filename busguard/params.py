@@ -50,6 +50,7 @@ class DetectorParams:
     chunk_ns: int = 20 * NS_PER_S      # time chunk that splits a bus into parallel tasks
     block_rows: int = 50_000           # row block that splits one identifier's sequence
     use_model: bool = True
+    arrival_ties: bool = False         # True: equal event times count in arrival order, not as peers
     watermark: str = "10 seconds"
     state_ttl_ms: int = 0              # 0 = keep signature / 3-gram state forever (reference)
     known_ids: tuple[str, ...] = field(default=("0x110", "0x220", "0x330", "0x440", "0x550"))
