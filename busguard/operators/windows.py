@@ -397,7 +397,10 @@ def add_traffic_features(base: DataFrame, seq: DataFrame, params: DetectorParams
     # spec 2 (id, signature): 3 s repeats (W12), previous sighting -> replay suspicion
     ext = ext.withColumns({
         "_sig_n3": trailing(F.when(real, F.lit(1)).otherwise(F.lit(0)), sig_t, params.repeat_window_ns, sig_o),
-        "_prev_sig_t": F.last(F.when(real, F.col("t")), ignorenulls=True).over(sig_o.rowsBetween(before, -1)),
+        # peers share a time, so with peer semantics the time order suffices (the replay count sums
+        # over peers); arrival order needs the full order key, one more sort
+        "_prev_sig_t": F.last(F.when(real, F.col("t")), ignorenulls=True).over(
+            (sig_o if params.arrival_ties else sig_t).rowsBetween(before, -1)),
         "_sig_first_before": F.min(F.when(kind == "sig", F.col("_mk_t"))).over(sig_t.rowsBetween(before, after)),
     })
     suspicious = F.when(
