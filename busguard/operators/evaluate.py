@@ -64,14 +64,13 @@ def metrics(tp: Column, tn: Column, fp: Column, fn: Column) -> dict[str, Column]
 def detection_report(alerts: DataFrame, start=None, end=None) -> DataFrame:
     """One row per attack type, then ``overall`` (blank total), REPORT_COLUMNS + ``ord``."""
     counts = confusion_counts(alerts, start, end)
-    stack = ", ".join(f"{i}, '{a}', {a}_total, {a}_pos, {a}_neg" for i, a in enumerate(ATTACK_TYPES))
-    per = counts.selectExpr(f"stack({len(ATTACK_TYPES)}, {stack}) as (ord, attack_type, total, tp, fn)",
-                            "normal_neg as tn", "normal_pos as fp")
     tp_sum = " + ".join(f"{a}_pos" for a in ATTACK_TYPES)
     fn_sum = " + ".join(f"{a}_neg" for a in ATTACK_TYPES)
-    overall = counts.selectExpr(f"{len(ATTACK_TYPES)} as ord", "'overall' as attack_type", "cast(null as bigint) as total",
-                                f"{tp_sum} as tp", f"{fn_sum} as fn", "normal_neg as tn", "normal_pos as fp")
-    rows = per.unionByName(overall)
+    items = [f"{i}, '{a}', {a}_total, {a}_pos, {a}_neg" for i, a in enumerate(ATTACK_TYPES)]
+    items.append(f"{len(ATTACK_TYPES)}, 'overall', cast(null as bigint), {tp_sum}, {fn_sum}")
+    # one aggregation, one stack: every report row comes from the same single scan
+    rows = counts.selectExpr(f"stack({len(items)}, {', '.join(items)}) as (ord, attack_type, total, tp, fn)",
+                             "normal_neg as tn", "normal_pos as fp")
     rows = rows.withColumns(metrics(F.col("tp"), F.col("tn"), F.col("fp"), F.col("fn")))
     return rows.select("ord", *REPORT_COLUMNS)
 
