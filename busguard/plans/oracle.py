@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from busguard.params import REFERENCE_BUS as P
-from busguard.schema import FEATURE_COLUMNS, RULE_NAMES
+from busguard.schema import RULE_NAMES
 from busguard.sources.frames import FRAMES_SQL
 
 S = 1_000_000_000
