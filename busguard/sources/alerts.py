@@ -28,6 +28,9 @@ def write_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
     """Alerts as Parquet partitioned by event date and label.  ``mode='overwrite'`` with
     dynamic partition overwrite resets only the partitions being written."""
     out = alerts.withColumn("event_date", F.to_date("timestamp"))
+    # rebalance: rows of one (date, label) land in few files, and AQE splits a hot label-day over
+    # several tasks instead of one (plain repartition) or every task writing every partition value
+    out = out.hint("rebalance", "event_date", "attack_type_label")
     (out.write.mode(mode).option("partitionOverwriteMode", "dynamic")
      .partitionBy("event_date", "attack_type_label").parquet(path))
 
