@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from busguard.llm.common import drop_folder, scratch_path
 from busguard.llm.decontaminate import find_contamination
+from busguard.llm.html_text import extract_text
 from busguard.llm.line_dedup import dedup_lines
+from busguard.llm.secret_scan import find_secrets
 from busguard.llm.sentencepiece_codec import encode_decode
 from busguard.llm.shards import RECORD_BYTES, shuffle_into_shards, text_bytes
+from busguard.llm.warc import convert_arc, page_records, write_arc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,11 +23,27 @@ def sha256(c) -> F.Column:
     return F.sha2(c, 256)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", sha256(F.encode("text", "UTF-8")).alias("kept_sha256"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    shown = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    base = F.filter("secrets", lambda s: s["kind"] != "random")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    return out.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"),
+                      count("hex").alias("n_hex"),
+                      sha256(F.encode(F.array_join(F.transform(base, shown), ","), "UTF-8")).alias("base_sha256"),
+                      F.array_join(F.transform("secrets", shown), ",").alias("spans"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_contamination(read(spark, sf_dir, "documents").select("doc_id", "text"),
                              read(spark, sf_dir, "benchmark"))
@@ -49,10 +69,23 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
+    write_arc(read(spark, sf_dir, "pages"), arc)
+    convert_arc(spark, arc, warc)
+    drop_folder(spark, arc)
+    return page_records(spark, warc).select(
+        "page_id", F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"), F.col("refers_to_page").alias("refers_to"), "url", "sound")
+
+
 #: name: (query, DuckDB text or None where SQL cannot express the result or is too slow on whole tables)
 Q = {
+    "op2_html_text": (op2_html_text, None),
     "op3_line_dedup": (op3_line_dedup, None),
+    "op4_secrets": (op4_secrets, None),
     "op6_decontaminate": (op6_decontaminate, None),
     "op7_sentencepiece": (op7_sentencepiece, None),
     "op9_shards": (op9_shards, None),
+    "op10_warc": (op10_warc, None),
 }
