@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from busguard.llm.common import drop_folder, scratch_path
 from busguard.llm.decontaminate import find_contamination
 from busguard.llm.html_text import extract_text
+from busguard.llm.language_id import identify, is_held_out, learn
 from busguard.llm.line_dedup import dedup_lines
 from busguard.llm.secret_scan import find_secrets
 from busguard.llm.sentencepiece_codec import encode_decode
@@ -44,6 +45,13 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.array_join(F.transform("secrets", shown), ",").alias("spans"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = learn(docs.filter(~is_held_out(F.col("doc_id"))))
+    out = identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_contamination(read(spark, sf_dir, "documents").select("doc_id", "text"),
                              read(spark, sf_dir, "benchmark"))
@@ -84,6 +92,7 @@ Q = {
     "op2_html_text": (op2_html_text, None),
     "op3_line_dedup": (op3_line_dedup, None),
     "op4_secrets": (op4_secrets, None),
+    "op5_language_id": (op5_language_id, None),
     "op6_decontaminate": (op6_decontaminate, None),
     "op7_sentencepiece": (op7_sentencepiece, None),
     "op9_shards": (op9_shards, None),
