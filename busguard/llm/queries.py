@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from busguard.llm.common import drop_folder, scratch_path
 from busguard.llm.decontaminate import find_contamination
 from busguard.llm.html_text import extract_text
+from busguard.llm.jaccard_join import similarity_components
 from busguard.llm.language_id import identify, is_held_out, learn
 from busguard.llm.line_dedup import dedup_lines
 from busguard.llm.secret_scan import find_secrets
@@ -69,6 +72,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                       sha256(F.encode("decoded", "UTF-8")).alias("decoded_sha256"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return similarity_components(docs, k=3, similarity=Fraction(90, 100))
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shuffle_into_shards(read(spark, sf_dir, "documents").select("doc_id", "text"), 40)
     text = F.coalesce("text", F.lit(""))
@@ -95,6 +103,7 @@ Q = {
     "op5_language_id": (op5_language_id, None),
     "op6_decontaminate": (op6_decontaminate, None),
     "op7_sentencepiece": (op7_sentencepiece, None),
+    "op8_jaccard_join": (op8_jaccard_join, None),
     "op9_shards": (op9_shards, None),
     "op10_warc": (op10_warc, None),
 }
