@@ -13,6 +13,7 @@ from busguard.llm.html_text import extract_text
 from busguard.llm.jaccard_join import similarity_components
 from busguard.llm.language_id import identify, is_held_out, learn
 from busguard.llm.line_dedup import dedup_lines
+from busguard.llm.nearest import nearest
 from busguard.llm.secret_scan import find_secrets
 from busguard.llm.sentencepiece_codec import encode_decode
 from busguard.llm.shards import RECORD_BYTES, shuffle_into_shards, text_bytes
@@ -27,6 +28,11 @@ def sha256(c) -> F.Column:
     return F.sha2(c, 256)
 
 
+def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extract_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -97,6 +103,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: name: (query, DuckDB text or None where SQL cannot express the result or is too slow on whole tables)
 Q = {
+    "op1_cross_polytope": (op1_cross_polytope, None),
     "op2_html_text": (op2_html_text, None),
     "op3_line_dedup": (op3_line_dedup, None),
     "op4_secrets": (op4_secrets, None),
