@@ -127,6 +127,13 @@ def node_id(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def described_frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """Rows whose first value is a 64-bit node or None (kept exact: not by way of floats)."""
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pd.DataFrame({n: pd.array(c, dtype="Int64") if i == 0 else pd.Series(c, dtype=object) if n != "size" else c
+                         for i, (n, c) in enumerate(zip(names, columns))})
+
+
 # ---- candidates within blocks -----------------------------------------------------------------------------------
 
 def forest(distance: np.ndarray) -> list[tuple[int, int]]:
@@ -293,7 +300,7 @@ def index_keys(texts: DataFrame, counts: dict[int, int], k: int, similarity: Fra
             below = signatures(s, band + 1, *plans[band + 1]).view(np.int64) \
                 if len(s) >= similarity * band_start(band + 1) else np.empty(0, dtype=np.int64)
             out.append((node_id(s), own, below))
-        return pd.DataFrame(out, columns=["node", "own", "below"]).astype({"node": "Int64"})
+        return described_frame(out, ["node", "own", "below"])
 
     keyed = texts.select(run("text").alias("f")).select("f.*").filter("node is not null")
     return keyed.dropDuplicates(["node"])
@@ -381,7 +388,7 @@ def similarity_components(docs: DataFrame, id: str = "doc_id", text: str = "text
         for t in texts:
             s = shingle_set(t.encode(), k)
             out.append((node_id(s) if len(s) else None, len(s), sketch(s) if len(s) else None))
-        return pd.DataFrame(out, columns=["node", "size", "sketch"]).astype({"node": "Int64"})
+        return described_frame(out, ["node", "size", "sketch"])
 
     facts = docs.select(col(docs, id).alias("id"), F.md5(body.cast("binary")).alias("row"), described(body).alias("f"))
     facts = stage_table(facts.select("id", "row", "f.node", "f.size", "f.sketch"), "jaccard-sets")

@@ -147,8 +147,10 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_cha
         flagged.filter(F.size(sus) > 0).select(col(docs, id).alias("doc"), F.explode(sus).alias("digest")).distinct(),
         "suspected-lines")
     best = F.max("doc") if keep == "largest" else F.min(F.struct(F.col("doc").isNotNull(), "doc")).getField("doc")
-    repeated = (pairs.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), best.alias("kept"))
-                .filter(F.col("n") >= min_docs).select("digest", "kept"))
+    # a table of its own, so that the join can split the partition of a line that very many documents hold
+    repeated = stage_table(
+        pairs.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), best.alias("kept"))
+        .filter(F.col("n") >= min_docs).select("digest", "kept"), "repeated-lines")
     drops = (pairs.join(repeated, "digest").filter(~F.col("doc").eqNullSafe(F.col("kept")))
              .groupBy(F.col("doc").alias(key)).agg(F.collect_list("digest").alias("drop")))
     out = free_name(docs, "drop")

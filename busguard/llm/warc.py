@@ -156,8 +156,8 @@ def in_frames(rows: Iterator[dict], schema: str) -> Iterator[pd.DataFrame]:
     size = 0
 
     def frame() -> pd.DataFrame:
-        out = pd.DataFrame(batch, columns=names)
-        return out.astype({"page_id": "Int64"})
+        out = pd.DataFrame(batch, columns=names, dtype=object)  # as objects, ids next to nulls stay exact
+        return out.astype({"n_bytes": "int64"})
 
     for row in rows:
         batch.append(row)
