@@ -137,7 +137,8 @@ def page_lines(page: str) -> tuple[list[tuple[str, float, bool]], bool]:
         attributes = page[m.end():end]
         at = end + 1
         if skipping:
-            opens_text = not closing and name in TEXT_ROOTS and skipping not in TEXT_ROOTS and not is_part(attributes)
+            # the first article ends what was never closed before it; later ones may be a comment's
+            opens_text = not closing and not has_root and name in TEXT_ROOTS and not is_part(attributes)
             ends_short = skipping in ("p", "li", "dt", "dd") and name in BLOCKS and (not closing or name != skipping)
             if skipping == "head" and name == "body" or opens_text or ends_short:
                 skipping, depth = "", 0  # never closed

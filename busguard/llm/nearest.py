@@ -97,7 +97,7 @@ def best_in_block(top: int):
 
     def run(key: tuple, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(vectors) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_ids": [], "scores": []})
+            return pd.DataFrame(columns=["query_id", "vec_ids", "scores"], dtype=object)
         vectors = vectors.sort_values("id", ignore_index=True)
         ids = vectors["id"].to_numpy(np.int64)
         matrix = np.frombuffer(b"".join(vectors["vec"])).reshape(len(ids), -1)
@@ -180,8 +180,8 @@ def nearest(vectors: DataFrame, is_query: Column, id: str = "vec_id", vec: str =
     def packed(values: pd.Series) -> pd.Series:
         return values.map(lambda v: np.asarray(v, dtype=np.float64).tobytes())
 
-    one = lambda df: df.select(F.lit(0).alias("table"), F.lit(0).cast("long").alias("bucket"), "id",
-                               packed("vec").alias("vec"))
+    one = lambda df: df.select(F.lit(0).alias("table"), F.lit(0).cast("long").alias("bucket"),
+                               F.col("id").alias("id"), packed("vec").alias("vec"))
     rest = search_blocks(one(plain), one(asking.join(short, "id", "left_semi")), top)
     whole = rest.groupBy("query_id").applyInPandas(merged_best(top), shape)
     return found.join(short.withColumnRenamed("id", "query_id"), "query_id", "left_anti").unionByName(whole)

@@ -19,7 +19,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,22 +60,24 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int, id: str = "doc_id", text
     sizes = docs.select(number.alias(bucket)).groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
-    scattered = docs.withColumn(bucket, number).withColumn(tie, F.xxhash64(F.lit(~seed), *keys, col(docs, text)))
-    schema = T.StructType([*docs.schema.fields, T.StructField(shard_as, T.IntegerType()),
-                           T.StructField(slot_as, T.LongType())])
-    columns = docs.columns
-
-    def place(key: tuple, records: pd.DataFrame, offset: pd.DataFrame) -> pd.DataFrame:
-        if not len(records):
-            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
-        records = records.sort_values([tie], kind="stable", ignore_index=True)
-        rank = int(offset[start].iloc[0]) + fisher_yates(len(records), f"{seed}:{key[0]}")
-        shard = rank * n_shards // n
-        out = records[columns].assign(**{shard_as: shard.astype(np.int32),
-                                         slot_as: rank - (shard * n + n_shards - 1) // n_shards})
-        return out.sort_values([shard_as, slot_as], ignore_index=True)
-
-    return scattered.groupBy(bucket).cogroup(starts.groupBy(bucket)).applyInPandas(place, schema)
+    # of equal records the order does not matter; all columns that can be hashed tell records apart
+    hashable = [col(docs, f.name) for f in docs.schema.fields if "map" not in f.dataType.simpleString()]
+    base = docs.withColumn(bucket, number).withColumn(tie, F.xxhash64(F.lit(~seed), *hashable)).drop(shard_as, slot_as)
+    kept = T.StructType([f for f in base.schema.fields if f.name not in (bucket, tie)])
+    schema = T.StructType([*kept.fields, T.StructField(shard_as, T.IntegerType()), T.StructField(slot_as, T.LongType())])
+
+    def place(key: tuple, records: pa.Table, offset: pa.Table) -> pa.Table:
+        order = np.argsort(records[tie].to_numpy(), kind="stable")
+        first = offset[start][0].as_py() if len(records) else 0
+        rank = first + fisher_yates(len(records), f"{seed}:{key[0].as_py()}")
+        shard = rank * n_shards // max(n, 1)
+        slot = rank - (shard * n + n_shards - 1) // n_shards
+        along = np.lexsort((slot, shard))
+        out = records.select(kept.names).take(order[along])
+        return (out.append_column(shard_as, pa.array(shard[along], pa.int32()))
+                .append_column(slot_as, pa.array(slot[along], pa.int64())))
+
+    return base.groupBy(bucket).cogroup(starts.groupBy(bucket)).applyInArrow(place, schema)
 
 
 def write_shards(sharded: DataFrame, path: str, shard: str = "shard") -> None:
