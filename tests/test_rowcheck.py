@@ -1,4 +1,4 @@
-"""Spark pipeline vs the row-at-a-time checker on the driver's events fixture.
+"""Spark pipeline vs the brute-force checker on the driver's events fixture.
 
 Also checks that the chunk / block splitting is invisible: tiny chunks and blocks force every row
 through halos and carries, and several buses exercise the bus keys."""
@@ -45,10 +45,10 @@ def test_pipeline_matches_row_checker(spark, case):
     got = {r["sequence"]: r for r in alerts.select("sequence", "detector_phase", "triggered_rules", "features").collect()}
     rows = frames.select("sequence", "simulator_send_time_ns", "arbitration_id", "payload", "attack_type_label",
                          "vehicle_id").collect()
-    recs = sorted(({"sequence": r[0], "t": r[1], "key": r[2], "payload": json.loads(r[3]), "label": r[4],
-                    "vehicle_id": r[5]} for r in rows), key=lambda d: (d["t"], d["sequence"]))
+    recs = [{"sequence": r[0], "t": r[1], "key": r[2], "payload": json.loads(r[3]), "label": r[4], "vehicle_id": r[5]}
+            for r in rows]
     bus_of = (lambda r: r["vehicle_id"]) if p.bus_keys else (lambda r: "")
-    want = rowcheck.learn_and_decide(rowcheck.pass_one(recs, bus_of, p), bus_of, p)
+    want = rowcheck.check(recs, bus_of, p)
     assert len(got) == len(want) == 1000
     assert sum(f["phase"] == "inference" for f in want) > 100, "fixture must reach the inference phase"
     bad = []
@@ -82,9 +82,9 @@ def test_arrival_order_ties_match_row_checker(spark):
                             chunk_ns=3_000_000_000, block_rows=301)
     alerts, _ = detect.detect(df, p, F.lit(T0), materialize=False)
     got = {r["sequence"]: r for r in alerts.select("sequence", "detector_phase", "triggered_rules", "features").collect()}
-    recs = sorted(({"sequence": r[5], "t": r[2], "key": r[6], "payload": json.loads(r[8]), "label": r[9],
-                    "vehicle_id": r[3]} for r in rows), key=lambda d: (d["t"], d["sequence"]))
-    want = rowcheck.learn_and_decide(rowcheck.pass_one(recs, lambda r: "", p), lambda r: "", p)
+    recs = [{"sequence": r[5], "t": r[2], "key": r[6], "payload": json.loads(r[8]), "label": r[9], "vehicle_id": r[3]}
+            for r in rows]
+    want = rowcheck.check(recs, lambda r: "", p)
     assert sum(f["phase"] == "inference" for f in want) > 300
     bad = []
     for f in want:
