@@ -1,7 +1,8 @@
 """Command line: the reference's entry points as Spark jobs.
 
-  python -m busguard detect   --frames PATH --alerts OUT [--artifacts OUT] [--format parquet|json]
-  python -m busguard stream   --frames DIR --alerts OUT --artifacts DIR --checkpoint DIR [--available-now]
+  python -m busguard detect   --frames PATH --alerts OUT [--artifacts OUT] [--quarantine OUT] [--format parquet|json]
+  python -m busguard stream   --frames DIR --alerts OUT --artifacts DIR --checkpoint DIR [--state DIR]
+                              [--quarantine DIR] [--interval T] [--available-now]
   python -m busguard evaluate --alerts PATTERN [--start-time T] [--end-time T] --json-out P --csv-out P
   python -m busguard gates    --alerts PATTERN [--min-overall-f1 .99 ...]   (exit code 1 on failure)
 
@@ -40,10 +41,14 @@ def _detector_flags(p):
 
 
 def cmd_detect(a, spark):
-    alerts, art = detect.detect(read_frames(spark, a.frames, a.format), _params(a))
+    frames = read_frames(spark, a.frames, a.format)
+    rejected = a.quarantine or a.alerts.rstrip("/") + "-quarantine"
+    detect.quarantine(frames).write.mode("overwrite").parquet(rejected)
+    alerts, art = detect.detect(frames, _params(a))
     A.write_alerts(alerts, a.alerts, "overwrite")
     if a.artifacts:
         detect.save_artifacts(art, a.artifacts)
+    print(json.dumps({"alerts": spark.read.parquet(a.alerts).count(), "quarantined": spark.read.parquet(rejected).count()}))
     return 0
 
 
@@ -51,9 +56,13 @@ def cmd_stream(a, spark):
     from busguard.sources.frames import stream_frames
     from busguard.streaming.stream import StreamDetector
     art = detect.load_artifacts(spark, a.artifacts)
-    det = StreamDetector(spark, _params(a), art, a.alerts)
+    # state and quarantine outlive the session: beside the checkpoint that holds the offsets
+    beside = a.checkpoint.rstrip("/")
+    det = StreamDetector(spark, _params(a), art, a.alerts, a.state or f"{beside}-state",
+                         a.quarantine or f"{beside}-quarantine")
     q = det.start(stream_frames(spark, a.frames, a.format, a.max_files), a.checkpoint,
-                  available_now=a.available_now, dedupe_watermark=a.dedupe_watermark)
+                  available_now=a.available_now,
+                  processing_time=a.interval, dedupe_watermark=a.dedupe_watermark)
     q.awaitTermination()
     print(json.dumps(dict(det.stats)))
     return 0
@@ -92,6 +101,7 @@ def main(argv=None) -> int:
     d.add_argument("--format", default="parquet", choices=["parquet", "json"])
     d.add_argument("--alerts", required=True)
     d.add_argument("--artifacts")
+    d.add_argument("--quarantine", help="rejected records; default: beside the alerts")
     _detector_flags(d)
     s = sub.add_parser("stream")
     s.add_argument("--frames", required=True)
@@ -100,6 +110,9 @@ def main(argv=None) -> int:
     s.add_argument("--alerts", required=True)
     s.add_argument("--artifacts", required=True)
     s.add_argument("--checkpoint", required=True)
+    s.add_argument("--state", help="look-back state; default: beside the checkpoint")
+    s.add_argument("--quarantine", help="rejected and late frames; default: beside the checkpoint")
+    s.add_argument("--interval", default="1 second", help="time between micro-batches")
     s.add_argument("--available-now", action="store_true")
     s.add_argument("--dedupe-watermark", default=None)
     _detector_flags(s)

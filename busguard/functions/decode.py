@@ -19,14 +19,21 @@ def _c(x) -> Column:
 
 
 def parse_arbitration_id(arb) -> Column:
-    """Null -> -1; '0x..' (any case) -> base 16; plain integer -> base 10; anything else -> -1."""
-    a = F.trim(_c(arb))
-    hexa = F.conv(F.substring(a, 3, 64), 16, 10).cast("bigint")
+    """Null -> -1; '0x..' (any case) -> base 16; plain integer -> base 10; anything else -> -1.
+
+    No input raises: a value beyond 63 bits has no place on a bus (identifiers have 11 or 29 bits) and
+    counts as malformed, -1, like text padded with blanks.
+    """
+    a = _c(arb)
+    none = F.lit(-1).cast("bigint")
+    digits = F.regexp_replace(F.substring(a, 3, 1 << 30), "^0+(?=.)", "")
+    short = (F.length(digits) < 16) | ((F.length(digits) == 16) & F.substring(digits, 1, 1).rlike("[0-7]"))
+    # the guard stands inside the argument: conv and the cast never see a value that they reject
+    hexa = F.conv(F.when(short, digits).otherwise(F.lit("0")), 16, 10).try_cast("bigint")
     return (
-        F.when(a.isNull(), F.lit(-1).cast("bigint"))
-        .when(a.rlike("^0[xX][0-9A-Fa-f]+$"), F.coalesce(hexa, F.lit(-1).cast("bigint")))
-        .when(a.rlike("^[+-]?[0-9]+$"), F.coalesce(a.try_cast("bigint"), F.lit(-1).cast("bigint")))
-        .otherwise(F.lit(-1).cast("bigint"))
+        F.when(a.rlike("^0[xX][0-9A-Fa-f]+$"), F.when(short, F.coalesce(hexa, none)).otherwise(none))
+        .when(a.rlike("^[+-]?[0-9]+$"), F.coalesce(a.try_cast("bigint"), none))
+        .otherwise(none)
     )
 
 
@@ -113,11 +120,12 @@ def decode_frames(frames: DataFrame, params: DetectorParams | None = None,
     Rows whose payload text is not valid JSON get ``payload_valid = false`` (quarantine upstream).
     """
     v = payload_variant("payload")
+    whole = F.col("_corrupt_record").isNull() if "_corrupt_record" in frames.columns else F.lit(True)
     cols = {
         "t": event_time_ns("simulator_send_time_ns", "event_time_epoch_ms", processing_ns),
         "arbitration_key": F.coalesce(F.col("arbitration_id"), F.lit("None")),
         "label": F.coalesce(F.col("attack_type_label"), F.lit("normal")),
-        "payload_valid": F.col("payload").isNull() | F.try_parse_json("payload").isNotNull(),
+        "payload_valid": whole & (F.col("payload").isNull() | F.try_parse_json("payload").isNotNull()),
         "_pv": v,
     }
     out = frames.withColumns(cols)

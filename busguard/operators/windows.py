@@ -187,10 +187,15 @@ DIST_SCHEMA = ("_bus string, _chunk bigint, t bigint, sequence bigint, _ord bigi
                "_d_s double, _d_k long, _d_idmax long, _d_sigmax long")
 
 
-def _sweep_distributions(span_ns: int, cap: int, arrival_ties: bool = False):
+def capped(count: Column, cap: int | None) -> Column:
+    """``count``, saturated at an optional bound."""
+    return count if cap is None else F.least(count, F.lit(cap))
+
+
+def _sweep_distributions(span_ns: int, cap: int | None, arrival_ties: bool = False):
     """Grouped-map body: for every own row of a (bus, chunk) group, over the bus window -- the
-    frames in [t - span, t] (RANGE: equal times are peers), at most the last ``cap`` of them, as the
-    reference's bounded bus deques hold -- the number of frames, distinct ids, sum of c*log2(c) over
+    frames in [t - span, t] (RANGE: equal times are peers), at most the last ``cap`` of them where a cap
+    is set -- the number of frames, distinct ids, sum of c*log2(c) over
     id counts, largest id count and largest signature count; and, over the time window alone, the
     frames of the row's id.
 
@@ -216,6 +221,7 @@ def _sweep_distributions(span_ns: int, cap: int, arrival_ties: bool = False):
         flog = [0.0] + [c * math.log2(c) for c in range(1, n + 2)]
         s, k, mi, ms = 0.0, 0, 0, 0
         lo = lo_t = i = 0
+        most = n if cap is None else cap
         tl = t.tolist()
         while i < n:
             u = tl[i]
@@ -246,7 +252,7 @@ def _sweep_distributions(span_ns: int, cap: int, arrival_ties: bool = False):
             while tl[lo_t] < edge:
                 cnt_t[ids[lo_t]] -= 1
                 lo_t += 1
-            while tl[lo] < edge or j - lo > cap:
+            while tl[lo] < edge or j - lo > most:
                 x = ids[lo]
                 c = cnt_i[x]
                 s += flog[c - 1] - flog[c]
@@ -298,9 +304,6 @@ def window_distributions(df: DataFrame, params: DetectorParams) -> DataFrame:
     return narrow.groupBy("_bus", "_chunk").applyInPandas(body, DIST_SCHEMA)
 
 
-HISTORY_CHUNK = -(10 ** 6)  # virtual chunk before every real one: sightings from earlier runs
-
-
 def _markers(base: DataFrame, seq: DataFrame, params: DetectorParams,
              history: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Carry rows for look-backs that may reach past the previous chunk (see module doc).
@@ -311,6 +314,7 @@ def _markers(base: DataFrame, seq: DataFrame, params: DetectorParams,
     ngram, n, last_t), entered as one chunk before all others.
     """
     L, H = params.chunk_ns, params.halo_ns
+    no_chunk = F.lit(None).cast("bigint")  # history rows: null sorts before every chunk
     real = base.select("_bus", "_chunk", KEY, "sig", "t", "sequence", "_ord")
     by_chunk = Window.partitionBy
     # previous frame on the bus before this chunk
@@ -323,7 +327,7 @@ def _markers(base: DataFrame, seq: DataFrame, params: DetectorParams,
     # has rows in that chunk's halo
     g = real.groupBy("_bus", KEY, "sig", "_chunk").agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))
     if history is not None:
-        g = g.unionByName(history[0].select("_bus", KEY, "sig", F.lit(HISTORY_CHUNK).cast("bigint").alias("_chunk"),
+        g = g.unionByName(history[0].select("_bus", KEY, "sig", no_chunk.alias("_chunk"),
                                             F.col("first_t").alias("_t0"), F.col("last_t").alias("_t1")))
     w = by_chunk("_bus", KEY, "sig").orderBy("_chunk")
     g = g.select("*", F.min("_t0").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
@@ -339,14 +343,14 @@ def _markers(base: DataFrame, seq: DataFrame, params: DetectorParams,
     ng = counted.select("_bus", "_chunk", KEY, "ngram", "t").filter(F.col("ngram").isNotNull()).groupBy("_bus", KEY, "ngram", "_chunk").agg(
         F.count(F.lit(1)).alias("_n"), F.max("t").alias("_t1"))
     if history is not None:
-        ng = ng.unionByName(history[1].select("_bus", KEY, "ngram", F.lit(HISTORY_CHUNK).cast("bigint").alias("_chunk"),
+        ng = ng.unionByName(history[1].select("_bus", KEY, "ngram", no_chunk.alias("_chunk"),
                                               F.col("n").alias("_n"), F.col("last_t").alias("_t1")))
     wn = by_chunk("_bus", KEY, "ngram").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     ng = ng.select("_bus", "_chunk", KEY, "ngram", F.sum("_n").over(wn).alias("_mk_n"),
                    F.max("_t1").over(wn).alias("_mk_t")).filter(F.col("_mk_n").isNotNull()) \
         .withColumn("_kind", F.lit("ngram"))
     out = bus.unionByName(sig, allowMissingColumns=True).unionByName(ng, allowMissingColumns=True)
-    out = out.filter(F.col("_chunk") > HISTORY_CHUNK + 1)
+    out = out.filter(F.col("_chunk").isNotNull())
     # a carry row sorts before every row of its chunk (halo included); a NULL time would make all
     # carry rows one peer group at the head of every RANGE frame
     return out.withColumn("t", F.col("_chunk") * F.lit(L) - F.lit(H) - F.lit(1))
@@ -420,14 +424,15 @@ def add_traffic_features(base: DataFrame, seq: DataFrame, params: DetectorParams
     })
     out = ext.filter(own)
 
-    bus_total = F.least(F.col("_d_n"), F.lit(params.bus_arrival_cap)).cast("double")
-    id_total = F.least(F.col("_d_idn"), F.lit(params.id_arrival_cap)).cast("double")
+    bus_total = F.col("_d_n").cast("double")
+    id_total = capped(F.col("_d_idn"), params.id_arrival_cap).cast("double")
     n = F.col("_d_n").cast("double")
     entropy = F.log2(n) - F.col("_d_s") / n
     norm = F.log2(F.greatest(F.lit(2.0), F.col("_d_k").cast("double")))
     ng_n = F.coalesce(F.col("_ng_mk_n"), F.lit(0)) + F.col("_ng_before_n")
     ng_prev = F.coalesce(F.col("_ng_prev_t"), F.col("_ng_mk_t"))
     has_ng = F.col("ngram").isNotNull()
+    sightings = None if params.ngram_sighting_cap is None else params.ngram_sighting_cap - 1
     out = out.withColumns({
         "id_frequency_1s": id_total,
         "bus_frequency_1s": bus_total,
@@ -437,10 +442,10 @@ def add_traffic_features(base: DataFrame, seq: DataFrame, params: DetectorParams
         "bus_utilization": F.least(F.lit(1.0), bus_total / F.lit(params.bus_capacity_per_s)),
         "repeated_id_ratio": F.when(bus_total > 0, id_total / bus_total).otherwise(F.lit(0.0)),
         "payload_repeat_ratio": F.when(n > 0, F.col("_d_sigmax") / n).otherwise(F.lit(0.0)),
-        "replay_signature_repeats_1s": F.least(F.col("_replay_n"), F.lit(params.replay_suspicion_cap)).cast("double"),
-        "payload_signature_repeats_3s": (F.least(F.col("_sig_n3"), F.lit(params.signature_time_cap)) - 1).cast("double"),
+        "replay_signature_repeats_1s": capped(F.col("_replay_n"), params.replay_suspicion_cap).cast("double"),
+        "payload_signature_repeats_3s": (capped(F.col("_sig_n3"), params.signature_time_cap) - 1).cast("double"),
         "previous_bus_id": F.col("_prev_bus_id"),
-        "payload_sequence_repeat_count": F.when(has_ng, F.least(ng_n, F.lit(params.ngram_sighting_cap - 1)).cast("double"))
+        "payload_sequence_repeat_count": F.when(has_ng, capped(ng_n, sightings).cast("double"))
         .otherwise(F.lit(0.0)),
         "payload_sequence_age_ms": F.when(has_ng & ng_prev.isNotNull(),
                                           (F.col("t") - ng_prev).cast("double") / NS_PER_MS).otherwise(F.lit(0.0)),

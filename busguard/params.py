@@ -38,20 +38,20 @@ class DetectorParams:
     transition_min_total: int = 20
     transition_alpha: float = 0.5
     transition_rare_below: float = 0.02
-    # --- deque caps of the reference state ---
-    id_arrival_cap: int = 3000
-    bus_arrival_cap: int = 10000
+    # --- frame of the rolling gap statistics (W10) ---
     interarrival_rows: int = 300
-    signature_time_cap: int = 200
-    ngram_sighting_cap: int = 100
-    replay_suspicion_cap: int = 1000
+    # --- optional bounds on windows, None = none: they make counts saturate with traffic (see MEMORY_BOUNDS) ---
+    id_arrival_cap: int | None = None
+    bus_arrival_cap: int | None = None
+    signature_time_cap: int | None = None
+    ngram_sighting_cap: int | None = None
+    replay_suspicion_cap: int | None = None
     # --- ours: data layout and streaming ---
     bus_keys: tuple[str, ...] = ("vehicle_id",)
     chunk_ns: int = 20 * NS_PER_S      # time chunk that splits a bus into parallel tasks
     block_rows: int = 50_000           # row block that splits one identifier's sequence
     use_model: bool = True
     arrival_ties: bool = False         # True: equal event times count in arrival order, not as peers
-    watermark: str = "10 seconds"
     state_ttl_ms: int = 0              # 0 = keep signature / 3-gram state forever (reference)
     known_ids: tuple[str, ...] = field(default=("0x110", "0x220", "0x330", "0x440", "0x550"))
 
@@ -65,5 +65,9 @@ class DetectorParams:
 
 
 DEFAULT = DetectorParams()
+# The memory bounds of a single detector process, for parity runs:
+# ``params.with_(**MEMORY_BOUNDS)``.  Above them counts saturate and the bus window loses its oldest frames.
+MEMORY_BOUNDS = {"id_arrival_cap": 3000, "bus_arrival_cap": 10000, "signature_time_cap": 200,
+                 "ngram_sighting_cap": 100, "replay_suspicion_cap": 1000}
 # Parity with the reference: every frame of the process shares one bus.
 REFERENCE_BUS = DetectorParams(bus_keys=())

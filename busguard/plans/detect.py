@@ -39,8 +39,13 @@ def decoded_frames(frames: DataFrame, params: DetectorParams, processing_ns: Col
     return decode.decode_frames(frames, params, processing_ns).filter(F.col("payload_valid"))
 
 
-def quarantine(frames: DataFrame, params: DetectorParams) -> DataFrame:
-    return decode.decode_frames(frames, params).filter(~F.col("payload_valid")).select(*FRAME_COLUMNS)
+def quarantine(frames: DataFrame) -> DataFrame:
+    """What ``decoded_frames`` leaves out, with the reason: records that are no frame (with their text), and
+    frames whose payload text is not JSON."""
+    text = F.col("_corrupt_record") if "_corrupt_record" in frames.columns else F.lit(None).cast("string")
+    reason = F.when(text.isNotNull(), F.lit("corrupt_record")).when(
+        F.col("payload").isNotNull() & F.try_parse_json("payload").isNull(), F.lit("malformed_payload"))
+    return frames.select(*FRAME_COLUMNS, text.alias("record"), reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def features(frames: DataFrame, params: DetectorParams, processing_ns: Column | None = None,

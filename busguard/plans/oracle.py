@@ -104,17 +104,17 @@ w1 AS (
 ), feats AS (
   SELECT *,
     COALESCE(gap, 0.0) AS interarrival_ms,
-    CAST(least(id_n, {P.id_arrival_cap}) AS DOUBLE) AS id_frequency_1s,
-    CAST(least(bus_n, {P.bus_arrival_cap}) AS DOUBLE) AS bus_frequency_1s,
+    CAST(id_n AS DOUBLE) AS id_frequency_1s,
+    CAST(bus_n AS DOUBLE) AS bus_frequency_1s,
     CASE WHEN bus_n <= 1 THEN 0.0 ELSE
       -list_sum(list_transform(id_counts, lambda c: (c / bus_n) * log2(c / bus_n))) / log2(greatest(2, len(id_counts))) END
       AS id_entropy_1s,
     list_max(id_counts) / bus_n AS dominant_id_ratio,
     CAST(len(id_counts) AS DOUBLE) AS unique_ids_per_second,
-    least(1.0, least(bus_n, {P.bus_arrival_cap}) / {P.bus_capacity_per_s}) AS bus_utilization,
-    least(id_n, {P.id_arrival_cap}) / least(bus_n, {P.bus_arrival_cap}) AS repeated_id_ratio,
+    least(1.0, bus_n / {P.bus_capacity_per_s}) AS bus_utilization,
+    id_n / bus_n AS repeated_id_ratio,
     sig_max / bus_n AS payload_repeat_ratio,
-    CAST(least(replay_n, {P.replay_suspicion_cap}) AS DOUBLE) AS replay_signature_repeats_1s,
+    CAST(replay_n AS DOUBLE) AS replay_signature_repeats_1s,
     CASE WHEN n_gaps > 0 THEN CAST(a_s1 AS DOUBLE) / CAST(n_gaps AS DOUBLE) / 1e6 ELSE 0.0 END AS rolling_interarrival_mean,
     CASE WHEN n_gaps > 0 THEN sqrt(CAST(CAST(n_gaps AS DECIMAL(38,0)) * a_s2 - a_s1 * a_s1 AS DOUBLE)
       / (CAST(n_gaps AS DOUBLE) * CAST(n_gaps AS DOUBLE))) / 1e6 ELSE 0.0 END AS rolling_interarrival_std,
@@ -124,9 +124,9 @@ w1 AS (
     CASE WHEN arbitration_id_numeric <= 15 THEN 1.0 ELSE 0.0 END AS reserved_id_flag,
     CASE WHEN arbitration_id_numeric < 0 THEN 0.0 ELSE 1.0 - least(arbitration_id_numeric, 2047) / 2047 END
       AS arbitration_priority_score,
-    CAST(least(sig_n3, {P.signature_time_cap}) - 1 AS DOUBLE) AS payload_signature_repeats_3s,
-    least(1.0, (least(sig_n3, {P.signature_time_cap}) - 1) / 12.0) AS payload_repeat_score,
-    CAST(CASE WHEN ng_n IS NULL THEN 0 ELSE least(ng_n, {P.ngram_sighting_cap - 1}) END AS DOUBLE) AS payload_sequence_repeat_count,
+    CAST(sig_n3 - 1 AS DOUBLE) AS payload_signature_repeats_3s,
+    least(1.0, (sig_n3 - 1) / 12.0) AS payload_repeat_score,
+    CAST(CASE WHEN ng_n IS NULL THEN 0 ELSE ng_n END AS DOUBLE) AS payload_sequence_repeat_count,
     CASE WHEN ng_prev_t IS NOT NULL THEN (t - ng_prev_t) / 1e6 ELSE 0.0 END AS payload_sequence_age_ms,
     CASE WHEN prev_t IS NULL THEN 0.0 ELSE (speed - p_speed) * 0.277778 / elapsed END AS speed_delta_mps2,
     CASE WHEN prev_t IS NULL THEN 0.0 ELSE abs(rpm - p_rpm) / elapsed END AS rpm_delta_per_second,

@@ -5,29 +5,55 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "busguard") -> SparkSession:
-    builder = (
-        SparkSession.builder.appName(app)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("BUSGUARD_DRIVER_MEMORY", "8g"))
-    )
-    if master:
-        builder = builder.master(master)
+LOCAL_DEFAULTS = {
+    "spark.sql.shuffle.partitions": "8",
+    "spark.driver.memory": os.environ.get("BUSGUARD_DRIVER_MEMORY", "8g"),
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+}
+DEFAULTS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
+                  app: str = "busguard") -> SparkSession:
+    """A session.  What the caller, spark-submit or a running session has set stays as it is; sizes are
+    given for a local master alone."""
+    running = SparkSession.getActiveSession()
+    given = dict(running.sparkContext.getConf().getAll()) if running else dict(SparkConf().getAll())
+    target = master or given.get("spark.master") or "local[*]"
+    wanted = dict(DEFAULTS)
+    if target.startswith("local") and not target.startswith("local-cluster"):
+        wanted |= LOCAL_DEFAULTS
+    builder = SparkSession.builder
+    if not running:
+        builder = builder.master(target)
+        if "spark.app.name" not in given:
+            builder = builder.appName(app)
+    for key, value in wanted.items():
+        if key not in given and not (running and _is_set(running, key)):
+            builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    if shuffle_partitions is not None:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle_partitions)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def _is_set(spark: SparkSession, key: str) -> bool:
+    """Whether a running session has a value of its own for a setting (or it can no longer be set)."""
+    return not spark.conf.isModifiable(key) or spark.conf.get(key, None) is not None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 

@@ -12,16 +12,23 @@ def document_id(alerts: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Deterministic id ``sha256(session:sequence:arbitration_id:ordinal)``.
 
     ``sequence`` is not unique (all frames of a tick share it), so the ordinal numbers the frames
-    of one (session, sequence, id) in event order; a re-delivered frame gets the same id and
-    ``dropDuplicates(["document_id"])`` removes it.  Kafka sources can use topic:partition:offset.
+    of one (session, sequence, id) in event order within the frames given.  Frames that carry their source
+    position (topic, partition, offset) are named by it instead: such an id does not depend on what else is
+    in the batch, so ``dropDuplicates(["document_id"])`` removes exactly what was delivered again.
     """
+    if order is None and {"topic", "partition", "offset"} <= set(alerts.columns):
+        return alerts.withColumn("document_id", hashed_id("topic", "partition", "offset"))
     order = order or ["event_time_ns"]
     w = Window.partitionBy("session_id", "sequence", "arbitration_id").orderBy(*order)
-    ordinal = (F.row_number().over(w) - 1).cast("string")
-    return alerts.withColumn(
-        "document_id",
-        F.sha2(F.concat_ws(":", F.col("session_id"), F.col("sequence").cast("string"),
-                           F.col("arbitration_id"), ordinal), 256))
+    ordinal = (F.row_number().over(w) - 1).alias("ordinal")
+    numbered = alerts.withColumn("_ordinal", ordinal)
+    return numbered.withColumn("document_id", hashed_id("session_id", "sequence", "arbitration_id", "_ordinal")) \
+        .drop("_ordinal")
+
+
+def hashed_id(*columns: str):
+    """SHA-256 of the columns' texts; a null is an empty place, so columns never slide into each other."""
+    return F.sha2(F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
 
 
 def write_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from busguard.schema import FRAME_COLUMNS, FRAME_SCHEMA
 
@@ -29,37 +30,48 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key)
 
 
+#: Text of a JSON line that could not be read; null for good frames and for other formats.
+CORRUPT = "_corrupt_record"
+JSON_SCHEMA = StructType([*FRAME_SCHEMA.fields, StructField(CORRUPT, StringType())])
+JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+
+
 def read_frames(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Frames from files with the declared schema (no inference); JSON keeps payload as text."""
-    reader = spark.read.schema(FRAME_SCHEMA) if fmt == "json" else spark.read
+    """Frames from files with the declared schema (no inference); JSON keeps payload as text and the
+    text of lines that are no frame in ``_corrupt_record``, for the quarantine."""
+    reader = spark.read.schema(JSON_SCHEMA).options(**JSON_OPTIONS) if fmt == "json" else spark.read
     df = reader.format(fmt).load(path)
-    df = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(FRAME_SCHEMA[c].dataType).alias(c)
-                     for c in FRAME_COLUMNS])
+    df = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(JSON_SCHEMA[c].dataType).alias(c)
+                     for c in [*FRAME_COLUMNS, CORRUPT]])
     return spread(with_row_id(df), "_ord")
 
 
 def stream_frames(spark: SparkSession, path: str, fmt: str = "json", max_files: int | None = None) -> DataFrame:
     """S2 as a stream: file source with the declared schema."""
-    reader = spark.readStream.schema(FRAME_SCHEMA)
+    reader = spark.readStream.schema(JSON_SCHEMA).options(**JSON_OPTIONS) if fmt == "json" \
+        else spark.readStream.schema(FRAME_SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.format(fmt).load(path)
 
 
-def kafka_options(servers: str, topic: str, starting_offsets: str = "latest", max_offsets: int = 500,
-                  username: str | None = None, password: str | None = None,
+def kafka_options(servers: str, topic: str, starting_offsets: str = "latest", max_offsets: int | None = None,
+                  fail_on_data_loss: bool = True, username: str | None = None, password: str | None = None,
                   ca_location: str | None = None) -> dict[str, str]:
-    """Options of the frame stream source (SASL_SSL + PLAIN, bounded records per trigger).
+    """Options of the frame stream source (SASL_SSL + PLAIN).
 
-    The connector jar is supplied at submit time; the value column holds the JSON frame.
+    Expired offsets fail the query unless ``fail_on_data_loss`` is off; ``max_offsets`` bounds the records
+    per trigger of all partitions together.  The connector jar is supplied at submit time; the value column
+    holds the JSON frame.
     """
     opts = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
         "startingOffsets": starting_offsets,
-        "maxOffsetsPerTrigger": str(max_offsets),
-        "failOnDataLoss": "false",
+        "failOnDataLoss": str(fail_on_data_loss).lower(),
     }
+    if max_offsets:
+        opts["maxOffsetsPerTrigger"] = str(max_offsets)
     if username is not None:
         jaas = ("org.apache.kafka.common.security.plain.PlainLoginModule required "
                 f'username="{username}" password="{password}";')
@@ -73,14 +85,29 @@ def kafka_options(servers: str, topic: str, starting_offsets: str = "latest", ma
 
 def frames_from_kafka_value(raw: DataFrame) -> DataFrame:
     """Kafka rows -> frame columns; keeps topic/partition/offset for the document id and order."""
-    v = F.from_json(F.col("value").cast("string"), FRAME_SCHEMA, {"mode": "PERMISSIVE"})
-    return raw.select(v.alias("f"), "topic", "partition", "offset").select("f.*", "topic", "partition", "offset")
+    text = F.col("value").cast("string")
+    v = F.from_json(text, JSON_SCHEMA, JSON_OPTIONS)
+    out = raw.select(v.alias("f"), text.alias("_text"), "topic", "partition", "offset")
+    # a null value has no frame either
+    return out.select(*[F.col(f"f.{c}").alias(c) for c in FRAME_COLUMNS],
+                      F.when(F.col("_text").isNull(), F.lit("")).otherwise(F.col(f"f.{CORRUPT}")).alias(CORRUPT),
+                      "topic", "partition", "offset")
+
+
+def read_kafka(spark: SparkSession, options: dict[str, str]) -> DataFrame:
+    """The frames of a topic as a stream; needs the connector on the class path."""
+    return frames_from_kafka_value(spark.readStream.format("kafka").options(**options).load())
+
+
+def write_kafka(frames: DataFrame, options: dict[str, str], topic: str) -> None:
+    """Publish frames to a topic."""
+    frame_key_value(frames).write.format("kafka").options(**options).option("topic", topic).save()
 
 
 def frame_key_value(frames: DataFrame) -> DataFrame:
     """Publish form, key ``vehicle_id:arbitration_id`` and the JSON frame as value."""
     return frames.select(F.concat_ws(":", "vehicle_id", "arbitration_id").alias("key"),
-                         F.to_json(F.struct(*[F.col(c) for c in frames.columns])).alias("value"))
+                         F.to_json(F.struct(*[F.col(c) for c in frames.columns if c != CORRUPT])).alias("value"))
 
 
 def frames_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,15 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def batch_order(batch: DataFrame) -> Column:
+    """Arrival order of a micro-batch's frames: by source position where they carry one, else by file row."""
+    if {"partition", "offset"} <= set(batch.columns):
+        # the order across partitions is not defined by the source; within one it is the offset's
+        return F.pmod(F.col("offset"), F.lit(1 << 30)) * 1024 + F.pmod(F.col("partition"), F.lit(1024))
+    row = F.monotonically_increasing_id()
+    return F.shiftright(row, 33) * F.lit(1 << 24) + F.pmod(row, F.lit(1 << 24))
+
+
 class StreamDetector:
     """foreachBatch body plus helpers to start the query."""
 
@@ -94,19 +103,22 @@ class StreamDetector:
         p = self.params
         proc = self.processing_ns if self.processing_ns is not None else F.unix_micros(F.current_timestamp()) * 1000
         tail, sig_state, ng_state, max_t = self._load_state(batch_id)
-        new = batch.select(*FRAME_COLUMNS).withColumn(
-            "_ord", F.xxhash64(F.lit(batch_id), F.monotonically_increasing_id()))
+        text = F.col("_corrupt_record") if "_corrupt_record" in batch.columns else F.lit(None).cast("string")
+        new = batch.select(*FRAME_COLUMNS, text.alias("record")).withColumn(
+            "_ord", F.lit(batch_id).cast("bigint") * F.lit(1 << 40) + batch_order(batch)).persist()
         # quarantine: payload text that is not JSON, and frames older than the lateness bound
         t = event_time_ns("simulator_send_time_ns", "event_time_epoch_ms", proc)
         malformed = F.col("payload").isNotNull() & F.try_parse_json("payload").isNull()
         late = F.lit(False) if max_t is None else t < F.lit(max_t - self.late_ns)
-        reason = F.when(malformed, F.lit("malformed_payload")).when(late, F.lit("late"))
+        reason = (F.when(F.col("record").isNotNull(), F.lit("corrupt_record"))
+                  .when(malformed, F.lit("malformed_payload")).when(late, F.lit("late")))
         bad_obs = Observation(f"quarantine-{batch_id}")
         (new.withColumn("reason", reason).filter(F.col("reason").isNotNull())
          .observe(bad_obs, F.count(F.lit(1)).alias("quarantined"))
          .write.mode("overwrite").parquet(f"{self.quarantine_dir}/batch_id={batch_id}"))
         self.stats["quarantined"] += int(bad_obs.get.get("quarantined") or 0)
-        new = new.filter(reason.isNull())
+        held = new
+        new = new.filter(reason.isNull()).drop("record")
         frames = tail.withColumn("_hist", F.lit(True)).unionByName(new.withColumn("_hist", F.lit(False)))
         feats = detect.features(frames, p, proc, history=(sig_state, ng_state)).persist()
         ready = F.lit(True)
@@ -123,11 +135,14 @@ class StreamDetector:
 
         # next state: bounded tail + grouped sightings
         fresh = feats.filter(~F.col("_hist"))
-        w_id = Window.partitionBy("_bus", KEY).orderBy(*[F.col(c).desc() for c in ORDER])
-        bus_max = F.max("t").over(Window.partitionBy("_bus"))
-        keep = (F.row_number().over(w_id) <= p.interarrival_rows) | (F.col("t") >= bus_max - F.lit(p.halo_ns))
-        next_tail = feats.select(*FRAME_COLUMNS, "_ord", "_bus", KEY, "t").withColumn("_keep", keep) \
-            .filter("_keep").select(*FRAME_COLUMNS, "_ord")
+        # a frame may come late_ns after the newest one: it needs the windows that end there, and the rows
+        # of its identifier before that time
+        newest = feats.groupBy("_bus").agg((F.max("t") - F.lit(p.halo_ns + self.late_ns)).alias("_edge"))
+        rows = feats.select(*FRAME_COLUMNS, "_ord", "_bus", KEY, "t").join(newest, "_bus")
+        recent = F.col("t") >= F.col("_edge")
+        w_id = Window.partitionBy("_bus", KEY, "_recent").orderBy(*[F.col(c).desc() for c in ORDER])
+        next_tail = (rows.withColumn("_recent", recent).withColumn("_place", F.row_number().over(w_id))
+                     .filter(F.col("_recent") | (F.col("_place") <= p.interarrival_rows)).select(*FRAME_COLUMNS, "_ord"))
         sig_new = fresh.groupBy("_bus", KEY, "sig").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
         next_sig = sig_state.unionByName(sig_new).groupBy("_bus", KEY, "sig").agg(
             F.min("first_t").alias("first_t"), F.max("last_t").alias("last_t"))
@@ -142,6 +157,7 @@ class StreamDetector:
                 next_sig, next_ng = next_sig.filter(F.col("last_t") >= edge), next_ng.filter(F.col("last_t") >= edge)
         self._save_state(batch_id, next_tail, next_sig, next_ng)
         feats.unpersist()
+        held.unpersist()
         windows.release(feats)
 
     # ------------------------------------------------------------------ query

@@ -19,7 +19,7 @@ def test_malformed_payload_quarantined(spark):
     df = frames_df(spark, rows)
     alerts, _ = detect.detect(df, P, F.lit(T0), materialize=False)
     assert sorted(r["sequence"] for r in alerts.collect()) == [1]
-    assert sorted(r["sequence"] for r in detect.quarantine(df, P).collect()) == [2, 3]
+    assert sorted(r["sequence"] for r in detect.quarantine(df).collect()) == [2, 3]
 
 
 def test_null_arbitration_id_and_equal_times(spark):
