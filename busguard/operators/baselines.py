@@ -74,12 +74,13 @@ def robust_stats(samples: DataFrame, keys: list[str], value: str, bounded: bool
         dev = pos.join(med.select(*keys, "median"), keys).groupBy(*keys).agg(
             F.percentile(F.abs(F.col(value) - F.col("median")), 0.5).alias("mad"))
     else:
+        pos = pos.persist()  # two narrow columns, read five times; recomputed where an executor is lost
         moments = pos.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
                                          F.count(F.lit(1)).alias("n"))
-        median = quantiles.exact_median(pos, keys, value, moments)
+        median = quantiles.exact_median(pos, keys, value)
         med = moments.join(median, keys).withColumn("count", F.col("n").cast("double"))
         devs = pos.join(median, keys).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_d"))
-        dev = quantiles.exact_median(devs, keys, "_d", moments).withColumnRenamed("median", "mad")
+        dev = quantiles.exact_median(devs, keys, "_d").withColumnRenamed("median", "mad")
     out = med.join(dev, keys)
     return out.select(*keys, "median", "mad", "mean", "std",
                       F.when(F.col("mean") > 0, F.col("std") / F.col("mean")).otherwise(F.lit(0.0)).alias("cv"),

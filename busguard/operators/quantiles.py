@@ -1,11 +1,11 @@
 """Exact order statistics per key without gathering a key's values in one task.
 
-``percentile`` keeps every distinct value of a group in one aggregation buffer; a key holding a
-third of all rows would hold a third of the data in one task.  Here the k-th smallest value per
-(key, rank) is found by narrowing a value range: each pass counts the rows per (key, rank, bucket)
-with partial aggregation (only counts cross the shuffle), a running sum over the bucket counts
-picks the bucket that holds rank k, and the next pass looks only inside it.  A final pass counts
-rows per exact value inside the last range (a handful of distinct values) and picks the value.
+``percentile`` keeps every distinct value of a group in one aggregation buffer; a key holding a third of
+all rows would hold a third of the data in one task.  Here two passes suffice at any size.  The first takes a
+bracket around each wanted percentile from the bounded quantile summary of ``approx_percentile``, wider than
+its error.  The second counts, per key and bracket, the rows below it and the rows of each value inside it;
+only those counts cross the shuffle, and a running sum over the values inside picks the one of the wanted
+rank.  A bracket that should not hold its rank (its counts tell) is an error, never a wrong value.
 """
 
 from __future__ import annotations
@@ -14,65 +14,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def kth_smallest(values: DataFrame, keys: list[str], value: str, wanted: DataFrame,
-                 passes: int = 2, buckets: int = 1 << 16) -> DataFrame:
-    """``wanted``: keys + ``rank_id`` + ``r`` (0-based rank).  Returns keys + rank_id + ``value``."""
-    x = values.select(*keys, F.col(value).alias("_x"))
-    rng = x.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    cand = wanted.join(rng, keys)
-    inside = (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))
-    before = Window.unboundedPreceding
-    for _ in range(passes):
-        width = F.col("_hi") - F.col("_lo")
-        b = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width * F.lit(float(buckets))),
-                                      F.lit(buckets - 1))).otherwise(F.lit(0)).cast("long")
-        counts = x.join(cand, keys).filter(inside).groupBy(*keys, "rank_id", "r", b.alias("_b")).agg(
-            F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_blo"), F.max("_x").alias("_bhi"))
-        w = Window.partitionBy(*keys, "rank_id").orderBy("_b")
-        counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w.rowsBetween(before, -1)), F.lit(0)))
-        pick = counts.filter((F.col("_before") <= F.col("r")) & (F.col("r") < F.col("_before") + F.col("_n")))
-        cand = pick.select(*keys, "rank_id", (F.col("r") - F.col("_before")).alias("r"),
-                           F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"))
-    exact = x.join(cand, keys).filter(inside).groupBy(*keys, "rank_id", "r", "_x").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys, "rank_id").orderBy("_x")
-    exact = exact.withColumn("_before", F.coalesce(F.sum("_n").over(w.rowsBetween(before, -1)), F.lit(0)))
-    return exact.filter((F.col("_before") <= F.col("r")) & (F.col("r") < F.col("_before") + F.col("_n"))) \
-        .select(*keys, "rank_id", F.col("_x").alias(value))
+# Half width of a bracket, as a share of the rows, and the error of the summary, ten times smaller.
+REACH = 0.001
+ACCURACY = 10_000
+# Up to this many rows a bracket of that width may hold less than the ranks on both sides: take all values.
+FEW = 5_000
 
 
-def exact_median(values: DataFrame, keys: list[str], value: str, counts: DataFrame) -> DataFrame:
-    """Interpolated median per key (the two middle order statistics, as ``percentile(x, 0.5)``).
-    ``counts``: keys + ``n``."""
-    ranks = counts.select(*keys, F.explode(F.array(
-        F.struct(F.lit(0).alias("rank_id"), F.floor((F.col("n") - 1) / 2).cast("long").alias("r")),
-        F.struct(F.lit(1).alias("rank_id"), F.ceil((F.col("n") - 1) / 2).cast("long").alias("r")))).alias("_q")
-    ).select(*keys, "_q.rank_id", "_q.r")
-    kth = kth_smallest(values, keys, value, ranks)
-    both = kth.groupBy(*keys).agg(F.max(F.when(F.col("rank_id") == 0, F.col(value))).alias("_v0"),
-                                  F.max(F.when(F.col("rank_id") == 1, F.col(value))).alias("_v1"))
-    return both.select(*keys, (F.lit(0.5) * F.col("_v0") + F.lit(0.5) * F.col("_v1")).alias("median"))
+def order_statistics(values: DataFrame, keys: list[str], value: str, ps: list[float]) -> DataFrame:
+    """keys, ``i``, ``n`` and ``low``, ``high``: the values at the floor and the ceiling of (n - 1) ps[i]."""
+    x = values.select(*keys, F.col(value).alias("_x")).filter(F.col("_x").isNotNull())
+    grid = sorted({min(1.0, max(0.0, p + side)) for p in ps for side in (-REACH, REACH)})
+    at = {p: (grid.index(max(0.0, p - REACH)), grid.index(min(1.0, p + REACH))) for p in ps}
+    summary = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
+                                   F.percentile_approx("_x", grid, ACCURACY).alias("_grid"))
+    whole = F.col("n") <= FEW
+    brackets = F.array(*[F.struct(F.lit(i).alias("i"), (F.col("n") - 1).cast("double").alias("last"),
+                                  F.when(whole | F.lit(p - REACH <= 0), F.col("_min")).otherwise(F.col("_grid")[at[p][0]]).alias("lo"),
+                                  F.when(whole | F.lit(p + REACH >= 1), F.col("_max")).otherwise(F.col("_grid")[at[p][1]]).alias("hi"),
+                                  F.lit(float(p)).alias("p"))
+                         for i, p in enumerate(ps)])
+    # a row for each key: joined to all values, by broadcast where Spark finds it small
+    per_key = summary.select(*keys, "n", brackets.alias("_brackets"))
+    # per row, the brackets that hold it; those below a bracket are counted by value class instead of one by one
+    placed = x.join(per_key, keys).select(
+        *keys, "n", F.explode("_brackets").alias("_b"), "_x").filter(F.col("_x") <= F.col("_b.hi"))
+    inside = F.when(F.col("_x") >= F.col("_b.lo"), F.col("_x"))
+    counts = placed.groupBy(*keys, "n", F.col("_b.i").alias("i"), F.col("_b.p").alias("p"), inside.alias("_v")).agg(
+        F.count(F.lit(1)).alias("_rows"))
+    w = Window.partitionBy(*keys, "i").orderBy(F.col("_v").asc_nulls_first())
+    counts = counts.withColumn("_upto", F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    place = (F.col("n") - 1) * F.col("p")
+    holds = lambda r: (r >= F.col("_upto") - F.col("_rows")) & (r < F.col("_upto"))
+    picked = counts.groupBy(*keys, "i", "n", "p").agg(
+        F.max(F.when(holds(F.floor(place)), F.col("_v"))).alias("low"),
+        F.max(F.when(holds(F.ceil(place)), F.col("_v"))).alias("high"))
+    sure = F.when(F.col("low").isNull() | F.col("high").isNull(),
+                  F.raise_error(F.lit("a bracket does not hold its rank"))).otherwise(F.col("low"))
+    return picked.withColumn("low", sure)
 
 
-def exact_percentiles(values: DataFrame, keys: list[str], value: str, ps: list[float],
-                      counts: DataFrame | None = None) -> DataFrame:
-    """Interpolated percentiles per key, as ``percentile(x, p)``: position (n - 1) p between the two
-    neighbouring order statistics.  Returns keys + one column ``p<i>`` per requested percentile."""
-    if counts is None:
-        counts = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    items = []
-    for i, p in enumerate(ps):
-        pos = (F.col("n") - 1) * F.lit(float(p))
-        items += [F.struct(F.lit(2 * i).alias("rank_id"), F.floor(pos).cast("long").alias("r")),
-                  F.struct(F.lit(2 * i + 1).alias("rank_id"), F.ceil(pos).cast("long").alias("r"))]
-    ranks = counts.select(*keys, "n", F.explode(F.array(*items)).alias("_q")).select(*keys, "_q.rank_id", "_q.r")
-    kth = kth_smallest(values, keys, value, ranks)
-    wide = kth.groupBy(*keys).agg(*[F.max(F.when(F.col("rank_id") == j, F.col(value))).alias(f"_v{j}")
-                                    for j in range(2 * len(ps))])
-    wide = wide.join(counts, keys)
-    cols = []
-    for i, p in enumerate(ps):
-        pos = (F.col("n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        v0, v1 = F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}")
-        cols.append(F.when(lo == hi, v0).otherwise((hi - pos) * v0 + (pos - lo) * v1).alias(f"p{i}"))
-    return wide.select(*keys, *cols)
+def exact_percentiles(values: DataFrame, keys: list[str], value: str, ps: list[float]) -> DataFrame:
+    """Interpolated percentiles per key, as ``percentile(x, p)``: position (n - 1) p between the two neighbouring
+    order statistics.  Returns keys + one column ``p<i>`` per requested percentile."""
+    found = order_statistics(values, keys, value, [float(p) for p in ps])
+    pos = (F.col("n") - 1) * F.col("p")
+    lo, hi = F.floor(pos), F.ceil(pos)
+    mixed = F.when(lo == hi, F.col("low")).otherwise((hi - pos) * F.col("low") + (pos - lo) * F.col("high"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, mixed)).alias(f"p{i}") for i in range(len(ps))])
+
+
+def exact_median(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Interpolated median per key, as ``percentile(x, 0.5)``."""
+    return exact_percentiles(values, keys, value, [0.5]).withColumnRenamed("p0", "median")

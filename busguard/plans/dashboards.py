@@ -63,10 +63,9 @@ def attack_mix(alerts: DataFrame) -> DataFrame:
 def score_by_attack(alerts: DataFrame) -> DataFrame:
     """Anomaly score quartiles, median and mean per label.  The percentiles are exact and come
     from ``quantiles.exact_percentiles``: a label holding most frames is not gathered in one task."""
-    scores = alerts.select("attack_type_label", "anomaly_score").filter(F.col("anomaly_score").isNotNull())
+    scores = alerts.select("attack_type_label", "anomaly_score").filter(F.col("anomaly_score").isNotNull()).persist()
     counts = scores.groupBy("attack_type_label").agg(F.count(F.lit(1)).alias("n"), F.avg("anomaly_score").alias("_m"))
-    q = quantiles.exact_percentiles(scores, ["attack_type_label"], "anomaly_score", [0.25, 0.5, 0.75],
-                                    counts.select("attack_type_label", "n"))
+    q = quantiles.exact_percentiles(scores, ["attack_type_label"], "anomaly_score", [0.25, 0.5, 0.75])
     return q.join(counts, "attack_type_label").select(
         "attack_type_label", (F.round("p0", 6) + F.lit(0.0)).alias("q1_score"),
         (F.round("p1", 6) + F.lit(0.0)).alias("median_score"), (F.round("p2", 6) + F.lit(0.0)).alias("q3_score"),

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from busguard.operators import baselines
-from busguard.operators.quantiles import kth_smallest
+from busguard.operators.quantiles import exact_percentiles, order_statistics
 
 
 def test_robust_stats_matches_numpy(spark):
@@ -24,12 +24,22 @@ def test_robust_stats_matches_numpy(spark):
         assert got[k]["std"] == pytest.approx(a.std(), rel=1e-9, abs=1e-12)
 
 
-def test_kth_smallest_every_rank(spark):
+def test_every_rank_of_a_small_group(spark):
     vals = [3.0, 1.0, 2.0, 2.0, 9.0, 9.0, 9.0, 0.5]
-    df = spark.createDataFrame([("a", v) for v in vals], "k string, x double")
-    wanted = spark.createDataFrame([("a", i, i) for i in range(len(vals))], "k string, rank_id int, r long")
-    got = sorted((r["rank_id"], r["x"]) for r in kth_smallest(df, ["k"], "x", wanted).collect())
-    assert [v for _, v in got] == sorted(vals)
+    df = spark.createDataFrame([("a", v) for v in vals] + [("a", None)], "k string, x double")
+    got = {r["i"]: (r["low"], r["high"]) for r in
+           order_statistics(df, ["k"], "x", [i / 7 for i in range(8)]).collect()}
+    assert all(sorted(vals)[i] in got[i] for i in range(8))
+
+
+def test_large_group_uses_brackets(spark):
+    rng = np.random.default_rng(1)
+    a = np.concatenate([rng.exponential(1, 30_000), np.full(9_000, 0.25), -rng.exponential(1, 2_000), [1e300, -1e300]])
+    df = spark.createDataFrame([("a", float(v)) for v in a], "k string, x double").repartition(5)
+    ps = [0.0, 0.0005, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    row = exact_percentiles(df, ["k"], "x", ps).first()
+    for i, p in enumerate(ps):
+        assert row[f"p{i}"] == pytest.approx(np.percentile(a, p * 100), rel=1e-12, abs=1e-12), p
 
 
 def test_exact_percentiles_match_numpy(spark):
