@@ -101,16 +101,71 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("kind").alias("record_type"), F.col("refers_to_page").alias("refers_to"), "url", "sound")
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+LINE_DEDUP_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key
+  FROM lines
+), repeated AS (
+  SELECT key, max(doc_id) AS kept FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), judged AS (
+  SELECT k.doc_id, line, pos, kept IS NOT NULL AND kept <> k.doc_id AS gone FROM keyed k LEFT JOIN repeated USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id"""
+
+DECONTAMINATE_SQL = f"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w
+  FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w
+  FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+        FROM iw WHERE len(w) > 0)
+), lens AS (SELECT DISTINCT n FROM win
+), grams AS (
+  SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, lens WHERE len(w) >= n)
+), hit AS (SELECT DISTINCT doc_id, n, i, item_id FROM grams JOIN win USING (n, g)
+), pos AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id
+), its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages
+), d AS (
+  SELECT *, strlen(body) AS n, min(page_id) OVER (PARTITION BY body) AS first FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest,
+  CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to,
+  coalesce(nullif(regexp_replace(url, '\\s', '%20', 'g'), ''), 'urn:unknown') AS url, true AS sound
+FROM d"""
+
 #: name: (query, DuckDB text or None where SQL cannot express the result or is too slow on whole tables)
 Q = {
     "op1_cross_polytope": (op1_cross_polytope, None),
     "op2_html_text": (op2_html_text, None),
-    "op3_line_dedup": (op3_line_dedup, None),
+    "op3_line_dedup": (op3_line_dedup, LINE_DEDUP_SQL),
     "op4_secrets": (op4_secrets, None),
     "op5_language_id": (op5_language_id, None),
-    "op6_decontaminate": (op6_decontaminate, None),
+    "op6_decontaminate": (op6_decontaminate, DECONTAMINATE_SQL),
     "op7_sentencepiece": (op7_sentencepiece, None),
     "op8_jaccard_join": (op8_jaccard_join, None),
     "op9_shards": (op9_shards, None),
-    "op10_warc": (op10_warc, None),
+    "op10_warc": (op10_warc, WARC_SQL),
 }
