@@ -5,11 +5,12 @@ joined at once and go on as one node, named by 64 bits of the set's digest.
 
 Signatures.  Sizes are cut into bands, each ``BAND_RATIO`` wide.  Two linked sets whose larger one has at most u
 shingles differ in at most H = floor(2u (1-s)/(1+s)) of them.  Per band, shingle hashes are dealt to m segments
-with allowances a_j of 0 (equal) or 1 (one shingle more or less) such that sum(a_j + 1) = H + 1 + SPARE.  Segments
-that differ by more than their allowance use up H, so the others have at least 1 + SPARE between them.  Indexed are:
+with allowances a_j of 0 (equal) or 1 (one shingle more or less) such that sum(a_j + 1) = H + 1 + spare.  Segments
+that differ by more than their allowance use up H, so the others have at least 1 + spare between them.  Indexed are:
   * each segment with allowance 0 that holds shingles, by the hash of its subset;
   * each segment with allowance 1, by its hash and all its one-deletion neighbourhoods;
-  * empty segments only in combinations of SPARE + 1, for they are alike in many sets.
+  * empty segments, alike in many sets, only where a set has more than ``spare`` of them: linked sets that agree in
+    nothing else agree in 1 + spare empty ones.
 How many segments get allowance 1 is a matter of cost, per band: rows to index against pairs expected to meet by
 chance, from the band's number of sets.  A set is indexed in its own band, and in the next one when it is large
 enough to link with a set there.
@@ -38,22 +39,23 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from busguard.llm.common import col, stage_table, text_or_empty
-from busguard.llm.words import mix, shingle_set
+from busguard.llm.words import in_batches, mix, shingle_sets
 from busguard.session import cut_lineage
 
 BAND_RATIO = 1.4
-SPARE = 1
 BLOCK = 1024
 SKETCH_BITS = 1024
 SALTS = 32
+SLOTS = 1 << 16
 CHANCE = 0.1  # assumed chance that a shingle of one set is in another by accident; weighs costs, never decides links
 FORESTS = 2  # rounds of spanning forests before a block emits all it has left
 
 _U = np.uint64
+NO_KEYS = np.empty(0, dtype=np.uint64)
 
 
 # ---- bands and signatures ---------------------------------------------------------------------------------------
@@ -76,44 +78,65 @@ def band_start(band: int) -> int:
     return math.ceil(BAND_RATIO ** band)
 
 
-def plan(band: int, n_sets: int, similarity: Fraction) -> tuple[int, int]:
-    """(segments, how many of them have allowance 1) of a band with the lowest cost."""
+def plan(band: int, n_sets: int, similarity: Fraction) -> tuple[int, int, int]:
+    """(segments, how many of them have allowance 1, spare) of a band with the lowest cost."""
     largest = band_start(band + 1) - 1
-    need = max_difference(largest, similarity) + 1 + SPARE
+    smallest = max(1.0, float(similarity * band_start(band)))
+    need = max_difference(largest, similarity) + 1
+
+    def spare_for(segments: int) -> int:
+        empty = segments * math.exp(-smallest / segments)  # expected number of empty segments
+        return math.ceil(empty + 3 * math.sqrt(empty))
+
+    spare = 1
+    while spare < spare_for(need + spare) and spare < need // 3 + 1:
+        spare += 1
 
     def cost(ones: int) -> float:
-        segments = need - ones
+        segments = need + spare - ones
         held = largest / segments
         pairs = n_sets * n_sets / 2 * ((segments - ones) * CHANCE ** held + ones * (1 + held) * CHANCE ** max(held - 1, 0))
         return n_sets * (segments + ones * held) + pairs
 
-    return min(((need - ones, ones) for ones in range(min(need // 2, 4) + 1)), key=lambda p: cost(p[1]))
-
-
-def signatures(hashes: np.ndarray, band: int, segments: int, ones: int) -> np.ndarray:
-    """Index keys of one set in one band; segments 0 .. ones-1 have allowance 1."""
-    salt = _U((band + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    dealt = mix(hashes + salt)
-    segment = ((dealt >> _U(33)) % _U(segments)).astype(np.int64)
-    order = np.argsort(segment, kind="stable")
-    segment, parts = segment[order], mix(dealt[order])
-    names = mix(np.arange(segments, dtype=np.uint64) + salt)
-    first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-    sums = np.zeros(segments, dtype=np.uint64)
-    sums[segment[first]] = np.add.reduceat(parts, first)
-    full = np.zeros(segments, dtype=bool)
-    full[segment[first]] = True
-    indexed = full.copy()
-    indexed[:ones] = True
-    keys = [mix(sums[indexed] ^ names[indexed])]
-    if ones:
-        near = segment < ones
-        keys.append(mix((sums[segment[near]] - parts[near]) ^ names[segment[near]]))
-    empty = np.flatnonzero(~indexed)
-    if len(empty) > SPARE:
-        groups = np.array(list(itertools.combinations(empty.tolist(), SPARE + 1)))
-        keys.append(mix(np.add.reduce(names[groups] * _U(3), axis=1)))
-    return np.unique(np.concatenate(keys))
+    ones = min(range(min((need + spare) // 2, 4) + 1), key=cost)
+    return need + spare - ones, ones, spare
+
+
+def signatures(sets: list[np.ndarray], bands: list[int], plans: dict[int, tuple[int, int, int]]) -> list[np.ndarray]:
+    """Index keys of each set in its given band, for many sets as one array; in a band's plan of (segments, ones,
+    spare), segments 0 .. ones-1 have allowance 1."""
+    if not sets:
+        return []
+    lengths = np.array([len(s) for s in sets])
+    segments = np.array([plans[b][0] for b in bands])
+    ones = np.array([plans[b][1] for b in bands])
+    spare = np.array([plans[b][2] for b in bands])
+    salts = (np.array(bands, dtype=np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15)
+    owner = np.repeat(np.arange(len(sets)), lengths)
+    base = np.concatenate([[0], np.cumsum(segments)])
+    dealt = mix(np.concatenate(sets) + salts[owner])
+    segment = ((dealt >> _U(33)) % segments.astype(np.uint64)[owner]).astype(np.int64)
+    place = base[owner] + segment
+    order = np.argsort(place, kind="stable")
+    place, parts = place[order], mix(dealt[order])
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    total = int(base[-1])
+    sums = np.zeros(total, dtype=np.uint64)
+    sums[place[first]] = np.add.reduceat(parts, first)
+    of = np.repeat(np.arange(len(sets)), segments)
+    number = np.arange(total) - base[of]
+    names = mix(number.astype(np.uint64) + salts[of])
+    allowed = number < ones[of]
+    indexed = allowed.copy()
+    indexed[place[first]] = True
+    indexed |= (np.bincount(of[~indexed], minlength=len(sets)) > spare)[of]
+    keys, owners = [mix(sums ^ names)[indexed]], [of[indexed]]
+    near = allowed[place]  # one-deletion neighbourhoods
+    keys.append(mix((sums[place] - parts) ^ names[place])[near])
+    owners.append(of[place][near])
+    key, own = np.concatenate(keys), np.concatenate(owners)
+    along = np.argsort(own, kind="stable")
+    return np.split(key[along], np.searchsorted(own[along], np.arange(1, len(sets))))
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -204,7 +227,6 @@ def component_forest(distance: np.ndarray, labels: np.ndarray) -> list[tuple[int
     return edges
 
 
-BLOCK_ROWS = "block string, node long, size long, sketch binary, label long, a long, b long"
 EDGES = "block string, a long, b long"
 
 
@@ -213,13 +235,13 @@ def edges_of_sorted(frames: Iterator[pd.DataFrame], rate: tuple[int, int], every
     held: list[pd.DataFrame] = []
 
     def solve(rows: pd.DataFrame) -> list[tuple[str, int, int]]:
-        members = rows[rows["node"].notna()]
-        known = rows[rows["node"].isna()]
+        members = rows[rows["member"]]
+        known = rows[~rows["member"]]
         nodes = members["node"].to_numpy(np.int64)
         if len(nodes) < 2:
             return []
         sketches = np.frombuffer(b"".join(members["sketch"]), dtype=np.uint64).reshape(len(nodes), -1)
-        refuted = set(zip(known["a"].astype(np.int64), known["b"].astype(np.int64))) if len(known) else set()
+        refuted = set(zip(known["a"].tolist(), known["b"].tolist()))
         name = rows["block"].iloc[0]
         return [(name, a, b) for a, b in block_edges(
             nodes, members["size"].to_numpy(np.int64), sketches, members["label"].to_numpy(np.int64), refuted, rate,
@@ -239,7 +261,7 @@ def edges_of_sorted(frames: Iterator[pd.DataFrame], rate: tuple[int, int], every
 
     def finish(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         size = rows.groupby("block", sort=False)["block"].transform("size").to_numpy()
-        plain = rows["node"].notna().groupby(rows["block"], sort=False).transform("all").to_numpy()
+        plain = rows["member"].groupby(rows["block"], sort=False).transform("all").to_numpy()
         two = (size == 2) & plain
         if two.any():
             yield pairs_at_once(rows[two])
@@ -282,43 +304,77 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
-def index_keys(texts: DataFrame, counts: dict[int, int], k: int, similarity: Fraction) -> DataFrame:
-    """(node, own, below): each distinct set's keys in its own band, and those in the band above."""
-    plans = {band: plan(band, counts.get(band, 0) + counts.get(band - 1, 0), similarity)
-             for band in range(max(counts, default=0) + 3)}
+def described_sets(texts: list[str], k: int, similarity: Fraction, plans: dict[int, tuple[int, int, int]]) -> list[tuple]:
+    """(node, size, sketch, keys in the own band, keys in the band above) of each text; no node without words."""
+    out = []
+    for part in in_batches(texts):
+        sets = shingle_sets(part, k)
+        bands = [band_of(len(s)) if len(s) else 0 for s in sets]
+        # a set that links with equal sets alone needs no index
+        own = [i for i, s in enumerate(sets) if len(s) * (1 - similarity) >= similarity]
+        below = [i for i in own if len(sets[i]) >= similarity * band_start(bands[i] + 1)]
+        own_keys = dict(zip(own, signatures([sets[i] for i in own], [bands[i] for i in own], plans)))
+        below_keys = dict(zip(below, signatures([sets[i] for i in below], [bands[i] + 1 for i in below], plans)))
+        out += [(node_id(s) if len(s) else None, len(s), sketch(s) if len(s) else None,
+                 own_keys.get(i, NO_KEYS).view(np.int64), below_keys.get(i, NO_KEYS).view(np.int64))
+                for i, s in enumerate(sets)]
+    return out
+
+
+class Plans(dict):
+    """Plan of every band, made when it is asked for."""
+
+    def __init__(self, counts: dict[int, int], similarity: Fraction):
+        super().__init__()
+        self.counts, self.similarity = counts, similarity
+
+    def __missing__(self, band: int) -> tuple[int, int, int]:
+        self[band] = plan(band, self.counts.get(band, 0) + self.counts.get(band - 1, 0), self.similarity)
+        return self[band]
 
-    @F.pandas_udf("node long, own array<long>, below array<long>")
-    def run(batch: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in batch:
-            s = shingle_set(t.encode(), k)
-            if len(s) * (1 - similarity) < similarity:  # links with equal sets alone
-                out.append((None, None, None))
-                continue
-            band = band_of(len(s))
-            own = signatures(s, band, *plans[band]).view(np.int64)
-            below = signatures(s, band + 1, *plans[band + 1]).view(np.int64) \
-                if len(s) >= similarity * band_start(band + 1) else np.empty(0, dtype=np.int64)
-            out.append((node_id(s), own, below))
-        return described_frame(out, ["node", "own", "below"])
 
-    keyed = texts.select(run("text").alias("f")).select("f.*").filter("node is not null")
-    return keyed.dropDuplicates(["node"])
+def key_rows(keyed: DataFrame) -> DataFrame:
+    """(key, node, is_own) of every key of every set."""
+    return keyed.select(F.explode("own").alias("key"), "node", F.lit(True).alias("is_own")).unionByName(
+        keyed.select(F.explode("below").alias("key"), "node", F.lit(False).alias("is_own")))
+
+
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """(key, node, n, who, lo, hi): the rows of keys that several sets hold, one of them in its own band, and what
+    tells the key's members: their number, least, greatest and the parity of their hashes.
+
+    Counts of key hashes in ``SLOTS`` classes (a bounded table) tell where a key may be frequent.  All other keys
+    are taken together by one shuffle; those of full classes are counted first and joined, so that no task need
+    hold all rows of a frequent key.
+    """
+    slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS))
+    counts = key_rows(keyed).groupBy(slot.alias("slot")).count()  # copies included: an upper bound
+    rows = key_rows(keyed.dropDuplicates(["node"]))
+    mean = counts.agg(F.coalesce(F.sum("count"), F.lit(0)) / SLOTS).first()[0]
+    full = [r["slot"] for r in counts.filter(F.col("count") > 2 * mean + 8 * BLOCK).select("slot").collect()]
+    told = {"n": lambda: F.count(F.lit(1)), "who": lambda: F.expr("bit_xor(xxhash64(node))"),
+            "lo": lambda: F.min("node"), "hi": lambda: F.max("node"), "has_own": lambda: F.max("is_own")}
+    several = (F.col("lo") != F.col("hi")) & F.col("has_own")
+    columns = ("key", "node", "n", "who", "lo", "hi")
+    of_key = Window.partitionBy("key")
+    out = (rows.filter(~slot.isin(full)) if full else rows).withColumns(
+        {name: made().over(of_key) for name, made in told.items()}).filter(several).select(*columns)
+    if full:
+        frequent = rows.filter(slot.isin(full))
+        counted = stage_table(frequent.groupBy("key").agg(*(made().alias(name) for name, made in told.items()))
+                              .filter(several).select("key", "n", "who", "lo", "hi"), "jaccard-frequent")
+        out = out.unionByName(frequent.select("key", "node").join(counted, "key").select(*columns))
+    return out
 
 
 def candidate_blocks(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     """(block, node, size, sketch): the members of every block to compare."""
-    rows = keyed.select(F.explode("own").alias("key"), "node", F.lit(True).alias("is_own")).unionByName(
-        keyed.select(F.explode("below").alias("key"), "node", F.lit(False).alias("is_own")))
-    buckets = (rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node))").alias("who"),
-                                       F.min("node").alias("lo"), F.max("node").alias("hi"),
-                                       F.max("is_own").alias("has_own"))
-               .filter("n > 1 and lo != hi and has_own"))
-    buckets = buckets.groupBy("n", "who", "lo", "hi").agg(F.min("key").alias("key")).select("key", "n")
-    members = rows.select("key", "node").distinct().join(buckets, "key")
+    members = stage_table(shared_keys(keyed.filter(F.size("own") > 0)), "jaccard-members")
+    # buckets with the same members: one is enough
+    buckets = members.groupBy("n", "who", "lo", "hi").agg(F.min("key").alias("key")).select("key")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    part = F.pmod(F.xxhash64("node"), parts).cast("int")
-    members = members.withColumn("parts", parts).withColumn("part", part)
+    members = members.join(buckets, "key", "left_semi").withColumn("parts", parts).withColumn(
+        "part", F.pmod(F.xxhash64("node"), parts).cast("int"))
     others = F.when(F.col("parts") == 1, F.array(F.col("part"))).otherwise(
         F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: q != F.col("part")))
     members = members.select("key", "node", "part", F.explode(others).alias("other"))
@@ -348,7 +404,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFra
 
 def needed_sets(docs: DataFrame, facts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, hashes) of the wanted nodes.  A bitmap of 2 MB over the ids' hashes keeps other texts off the shuffle."""
-    ids = facts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("row").alias("row"))
+    ids = facts.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
     slots = 1 << 24
     slot = F.pmod(F.xxhash64("row"), F.lit(slots)) + 1  # the bitmap functions count from 1
     bits = np.zeros(slots // 8, dtype=np.uint8)
@@ -365,7 +421,7 @@ def needed_sets(docs: DataFrame, facts: DataFrame, wanted: DataFrame, k: int) ->
 
     @F.pandas_udf("binary")
     def hashes(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: shingle_set(t.encode(), k).tobytes())
+        return pd.Series([s.tobytes() for part in in_batches(texts.tolist()) for s in shingle_sets(part, k)], dtype=object)
 
     rows = docs.filter(maybe(slot)).join(ids, "row").dropDuplicates(["node"])
     return rows.select("node", hashes("text").alias("hashes"))
@@ -381,22 +437,22 @@ def similarity_components(docs: DataFrame, id: str = "doc_id", text: str = "text
     body = text_or_empty(col(docs, text))
     # a name for the text of a row: rows with equal texts may stand for each other
     named = docs.select(F.md5(body.cast("binary")).alias("row"), body.alias("text"))
+    # sets per band, for the costs only: a word has some six bytes
+    about = F.floor(F.log(F.greatest(F.octet_length(body) / 6, F.lit(1))) / math.log(BAND_RATIO)).cast("int")
+    counts = {r["band"]: r["count"] for r in docs.groupBy(about.alias("band")).count().collect()}
 
-    @F.pandas_udf("node long, size long, sketch binary")
-    def described(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            s = shingle_set(t.encode(), k)
-            out.append((node_id(s) if len(s) else None, len(s), sketch(s) if len(s) else None))
-        return described_frame(out, ["node", "size", "sketch"])
+    @F.pandas_udf("node long, size long, sketch binary, own array<long>, below array<long>")
+    def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        plans = Plans(counts, similarity)
+        for texts in batches:
+            yield described_frame(described_sets(texts.tolist(), k, similarity, plans),
+                                  ["node", "size", "sketch", "own", "below"])
 
     facts = docs.select(col(docs, id).alias("id"), F.md5(body.cast("binary")).alias("row"), described(body).alias("f"))
-    facts = stage_table(facts.select("id", "row", "f.node", "f.size", "f.sketch"), "jaccard-sets")
-    nodes = facts.filter("node is not null").select("node", "size", "sketch").dropDuplicates(["node"])
-    band = F.floor(F.log(F.col("size")) / math.log(BAND_RATIO)).cast("int")
-    counts = {r["band"]: r["count"] for r in nodes.groupBy(band.alias("band")).count().collect()}
-    keyed = stage_table(index_keys(named.select("text"), counts, k, similarity), "jaccard-keys")
-    blocks = stage_table(candidate_blocks(keyed, nodes), "jaccard-blocks")
+    facts = stage_table(facts.select("id", "row", "f.*"), "jaccard-sets")
+    sets = facts.filter("node is not null")
+    nodes = sets.select("node", "size", "sketch").dropDuplicates(["node"])
+    blocks = stage_table(candidate_blocks(sets.select("node", "own", "below"), nodes), "jaccard-blocks")
     labels = linked_nodes(named, facts, blocks, k, similarity, rate)
 
     member = facts.join(labels, "node", "left").select(
@@ -419,10 +475,11 @@ def linked_nodes(docs: DataFrame, facts: DataFrame, blocks: DataFrame, k: int, s
     known = spark.createDataFrame([], "a long, b long, linked boolean")
     todo = blocks.withColumn("label", F.col("node"))
     for turn in itertools.count(1):
-        rows = todo.select("block", "node", "size", "sketch", "label", F.lit(None).cast("long").alias("a"),
-                           F.lit(None).cast("long").alias("b"))
+        none = F.lit(0).cast("long")  # no nulls: pandas would make floats of the 64-bit columns
+        rows = todo.select("block", F.lit(True).alias("member"), "node", "size", "sketch", "label", none.alias("a"),
+                           none.alias("b"))
         if turn > 1:
-            rows = rows.unionByName(refuted.select("block", "a", "b"), allowMissingColumns=True)
+            rows = rows.union(refuted.select("block", F.lit(False), none, none, F.lit(b""), none, "a", "b"))
         last = turn > FORESTS
         edges = stage_table(
             rows.repartition("block").sortWithinPartitions("block", "node")

@@ -75,3 +75,36 @@ def shingle_set(raw: bytes, k: int, values: np.ndarray = BY_SPACE) -> np.ndarray
     if not len(words):
         return words
     return np.unique(shingles(words, min(k, len(words))))
+
+
+def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """``shingle_set`` of many texts (words between white space), their bytes hashed as one array."""
+    raw = b"\n".join(texts)
+    words, first, _ = word_hashes(raw, BY_SPACE)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    cuts = np.concatenate([[0], np.searchsorted(first, ends)])  # the words of text i: cuts[i] .. cuts[i + 1]
+    whole = shingles(words, k)
+    out = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if b - a >= k:
+            out.append(np.unique(whole[a:b - k + 1]))
+        elif b > a:
+            out.append(shingles(words[a:b], b - a))
+        else:
+            out.append(words[:0])
+    return out
+
+
+def in_batches(texts: list[str], most_bytes: int = 1 << 20, most_texts: int = 256):
+    """Lists of UTF-8 texts of about ``most_bytes`` each (a longer text has a list of its own)."""
+    part: list[bytes] = []
+    size = 0
+    for t in texts:
+        raw = t.encode()
+        if part and (size + len(raw) > most_bytes or len(part) >= most_texts):
+            yield part
+            part, size = [], 0
+        part.append(raw)
+        size += len(raw)
+    if part:
+        yield part
