@@ -19,7 +19,7 @@ from busguard.operators.windows import KEY
 from busguard.params import REFERENCE_BUS
 from busguard.plans import dashboards as D
 from busguard.plans import detect
-from busguard.plans.oracle import alerts_query, features_query, learned_query
+from busguard.plans.oracle import alerts_query, features_query, given_scores_query, learned_query
 from busguard.schema import (ATTACK_TYPES, FEATURE_COLUMNS, NUMERIC_SIGNALS, REQUIRED_LABELS, RULE_NAMES)
 from busguard.session import checkpoint_dir
 from busguard.sources import alerts as A
@@ -475,6 +475,53 @@ def q_security_rules(spark, sf):
     return df.select("sequence", *[c.alias(n) for n, c in cols.items()])
 
 
+# M3, M4, P14, R12, R14 and the score queries on a model stand-in: every frame has a prediction and a score from
+# its sequence number, the same in both engines
+def given_alerts(spark, sf):
+    def build():
+        ready = F.col("detector_phase") == "inference"
+        seq = F.col("sequence")
+        df = learned_state(spark, sf)[2].withColumns({
+            "model_prediction": F.when(ready & (seq % 5 == 0), F.lit(-1)).otherwise(F.lit(1)).cast("int"),
+            "anomaly_score": F.when(ready, ((seq % 31) - 20) / F.lit(100.0)).otherwise(F.lit(0.0))})
+        return detect.enrich(detect.decide(df, RULES_ONLY), proc()).persist()
+    return _memo(spark, sf, "given_alerts", build)
+
+
+@reg("model_gate_given_scores", given_scores_query(
+    'SELECT "sequence", model_prediction, round(anomaly_score, 6) AS anomaly_score, model_flag, rule_flag, is_anomaly, '
+    'anomaly_prediction, array_to_string(triggered_rules, \',\') AS rules, '
+    'array_to_string(decision_reasons, \',\') AS reasons FROM alerts'))
+def q_model_gate(spark, sf):
+    return given_alerts(spark, sf).select(
+        "sequence", "model_prediction", R("anomaly_score"), "model_flag", "rule_flag", "is_anomaly", "anomaly_prediction",
+        F.array_join("triggered_rules", ",").alias("rules"), F.array_join("decision_reasons", ",").alias("reasons"))
+
+
+@reg("score_by_attack_given_scores", given_scores_query(
+    "SELECT attack_type_label, round(quantile_cont(anomaly_score, 0.25), 6) AS q1_score, "
+    "round(quantile_cont(anomaly_score, 0.5), 6) AS median_score, round(quantile_cont(anomaly_score, 0.75), 6) AS q3_score, "
+    "round(avg(anomaly_score), 6) AS avg_score FROM alerts GROUP BY 1"))
+def q_score_by_attack_given(spark, sf):
+    return D.score_by_attack(given_alerts(spark, sf))
+
+
+@reg("filtered_alerts", alerts_query(
+    "SELECT \"sequence\", is_anomaly FROM alerts WHERE vehicle_id = 'V1' AND attack_type_label = 'normal' "
+    "AND detector_phase = 'inference'"))
+def q_filtered(spark, sf):
+    return D.filtered(alerts(spark, sf), "V1", "normal", "inference").select("sequence", "is_anomaly")
+
+
+@reg("live_alert_counts", alerts_query(
+    'SELECT time_bucket(INTERVAL 1 HOUR, CAST("timestamp" AS TIMESTAMP)) AS window_start, attack_type_label, '
+    'count(*) AS events, count(*) FILTER (is_anomaly) AS anomalies FROM alerts GROUP BY 1, 2'))
+def q_live_counts(spark, sf):
+    from busguard.streaming.stream import live_alert_counts
+    return live_alert_counts(alerts(spark, sf), "1 hour", "2 hours").select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "attack_type_label", "events", "anomalies")
+
+
 # 2.I dashboards
 def _dash(name: str, fn, sql: str):
     Q[name] = (lambda spark, sf: fn(alerts(spark, sf)), alerts_query(sql))

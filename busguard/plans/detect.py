@@ -104,6 +104,12 @@ def score_and_decide(df: DataFrame, art: Artifacts, params: DetectorParams) -> D
     else:
         pred, score = F.lit(1), F.lit(0.0)
     df = df.withColumns({"model_prediction": pred.cast("int"), "anomaly_score": score.cast("double")})
+    return decide(df, params).drop("_m")
+
+
+def decide(df: DataFrame, params: DetectorParams) -> DataFrame:
+    """M3, M4, rules and reasons for frames that carry ``model_prediction`` and ``anomaly_score``."""
+    ready = F.col("detector_phase") == "inference"
     trig = F.when(ready, rules.triggered_rules(params, F.col("model_prediction"))) \
         .otherwise(F.array().cast("array<string>"))
     df = df.withColumn("triggered_rules", trig)
@@ -118,8 +124,7 @@ def score_and_decide(df: DataFrame, art: Artifacts, params: DetectorParams) -> D
         "rule_flags": F.col("triggered_rules"),
         "decision_reasons": rules.decision_reasons(F.col("model_flag"), F.col("triggered_rules")),
     })
-    df = df.withColumn("anomaly_prediction", F.when(F.col("is_anomaly"), F.lit(-1)).otherwise(F.lit(1)))
-    return df.drop("_m")
+    return df.withColumn("anomaly_prediction", F.when(F.col("is_anomaly"), F.lit(-1)).otherwise(F.lit(1)))
 
 
 def enrich(df: DataFrame, processing_ns: Column) -> DataFrame:

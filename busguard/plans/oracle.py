@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from busguard.params import REFERENCE_BUS as P
-from busguard.schema import RULE_NAMES
+from busguard.schema import MODEL_REASON, RULE_NAMES
 from busguard.sources.frames import FRAMES_SQL
 
 S = 1_000_000_000
@@ -271,9 +271,17 @@ acc AS (
 )"""
 
 _KNOWN = ", ".join(f"'{x}'" for x in P.known_ids)
-# Rules with the model prediction fixed at +1 (the rules-only detector): R12 and R14 cannot fire.
-RULES_SQL = f"""
-rl AS (
+
+
+def rules_sql(prediction: str = "1", score: str = "0.0") -> str:
+    """Rules and decisions for a model prediction and score given as SQL over a frame's columns.  The default is
+    the rules-only detector, where R12 and R14 cannot fire."""
+    return f"""
+scored AS (
+  SELECT *, CASE WHEN detector_phase = 'inference' THEN {prediction} ELSE 1 END AS model_prediction,
+    CASE WHEN detector_phase = 'inference' THEN {score} ELSE 0.0 END AS anomaly_score
+  FROM lf
+), rl AS (
   SELECT *,
     akey = '0x000' AND id_frequency_1s >= 25 AS "{RULE_NAMES[0]}",
     akey NOT IN ({_KNOWN}) AND has_raw_bytes AS "{RULE_NAMES[1]}",
@@ -289,13 +297,17 @@ rl AS (
     payload_signature_repeats_3s >= {P.repeat_min_count} AND rare_transition_flag <> 0 AND timing_anomaly_score >= 0.5
       AND payload_timing_replay_score >= {P.rare_replay_floor} AS "{RULE_NAMES[9]}",
     CASE WHEN payload_sequence_replay_score >= 0.70 THEN '{RULE_NAMES[10]}'
+         WHEN model_prediction = -1 AND payload_sequence_repeat_count >= 1 AND payload_signature_repeats_3s >= 1
+              THEN '{RULE_NAMES[11]}'
          WHEN payload_sequence_repeat_count >= 1 AND rare_transition_flag <> 0 AND payload_signature_repeats_3s >= 1
               AND timing_anomaly_score >= 0.95 THEN '{RULE_NAMES[12]}'
+         WHEN model_prediction = -1 AND payload_sequence_repeat_count >= 1 AND timing_anomaly_score >= 0.95
+              THEN '{RULE_NAMES[13]}'
          WHEN payload_sequence_repeat_count >= 3 AND payload_sequence_tight_timing_flag <> 0 THEN '{RULE_NAMES[14]}'
          WHEN payload_sequence_repeat_count >= {P.ngram_min_repeats} AND rare_transition_flag <> 0
               AND timing_anomaly_score >= 0.5 THEN '{RULE_NAMES[15]}' END AS replay_rule,
     state_transition_violation_score >= 0.5 AS "{RULE_NAMES[16]}"
-  FROM lf
+  FROM scored
 ), rl2 AS (
   SELECT *,
     CASE WHEN detector_phase = 'inference' THEN list_filter([
@@ -304,25 +316,37 @@ rl AS (
       CASE WHEN "{RULE_NAMES[16]}" THEN '{RULE_NAMES[16]}' END], lambda x: x IS NOT NULL)
     ELSE CAST([] AS VARCHAR[]) END AS triggered_rules
   FROM rl
-), alerts AS (
+), rl3 AS (
   SELECT *,
-    len(triggered_rules) > 0 AS is_anomaly,
     len(triggered_rules) > 0 AS rule_flag,
-    false AS model_flag,
-    1 AS model_prediction,
-    0.0 AS anomaly_score,
+    detector_phase = 'inference' AND model_prediction = -1 AND anomaly_score <= {P.severe_model_score} AS model_flag
+  FROM rl2
+), alerts AS (
+  SELECT *,
+    model_flag OR rule_flag AS is_anomaly,
     least(1.0, len(triggered_rules) / 3.0) AS rule_score,
-    CASE WHEN len(triggered_rules) > 0 THEN -1 ELSE 1 END AS anomaly_prediction,
-    triggered_rules AS decision_reasons,
+    CASE WHEN model_flag OR rule_flag THEN -1 ELSE 1 END AS anomaly_prediction,
+    list_concat(CASE WHEN model_flag THEN ['{MODEL_REASON}'] ELSE CAST([] AS VARCHAR[]) END, triggered_rules)
+      AS decision_reasons,
     CASE WHEN simulator_send_time_ns IS NULL THEN 0.0
          ELSE greatest(0.0, (100000000000 - simulator_send_time_ns) / 1e6) END AS pipeline_latency_ms
-  FROM rl2
+  FROM rl3
 )"""
 
 
+RULES_SQL = rules_sql()
+# A model stand-in that both engines compute alike: a prediction and a score from the sequence number.
+GIVEN_PREDICTION, GIVEN_SCORE = """(CASE WHEN "sequence" % 5 = 0 THEN -1 ELSE 1 END)""", """((("sequence" % 31) - 20) / 100.0)"""
+
+
 def learned_query(select: str) -> str:
     return with_ctes(FRAMES_SQL, DECODED_SQL, FEATS_SQL, LEARNED_SQL, select=select)
 
 
-def alerts_query(select: str) -> str:
-    return with_ctes(FRAMES_SQL, DECODED_SQL, FEATS_SQL, LEARNED_SQL, RULES_SQL, select=select)
+def alerts_query(select: str, rules: str | None = None) -> str:
+    return with_ctes(FRAMES_SQL, DECODED_SQL, FEATS_SQL, LEARNED_SQL, rules or RULES_SQL, select=select)
+
+
+def given_scores_query(select: str) -> str:
+    """Over alerts that were decided with the model stand-in."""
+    return alerts_query(select, rules_sql(GIVEN_PREDICTION, GIVEN_SCORE))
