@@ -56,8 +56,9 @@ def stream_frames(spark: SparkSession, path: str, fmt: str = "json", max_files:
 
 
 def kafka_options(servers: str, topic: str, starting_offsets: str = "latest", max_offsets: int | None = None,
-                  fail_on_data_loss: bool = True, username: str | None = None, password: str | None = None,
-                  ca_location: str | None = None) -> dict[str, str]:
+                  username: str | None = None, password: str | None = None,
+                  ca_location: str | None = None,
+                  fail_on_data_loss: bool = True) -> dict[str, str]:
     """Options of the frame stream source (SASL_SSL + PLAIN).
 
     Expired offsets fail the query unless ``fail_on_data_loss`` is off; ``max_offsets`` bounds the records
