@@ -7,7 +7,7 @@ largest document id that holds it (or the smallest, by ``keep``).
 1. Every task keeps two bit arrays over the key hashes of its documents, seen once and seen twice (a key
    counts once per document).  Partial arrays travel as 8 KB blocks, only where set, and are merged block by
    block: twice |= twice' | (once & once').
-2. The merged seen-twice array is broadcast.  Its size is the parameter ``filter_bits`` (16 MB by default) at
+2. The merged seen-twice array is broadcast.  Its size is the parameter ``filter_bits`` (8 MB by default) at
    any input size; a fuller array only lets more lines through to the exact step.
 3. Suspected lines alone, as (128-bit key digest, document id), are shuffled: exact counts of documents and
    the id to keep.
@@ -33,7 +33,7 @@ from busguard.llm.common import col, free_name, stage_table, text_or_empty
 
 WHITE = b" \t\n\x0b\x0c\r"
 BLOCK_BITS = 1 << 16
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 26
 PROBES = 2
 
 
@@ -155,10 +155,13 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_cha
              .groupBy(F.col("doc").alias(key)).agg(F.collect_list("digest").alias("drop")))
     out = free_name(docs, "drop")
     drops = drops.withColumnRenamed("drop", out)
-    calm = flagged.filter(F.size(sus) == 0).withColumn(out, F.lit(None).cast("array<binary>"))
+    whole = text_or_empty(col(flagged, text))
+    calm = flagged.filter(F.size(sus) == 0).withColumn(res, F.struct(  # nothing to drop: no second Python worker
+        whole.alias("text"), F.size(F.split(whole, "\n", -1)).cast("long").alias("n_lines"),
+        F.lit(0).cast("long").alias("n_dropped")))
     loud = flagged.filter(F.size(sus) > 0)
     loud = loud.join(drops, col(loud, id).eqNullSafe(drops[key]), "left").drop(key)
+    loud = loud.withColumn(res, without(text_or_empty(col(loud, text)), F.col(out))).drop(out)
     both = calm.unionByName(loud).drop(sus)
-    both = both.withColumn(res, without(text_or_empty(col(both, text)), F.col(out)))
     return both.withColumns({text: F.col(res)["text"], n_lines_as: F.col(res)["n_lines"],
-                             n_dropped_as: F.col(res)["n_dropped"]}).drop(res, out)
+                             n_dropped_as: F.col(res)["n_dropped"]}).drop(res)
