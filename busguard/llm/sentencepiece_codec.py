@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from busguard.llm.common import col, free_name, text_or_empty
 
 MARK = "▁"
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 200_000
 MEMO_CHARS = 256  # longer chunks are encoded each time
 SHORT = 48  # chunks up to this length are encoded many at a time, longer ones one by one with a heap
-TEXTS_AT_ONCE = 512
+CHARS_AT_ONCE = 1_000_000  # of the texts that are cut into chunks together
 NO_PAIR = 1 << 40
 MODEL = "piece_bpe_32k.model"
 
@@ -207,9 +207,9 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, begin and end ids included, as little-endian unsigned 32-bit integers."""
         out = []
-        for start in range(0, len(texts), TEXTS_AT_ONCE):
-            part = [self.chunks.findall(MARK + t.replace(" ", MARK)) if t else []
-                    for t in texts[start:start + TEXTS_AT_ONCE]]
+        ends = np.cumsum([len(t) for t in texts]) // CHARS_AT_ONCE
+        for _, group in itertools.groupby(zip(ends.tolist(), texts), key=lambda x: x[0]):
+            part = [self.chunks.findall(MARK + t.replace(" ", MARK)) if t else [] for _, t in group]
             new = list(set().union(*part).difference(self.memo))
             self._learn(new)
             get = self.memo.__getitem__
