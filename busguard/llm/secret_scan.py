@@ -3,12 +3,13 @@
 Fixed forms (kinds ``assign``, ``access``, ``hex``): leftmost non-overlapping matches per kind, those below the
 kind's length dropped.
 
-Token efficiency (kind ``random``): a run of ``[A-Za-z0-9+/_=.-]`` is trimmed of punctuation at its ends and cut
-into candidates; one of ``min_chars`` characters or more that mixes letters with digits, or lower with upper case
-inside, is encoded with a tiktoken vocabulary.  Ordinary words and identifiers need few tokens; where a token
-covers fewer than ``max_ratio`` characters on average, the string is random.  Left out first: hex digests of
-known lengths, UUIDs, dotted names and versions, dates and times, paths, and names built of words.  A run that
-a fixed form covers in part is not listed again.
+Token efficiency (kind ``random``): a run of ``[A-Za-z0-9+/_=.-]`` is cut into parts at its punctuation.  Parts
+that a fixed form touches, hex digests of known lengths and UUIDs are left out and divide the run into stretches.  A
+candidate of ``min_chars`` characters or more that mixes letters with digits, or lower with upper case inside, is
+encoded with a tiktoken vocabulary.  Ordinary words and identifiers need few tokens; where a token covers fewer than
+``max_ratio`` characters on average, the string is random.  Candidates of a stretch, the first that is random wins:
+the stretch without ordinary parts at its ends; the whole stretch; else its pieces between ordinary parts, and the
+parts of a piece that is not random.  Left out of the candidates: versions, dates and times, and names built of words.
 
 Defined results: null or empty text has no spans.  Offsets are code points, ends exclusive.  Rows are
 independent; other columns pass through.
@@ -43,6 +44,7 @@ RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+PART = re.compile(f"{UUID.pattern}(?![A-Za-z0-9])|[A-Za-z0-9]+")
 WORDS = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]+|[0-9]{1,4})(?:[-_./+=](?:[A-Z]?[a-z]{2,}|[A-Z]+|[0-9]{1,4}))*")
 STAMP = re.compile(r"[0-9]{4}-?[0-9]{2}-?[0-9]{2}(?:[T_-]?[0-9:.+-]*Z?)?")
 VERSION = re.compile(r"(?:[A-Za-z]+[-_])*v?[0-9]+(?:\.[0-9]+)+(?:[-_.+][A-Za-z0-9]{1,8})*")
@@ -59,11 +61,13 @@ def vocabulary(name_or_path: str):
     return tiktoken.Encoding("scan", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def is_digest(s: str) -> bool:
+    return bool(len(s) in DIGEST_LENGTHS and DIGEST.fullmatch(s) or UUID.fullmatch(s))
+
+
 def is_known_form(s: str) -> bool:
     """Digests, UUIDs and names that are built of words: not secrets however they are tokenised."""
-    if len(s) in DIGEST_LENGTHS and DIGEST.fullmatch(s) or UUID.fullmatch(s):
-        return True
-    return any(form.fullmatch(s) for form in (WORDS, STAMP, VERSION))
+    return is_digest(s) or any(form.fullmatch(s) for form in (WORDS, STAMP, VERSION))
 
 
 def mixed(s: str) -> bool:
@@ -85,19 +89,48 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def random_spans(text: str, taken: list[tuple[str, int, int]], encoding, min_chars: int,
                  max_ratio: float) -> list[tuple[str, int, int]]:
-    out = []
     edges = sorted((a, b) for _, a, b in taken)
+
+    def dense(s: str) -> bool:
+        return len(s) < max_ratio * len(encoding.encode_ordinary(s))
+
+    def is_random(a: int, b: int) -> bool:
+        s = text[a:b]
+        return b - a >= min_chars and mixed(s) and not is_known_form(s) and dense(s)
+
+    def in_stretch(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        if not parts or parts[-1][1] - parts[0][0] < min_chars:
+            return []
+        pieces: list[list[tuple[int, int]]] = [[]]
+        for a, b in parts:
+            if dense(text[a:b]):
+                pieces[-1].append((a, b))
+            elif pieces[-1]:
+                pieces.append([])
+        pieces = [p for p in pieces if p]
+        if not pieces:
+            return []
+        for a, b in ((pieces[0][0][0], pieces[-1][-1][1]), (parts[0][0], parts[-1][1])):
+            if is_random(a, b):
+                return [(a, b)]
+        out = []
+        for piece in pieces:
+            whole = (piece[0][0], piece[-1][1])
+            out += [whole] if is_random(*whole) else [part for part in piece if is_random(*part)]
+        return out
+
+    out = []
     for m in RUN.finditer(text):
-        run = m[0].strip("=./-_+")
-        start = m.start() + m[0].index(run) if run else 0
-        end = start + len(run)
-        if len(run) < min_chars or not mixed(run) or is_known_form(run):
-            continue
-        if any(a < end and start < b for a, b in edges):
-            continue
-        if len(run) < max_ratio * len(encoding.encode_ordinary(run)):
-            out.append(("random", start, end))
-    return out
+        stretch: list[tuple[int, int]] = []
+        for p in PART.finditer(m[0]):
+            a, b = m.start() + p.start(), m.start() + p.end()
+            if is_digest(p[0]) or any(x < b and a < y for x, y in edges):
+                out += in_stretch(stretch)
+                stretch = []
+            else:
+                stretch.append((a, b))
+        out += in_stretch(stretch)
+    return [("random", a, b) for a, b in out]
 
 
 def scan(text: str, encoding, min_chars: int = MIN_CHARS, max_ratio: float = MAX_RATIO) -> list[tuple[str, int, int]]:

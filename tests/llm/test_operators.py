@@ -204,3 +204,27 @@ def test_random_strings_are_found_mostly():
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     made = ["".join(rng.choices(letters, k=24)) for _ in range(300)]
     assert sum(any(k == "random" for k, _, _ in secret_scan.scan(f"x {s} y", encoding)) for s in made) > 290
+
+
+@pytest.mark.parametrize("before, after", [
+    ("client_secret_value=", ""), ("example.com/reports/download/", ""), ("x/5fa2b6cdb08be96a4a469e2a/", "/page.html"),
+    ("//storage.example.com/bucket/archive/report.pdf/signature=", "/download.pdf"),
+])
+def test_random_parts_of_longer_runs(before, after):
+    encoding = secret_scan.vocabulary(secret_scan.VOCABULARY)
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    found = 0
+    for _ in range(100):
+        made = "".join(rng.choices(letters, k=24))
+        text = f"\U0001f600 {before}{made}{after} end"
+        found += any(k in ("random", "assign") and text[a:b].endswith(made) for k, a, b in secret_scan.scan(text, encoding))
+    assert found > 97
+
+
+def test_parts_of_known_forms_are_left_out():
+    encoding = secret_scan.vocabulary(secret_scan.VOCABULARY)
+    kinds = lambda t: [(k, t[a:b]) for k, a, b in secret_scan.scan(t, encoding)]
+    assert kinds("example.com/users/550e8400-e29b-41d4-a716-446655440000/2024/index.html") == []
+    assert kinds("example.com/D41D8CD98F00B204E9800998ECF8427E/Zk3vQ9xT1bLr8WmPz0Yd.txt") == [("random", "Zk3vQ9xT1bLr8WmPz0Yd")]
+    assert kinds("is Zk3v/Q9xT1bLr+8WmPz0Yd=") == [("random", "Zk3v/Q9xT1bLr+8WmPz0Yd")]
