@@ -228,3 +228,21 @@ def test_parts_of_known_forms_are_left_out():
     assert kinds("example.com/users/550e8400-e29b-41d4-a716-446655440000/2024/index.html") == []
     assert kinds("example.com/D41D8CD98F00B204E9800998ECF8427E/Zk3vQ9xT1bLr8WmPz0Yd.txt") == [("random", "Zk3vQ9xT1bLr8WmPz0Yd")]
     assert kinds("is Zk3v/Q9xT1bLr+8WmPz0Yd=") == [("random", "Zk3v/Q9xT1bLr+8WmPz0Yd")]
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+def test_random_strings_of_one_case(letters):
+    encoding = secret_scan.vocabulary(secret_scan.VOCABULARY)
+    rng = random.Random(6)
+    made = ["".join(rng.choices(letters, k=24)) for _ in range(300)]
+    for before in ("", "example.com/reports/download/"):
+        texts = [f"x {before}{s} y" for s in made]
+        assert sum(any(t[a:b] == s for _, a, b in secret_scan.scan(t, encoding)) for t, s in zip(texts, made)) > 270
+
+
+def test_names_of_one_case_are_no_secrets():
+    encoding = secret_scan.vocabulary(secret_scan.VOCABULARY)
+    for name in ("HAVE_SYS_TYPES_H", "POP_JUMP_IF_NOT_NONE", "f_back.f_back.f_back.f", "DO_NOT_USE_IN_PROD",
+                 "internationalization", "UNAUTHORIZEDACCESS", "4111-1111-1111-1111", "Nondeterministic"):
+        assert secret_scan.scan(f"a {name} b", encoding) == [], name
+    assert [k for k, _, _ in secret_scan.scan("key QXZV-KJWQ-PZXV-WQJK-VXQZ b", encoding)] == ["random"]
