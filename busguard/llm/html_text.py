@@ -5,9 +5,14 @@
    role names such a part, or that is hidden, weighs nothing and is never text.
 2. A line's weight is the length of its text outside links.  Weights are summed over windows of ``window``
    lines; a surge is where the sum of a window rises above the threshold, a dive where it is back at or below.
-3. The lines between a surge and its dive are the text.  On a page with an ``article`` or ``main`` element,
-   lines outside it weigh nothing and the threshold is 0, so the element is kept whole; elsewhere the threshold
-   is ``share`` of the heaviest window, at most ``most`` characters.
+3. The lines between a surge and its dive are the text.  The threshold is ``share`` of the page's heaviest window, at
+   most ``most`` characters.
+4. An ``article`` or ``main`` element is a hint.  Its lines and the others are windowed apart.  A line inside that is
+   text for the greater part weighs ``most`` / ``window`` more, so that short paragraphs in a row make a surge; a stretch
+   outside must rise above ``share`` of the heaviest window and above ``most``.  Lines of links alone stay inside the
+   element where fewer than ``window`` of them follow each other.  Where a stretch outside is heavier than all that
+   the elements hold, and than ``most``, the elements are no hint and the page is judged by step 3 alone.
+5. Outside such elements, lines of at most ``NOTE_CHARS`` characters that begin as a copyright note weigh nothing.
 
 Defined results: null or empty html gives the empty text, as does a page without text lines.  Unclosed tags,
 quotes and comments are read leniently in one pass, in time proportional to the page.  Rows are independent;
@@ -28,6 +33,7 @@ from busguard.llm.common import col, text_or_empty
 WINDOW = 3
 SHARE = 0.2
 MOST = 80.0
+NOTE_CHARS = 120
 
 # Element names of HTML by their part in a page, and words that name such parts.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "select", "math", "object"}
@@ -195,20 +201,40 @@ def text_stretches(weights: list[float], threshold: float, window: int) -> list[
     return out
 
 
+def lone(weights: list[float], window: int) -> list[bool]:
+    """For every line whether it is one of fewer than ``window`` lines in a row without weight."""
+    out = [False] * len(weights)
+    start = 0
+    for i in range(len(weights) + 1):
+        if i == len(weights) or weights[i] > 0:
+            out[start:i] = [i - start < window] * (i - start)
+            start = i + 1
+    return out
+
+
 def main_text(page: str, window: int = WINDOW, share: float = SHARE, most: float = MOST) -> str:
     """The main text of one page, its lines joined by a line feed."""
     lines, has_root = page_lines(page)
+    plain = [0.0 if not inside and len(t) <= NOTE_CHARS and NOTE.match(t) else w for t, w, inside in lines]
+    sums = lambda weights: [sum(weights[i:i + window]) for i in range(len(weights))]
     if has_root:
-        lines = [(t, float(len(t)), True) if inside else (t, 0.0, False) for t, _, inside in lines]
-    else:
-        lines = [(t, 0.0 if NOTE.match(t) else w, inside) for t, w, inside in lines]
-    weights = [w for _, w, _ in lines]
-    heaviest = max((sum(weights[i:i + window]) for i in range(len(weights))), default=0.0)
-    threshold = 0.0 if has_root else min(most, share * heaviest)
-    kept = []
-    for first, last in text_stretches(weights, threshold, window):
-        kept += [t for t, w, inside in lines[first:last] if w > 0 or inside and has_root]
-    return "\n".join(kept)
+        beside = [0.0 if inside else w for (_, _, inside), w in zip(lines, plain)]
+        held = sum(plain) - sum(beside)
+        outside = text_stretches(beside, max(most, share * max(sums(beside), default=0.0)), window)
+        if any(sum(beside[a:b]) > held for a, b in outside):
+            has_root = False
+    if not has_root:
+        threshold = min(most, share * max(sums(plain), default=0.0))
+        at = [i for a, b in text_stretches(plain, threshold, window) for i in range(a, b) if plain[i] > 0]
+        return "\n".join(lines[i][0] for i in at)
+    order = [i for i, line in enumerate(lines) if line[2]]
+    within = [plain[i] + (most / window if 2 * plain[i] > len(lines[i][0]) else 0.0) for i in order]
+    heaviest = max(sums(within) + sums(beside), default=0.0)
+    few = lone(within, window)
+    at = [order[i] for a, b in text_stretches(within, min(most, share * heaviest), window) for i in range(a, b)
+          if within[i] > 0 or few[i]]
+    at += [i for a, b in text_stretches(beside, max(most, share * heaviest), window) for i in range(a, b) if beside[i] > 0]
+    return "\n".join(lines[i][0] for i in sorted(at))
 
 
 def extract_text(pages: DataFrame, html: str = "html", text_as: str = "text", window: int = WINDOW,

@@ -112,6 +112,31 @@ def test_line_blocks_without_article():
                                               + "A sentence of the story goes on and on.", "So."] * 5)]
 
 
+SENTENCE = "A sentence of the story goes on and on."
+STORY = [f"{n}. {SENTENCE * 4}" for n in range(5)]
+STORY_HTML = "".join(f"<p>{t}</p>" for t in STORY)
+LINKS = "".join(f"<div><a href=/{i}>Link number {i}</a></div>" for i in range(12))
+
+
+@pytest.mark.parametrize("element", ["<article></article>", "<article><p>Read this too.</p></article>", "<main><p>Hi</main>"])
+def test_main_text_outside_an_empty_or_teaser_element(element):
+    text = html_text.main_text(f"<body>{LINKS}{element}{LINKS}<div>{STORY_HTML}</div>{LINKS}</body>").split("\n")
+    assert text == STORY
+
+
+def test_window_sums_decide_inside_and_outside_an_element():
+    notice = "".join(f"<div class=xyz><a href=/{i}>Link {i}</a></div>" for i in range(8)) + "<div class=xyz>Ok</div>"
+    text = html_text.main_text(f"<article><h1><a href=/>Title</a></h1>{STORY_HTML}<p>So.</p>{notice}{LINKS}</article>"
+                               f"<div>{LINKS}<p>Teaser</p>{LINKS}{STORY_HTML}</div>").split("\n")
+    assert text == ["Title", *STORY, "So.", *STORY]
+    assert html_text.main_text("<article><h1>T</h1><p>a</p><p>b</p><p>c</p></article>") == "T\na\nb\nc"
+
+
+def test_only_short_copyright_lines_are_notes():
+    long = "Copyright law is the subject of this story. " + SENTENCE * 4
+    assert html_text.main_text(f"<p>{long}</p><p>{STORY[0]}</p><p>Copyright 2024 Company</p>") == f"{long}\n{STORY[0]}"
+
+
 def test_broken_markup_takes_linear_time():
     for piece in ("<a href=\"", "<", "<title>", "<!-", "<p class='x", "</"):
         html_text.main_text(piece * 60_000)
