@@ -8,12 +8,13 @@ as given.
 
 Vectors and queries meet per (table, bucket), cut into blocks of at most about ``BLOCK`` vectors and ``BLOCK``
 queries from counted bucket sizes (tables x 2D counts at most are broadcast), so a bucket that holds a third of all
-vectors is dealt over many tasks.  A block returns the best ``top`` per query; these lists are merged per query.
+vectors is dealt over many tasks, by id and vector, so that one id's rows spread too.  A block returns the best ``top``
+distinct ids per query; these lists are merged per query.
 A query that finds fewer than ``top`` is searched against all vectors, in blocks.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have another length than most
-vectors take no part; nor do null ids.  Ties go to the smaller id.  Rows that repeat an id count once, with the best
-score.  A table of fewer than ``top`` + 1 vectors gives all others; an empty table gives no rows.
+vectors take no part; nor do null ids.  Ties go to the smaller id.  Equal rows of an id
+are one; other rows that repeat an id count once, with the best score.  A table of fewer than ``top`` + 1 vectors gives all others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -93,19 +94,21 @@ def hashed(tables: int, probes: int, seed: int):
 
 
 def best_in_block(top: int):
-    """Best ``top`` of a block's vectors for each of its queries."""
+    """Best ``top`` ids of a block's vectors for each of its queries."""
 
     def run(key: tuple, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(vectors) or not len(queries):
             return pd.DataFrame(columns=["query_id", "vec_ids", "scores"], dtype=object)
         vectors = vectors.sort_values("id", ignore_index=True)
-        ids = vectors["id"].to_numpy(np.int64)
-        matrix = np.frombuffer(b"".join(vectors["vec"])).reshape(len(ids), -1)
+        matrix = np.frombuffer(b"".join(vectors["vec"])).reshape(len(vectors), -1)
+        ids, firsts = np.unique(vectors["id"].to_numpy(np.int64), return_index=True)
         out = []
         for start in range(0, len(queries), 256):
             part = queries.iloc[start:start + 256]
             asked = part["id"].to_numpy(np.int64)
             scores = np.frombuffer(b"".join(part["vec"])).reshape(len(part), -1) @ matrix.T
+            if len(firsts) < scores.shape[1]:
+                scores = np.maximum.reduceat(scores, firsts, axis=1)  # an id's best row stands for it
             scores[asked[:, None] == ids[None, :]] = -np.inf
             least = np.partition(scores, max(0, len(ids) - top), axis=1)[:, max(0, len(ids) - top)]
             for q, row, floor in zip(asked.tolist(), scores, least):
@@ -137,7 +140,7 @@ def search_blocks(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame
              .join(queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("nq")), keys)
              .select(*keys, cuts("nv").alias("v_cuts"), cuts("nq").alias("q_cuts")))
     sizes = F.broadcast(sizes)  # a row for each bucket: tables x 2D at most
-    dealt = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n)).cast("int")
+    dealt = lambda n: F.pmod(F.xxhash64("id", "vec", F.lit(3)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     v = (vectors.join(sizes, keys).withColumn("v", dealt("v_cuts")).withColumn("q", each("q_cuts"))
          .select(*keys, "v", "q", "id", "vec"))
@@ -162,7 +165,7 @@ def nearest(vectors: DataFrame, is_query: Column, id: str = "vec_id", vec: str =
     shape = "query_id long, rank int, vec_id long, score double"
     if width is None:
         return vectors.sparkSession.createDataFrame([], shape)
-    rows = rows.filter(F.size("vec") == width["n"])
+    rows = rows.filter(F.size("vec") == width["n"]).groupBy("id", "vec").agg(F.max("asks").alias("asks"))
     plain, asking = rows.select("id", "vec"), rows.filter("asks").select("id", "vec")
     hash_shape = "table int, bucket long, id long, vec binary"
     index = plain.mapInPandas(hashed(tables, 1, seed), hash_shape)

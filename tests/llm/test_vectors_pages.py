@@ -67,6 +67,38 @@ def test_nearest_edge_rows(spark, tmp_path, monkeypatch):
     assert sum(len(set(got[i]) & set(want[i])) for i in want) >= 0.9 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("copies, spread", [(5, 0.0), (25, 0.0), (5, 0.01), (25, 0.01)])
+def test_repeated_ids_take_one_place_each(spark, tmp_path, copies, spread):
+    rng = np.random.default_rng(8)
+    units = nearest.unit_rows(rng.normal(size=(60, 8)))
+    rows = [(i, (units[i] + spread * rng.normal(size=8)).tolist()) for i in range(60) for _ in range(copies)]
+    sf = kit.table_dir(tmp_path, embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    best = {}
+    for i, v in rows:
+        for j, w in rows if i % 20 == 0 else ():
+            if i != j:
+                best[i, j] = max(best.get((i, j), -9.0), float(np.dot(v, w)))
+    got = {}
+    for r in Q["op1_cross_polytope"][0](spark, sf).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+        assert r.score == pytest.approx(best[r.query_id, r.vec_id])
+    assert got.keys() == {0, 20, 40} and all(len(v) == len(set(v)) == 20 for v in got.values())
+    want = {i: sorted((j for q, j in best if q == i), key=lambda j: -best[i, j])[:20] for i in got}
+    assert sum(len(set(got[i]) & set(want[i])) for i in got) >= 0.9 * 60
+
+
+def test_rows_of_one_id_are_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK", 10)
+    monkeypatch.setattr(nearest, "best_in_block", lambda top: lambda key, v, q: nearest.pd.DataFrame(
+        {"query_id": [len(v)], "vec_ids": [[0]], "scores": [[0.0]]}))
+    pack = lambda i: np.array([float(i)]).tobytes()
+    shape = "table int, bucket long, id long, vec binary"
+    vectors = spark.createDataFrame([(0, 0, 7, pack(i)) for i in range(100)], shape)
+    queries = spark.createDataFrame([(0, 0, 20, pack(1))], shape)
+    seen = [r.query_id for r in nearest.search_blocks(vectors, queries, 20).collect()]
+    assert sum(seen) == 100 and max(seen) < 40
+
+
 def test_few_vectors_give_all_others(spark, tmp_path):
     rows = [(20 * i, [1.0, float(i)], 1) for i in range(6)]
     sf = kit.table_dir(tmp_path, embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
