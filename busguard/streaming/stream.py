@@ -36,6 +36,7 @@ from busguard.session import checkpoint_dir
 
 SIG_STATE = "_bus string, arbitration_key string, sig bigint, first_t bigint, last_t bigint"
 NGRAM_STATE = "_bus string, arbitration_key string, ngram bigint, n bigint, last_t bigint"
+MAX_BATCH_ROWS = 1 << 40
 
 
 def _fs(spark: SparkSession, path: str):
@@ -44,13 +45,35 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def batch_order(batch: DataFrame) -> Column:
-    """Arrival order of a micro-batch's frames: by source position where they carry one, else by file row."""
+def with_source(batch: DataFrame) -> DataFrame:
+    """``batch`` with ``_topic``, ``_part`` and ``_row``: uncut source position of a frame, else partition and row read."""
     if {"partition", "offset"} <= set(batch.columns):
-        # the order across partitions is not defined by the source; within one it is the offset's
-        return F.pmod(F.col("offset"), F.lit(1 << 30)) * 1024 + F.pmod(F.col("partition"), F.lit(1024))
-    row = F.monotonically_increasing_id()
-    return F.shiftright(row, 33) * F.lit(1 << 24) + F.pmod(row, F.lit(1 << 24))
+        topic = F.coalesce(F.col("topic").cast("string"), F.lit("")) if "topic" in batch.columns else F.lit("")
+        part, row = F.col("partition").cast("bigint"), F.col("offset")
+    else:
+        read = F.monotonically_increasing_id()
+        topic, part, row = F.lit(""), F.shiftright(read, 33), read.bitwiseAND(F.lit((1 << 33) - 1))
+    return batch.withColumns({"_topic": topic, "_part": part, "_row": row})
+
+
+def with_arrival(placed: DataFrame, batch_id: int) -> DataFrame:
+    """``_ord`` in place of the source columns: unique over all batches, ascending with the rows of a source partition.
+
+    Every (topic, partition) gets a range of its own from counted spans, one row each on the driver; the order across
+    partitions is not defined by the source.  A batch that does not fit its range fails.
+    """
+    spans = placed.groupBy("_topic", "_part").agg(F.min("_row").alias("lo"), F.max("_row").alias("hi")).collect()
+    starts, at = [], 0
+    for topic, part, lo, hi in sorted(map(tuple, spans)):
+        starts.append((topic, part, at - lo))
+        at += hi - lo + 1
+    if at > MAX_BATCH_ROWS or not 0 <= batch_id < (1 << 63) // MAX_BATCH_ROWS:
+        raise ValueError(f"batch {batch_id} with a span of {at} rows has no arrival numbers: at most {MAX_BATCH_ROWS} "
+                         f"rows and {(1 << 63) // MAX_BATCH_ROWS} batches")
+    shifts = placed.sparkSession.createDataFrame(starts, "_topic string, _part bigint, _shift bigint")
+    return (placed.join(F.broadcast(shifts), ["_topic", "_part"])
+            .withColumn("_ord", F.lit(batch_id * MAX_BATCH_ROWS).cast("bigint") + F.col("_row") + F.col("_shift"))
+            .drop("_topic", "_part", "_row", "_shift"))
 
 
 class StreamDetector:
@@ -104,8 +127,8 @@ class StreamDetector:
         proc = self.processing_ns if self.processing_ns is not None else F.unix_micros(F.current_timestamp()) * 1000
         tail, sig_state, ng_state, max_t = self._load_state(batch_id)
         text = F.col("_corrupt_record") if "_corrupt_record" in batch.columns else F.lit(None).cast("string")
-        new = batch.select(*FRAME_COLUMNS, text.alias("record")).withColumn(
-            "_ord", F.lit(batch_id).cast("bigint") * F.lit(1 << 40) + batch_order(batch)).persist()
+        placed = with_source(batch).select(*FRAME_COLUMNS, text.alias("record"), "_topic", "_part", "_row").persist()
+        new = with_arrival(placed, batch_id)
         # quarantine: payload text that is not JSON, and frames older than the lateness bound
         t = event_time_ns("simulator_send_time_ns", "event_time_epoch_ms", proc)
         malformed = F.col("payload").isNotNull() & F.try_parse_json("payload").isNull()
@@ -117,7 +140,7 @@ class StreamDetector:
          .observe(bad_obs, F.count(F.lit(1)).alias("quarantined"))
          .write.mode("overwrite").parquet(f"{self.quarantine_dir}/batch_id={batch_id}"))
         self.stats["quarantined"] += int(bad_obs.get.get("quarantined") or 0)
-        held = new
+        held = placed
         new = new.filter(reason.isNull()).drop("record")
         frames = tail.withColumn("_hist", F.lit(True)).unionByName(new.withColumn("_hist", F.lit(False)))
         feats = detect.features(frames, p, proc, history=(sig_state, ng_state)).persist()

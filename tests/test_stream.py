@@ -10,6 +10,7 @@ from busguard.params import REFERENCE_BUS
 from busguard.plans import detect
 from busguard.schema import ALL_FEATURES, FRAME_COLUMNS, FRAME_SCHEMA
 from busguard.sources.frames import frames_from_events
+from busguard.streaming import stream
 from busguard.streaming.stream import StreamDetector, live_alert_counts
 
 P = REFERENCE_BUS.with_(min_warmup_bus_frequency=5.0, warmup_samples=200)
@@ -99,3 +100,28 @@ def test_stream_restart_continues_state(spark, batch_run):
     _write_slices(frames, root, 4, 2, 4)
     _run(spark, art, root, f"{root}/ckpt")
     _compare(spark, alerts, art, root)
+
+
+def test_arrival_numbers_are_unique_over_topics_partitions_and_offsets(spark):
+    rows = [(topic, part, offset) for topic in ("a", "b") for part in (0, 1, 1024, 5000)
+            for offset in (5, 6, 5 + (1 << 30), 6 + (1 << 30))]
+    df = spark.createDataFrame(rows, "topic string, partition int, offset bigint")
+    got = {}
+    for batch_id in (3, 4):
+        kept = df.select("*", F.col("offset").alias("at"), F.struct("topic", "partition").alias("source"))
+        for r in stream.with_arrival(stream.with_source(kept), batch_id).collect():
+            got[batch_id, r.source, r["at"]] = r["_ord"]
+    assert len(set(got.values())) == len(got) == 64
+    by_source = sorted((k, v) for k, v in got.items())
+    assert all(a[1] < b[1] for a, b in zip(by_source, by_source[1:]))
+
+
+def test_arrival_numbers_of_file_rows_are_uncut(spark, monkeypatch):
+    df = spark.range(8).select(F.lit("").alias("_topic"), F.floor(F.col("id") / 4).alias("_part"),
+                               ((F.col("id") % 2) + F.when(F.col("id") % 4 < 2, 0).otherwise(1 << 24)).alias("_row"))
+    assert stream.with_arrival(df, 0).distinct().count() == 8
+    read = stream.with_source(spark.range(0, 90, 1, 3).toDF("n")).collect()
+    assert sorted((r["_part"], r["_row"], r.n) for r in read) == [(i // 30, i % 30, i) for i in range(90)]
+    monkeypatch.setattr(stream, "MAX_BATCH_ROWS", 16)
+    with pytest.raises(ValueError, match="arrival numbers"):
+        stream.with_arrival(df, 0)
