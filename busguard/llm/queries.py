@@ -17,6 +17,7 @@ from busguard.llm.nearest import nearest
 from busguard.llm.secret_scan import find_secrets
 from busguard.llm.sentencepiece_codec import encode_decode
 from busguard.llm.shards import RECORD_BYTES, shuffle_into_shards, text_bytes
+from busguard.llm.substring_dedup import remove_repeats
 from busguard.llm.warc import convert_arc, page_records, write_arc
 
 
@@ -101,6 +102,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("kind").alias("record_type"), F.col("refers_to_page").alias("refers_to"), "url", "sound")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                      F.floor(F.size("removed_spans") / 2).cast("long").alias("n_spans"),
+                      sha256("kept").alias("kept_sha256"))
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 LINE_DEDUP_SQL = f"""
@@ -168,4 +176,5 @@ Q = {
     "op8_jaccard_join": (op8_jaccard_join, None),
     "op9_shards": (op9_shards, None),
     "op10_warc": (op10_warc, WARC_SQL),
+    "op11_suffix_dedup": (op11_suffix_dedup, None),
 }
