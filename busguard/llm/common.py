@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from busguard.session import checkpoint_dir
@@ -46,3 +46,11 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def first_of(df: DataFrame, keys: list[str], order: list[Column], n: int, spread: Column) -> DataFrame:
+    """The first ``n`` rows of each key with their ``rank``, chosen within 64 parts of a key before all together."""
+    parts = Window.partitionBy(*keys, "part").orderBy(*order)
+    some = df.withColumn("part", F.pmod(spread, F.lit(64))).withColumn("rank", F.row_number().over(parts))
+    some = some.filter(F.col("rank") <= n).drop("part", "rank")
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)

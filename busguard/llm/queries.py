@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from busguard.llm.common import drop_folder, scratch_path
 from busguard.llm.decontaminate import find_contamination
+from busguard.llm.hard_negatives import hard_negatives
 from busguard.llm.html_text import extract_text
 from busguard.llm.jaccard_join import similarity_components
 from busguard.llm.language_id import identify, is_held_out, learn
+from busguard.llm.lexical_search import ranked_search
 from busguard.llm.line_dedup import dedup_lines
 from busguard.llm.nearest import nearest
 from busguard.llm.secret_scan import find_secrets
@@ -109,6 +111,16 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       sha256("kept").alias("kept_sha256"))
 
 
+def op12_max_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 LINE_DEDUP_SQL = f"""
@@ -164,6 +176,52 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(body) AS payload_dige
   coalesce(nullif(regexp_replace(url, '\\s', '%20', 'g'), ''), 'urn:unknown') AS url, true AS sound
 FROM d"""
 
+RANKED_SQL = f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w
+  FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w
+  FROM benchmark
+), c AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(len(w)) AS BIGINT) AS nl FROM d WHERE len(w) > 0
+), t AS (
+  SELECT doc_id, n, term, CAST(count(*) AS BIGINT) AS tf
+  FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d) GROUP BY ALL
+), asked AS (
+  SELECT item_id, term, CAST(count(*) AS BIGINT) AS r FROM (SELECT item_id, unnest(w) AS term FROM i) GROUP BY ALL
+), weighed AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM t, c GROUP BY term, nd
+), scored AS (
+  SELECT item_id, doc_id,
+    CAST(sum(r * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nl)))) AS BIGINT) AS score
+  FROM asked JOIN weighed USING (term) JOIN t USING (term), c GROUP BY item_id, doc_id
+)
+SELECT * FROM (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0) WHERE rank <= 20"""
+
+HARD_NEGATIVES_SQL = """
+WITH e AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT a.id AS anchor_id, b.id AS other, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.id % 50 = 0 AND a.id <> b.id
+), p AS (
+  SELECT * FROM (SELECT anchor_id, other AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS place FROM s WHERE same) WHERE place <= 5
+)
+SELECT * FROM (
+  SELECT anchor_id, positive_id,
+    CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+    other AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score) WHERE rank <= 3"""
+
 #: name: (query, DuckDB text or None where SQL cannot express the result or is too slow on whole tables)
 Q = {
     "op1_cross_polytope": (op1_cross_polytope, None),
@@ -177,4 +235,6 @@ Q = {
     "op9_shards": (op9_shards, None),
     "op10_warc": (op10_warc, WARC_SQL),
     "op11_suffix_dedup": (op11_suffix_dedup, None),
+    "op12_max_sketch": (op12_max_sketch, RANKED_SQL),
+    "op13_hard_negatives": (op13_hard_negatives, HARD_NEGATIVES_SQL),
 }
