@@ -298,7 +298,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", wind
         cut = todo.mapInArrow(fingerprints(k, window, 1 if last else MAX_RUN), RUN)
         runs = stage(cut, f"runs{level}")
         shared = runs.groupBy("key").agg(F.sum("times").alias("c")).filter("c > 1").select("key")
-        runs = runs.join(shared, "key")
+        runs = stage(runs.join(shared, "key"), f"shared{level}")  # read twice
         rep = F.min(F.struct("k1", "k2", "start", "n")).alias("rep")
         # stage: the distinct runs of shared keys, far fewer than all runs
         distinct = stage(runs.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("c"), F.max("times").alias("times"), rep),
