@@ -4,29 +4,22 @@ The reference keeps one process-wide state and walks frames one by one.  Here ev
 window expression, and no window is ever partitioned by a key that can hold a large share of the
 rows on its own (one bus, one identifier, one payload):
 
+chunks   ``chunks.with_chunk``: time chunks of a bus, cut further where a cell of the grid exceeds a budget of rows.
 stage 1  ``sequence_position``: the 0-based position of a frame inside its (bus, id) sequence, from
          per-(bus, id, time chunk) counts, a running sum over the small count table, and
          ``row_number`` inside the chunk.
 stage 2  ``add_sequence_features``: rows are cut into blocks of ``block_rows`` positions; the last
          ``interarrival_rows`` rows of each block are copied into the next block (a row halo), so
-         ``lag`` and the 300-row rolling frames are exact inside (bus, id, block) partitions.
-stage 3  ``add_traffic_features``: rows are cut into time chunks; rows within ``halo_ns`` of a
-         chunk's end are copied into the next chunk (a time halo), so every RANGE window of at
-         most ``halo_ns`` is exact inside (bus, chunk[, id[, signature]]) partitions, which all
-         reuse one hash exchange on (bus, chunk).  Look-backs of unbounded age (previous bus frame,
-         previous sighting of a signature or of a 3-gram, number of earlier 3-gram sightings) read
-         one small *marker* row per (key, chunk) computed from a grouped running aggregate over
-         chunks.  The distributions over the 1 s bus window (entropy, dominant id, distinct ids,
-         dominant payload) come from ``_sweep_distributions``, a grouped-map pass per (bus, chunk)
-         with O(1) work per frame, merged back through the same exchange.
-
-All three stages run on a narrow projection (``NARROW``); ``frame_features`` joins the results
+         ``lag`` and the 300-row rolling frames are exact inside (bus, id, block) partitions.  The last
+         earlier sighting of an (id, signature) enters a block as one row from a running aggregate over blocks.
+stage 3  ``add_traffic_features``: one grouped pass per chunk over whole columns (``traffic``).
+
+All stages run on a narrow projection (``NARROW``); ``frame_features`` joins the results
 back to the wide decoded frame once, on the scan row id.  Streaming passes earlier sightings in
-as ``history`` (one virtual chunk before all others).
+as ``history`` (before all blocks and chunks).
 
-Caps of the reference deques are applied with ``least``.  Frames with equal event time are peers
-of a RANGE window (the reference counts only those already arrived); ``lag`` and running counts
-order by (t, sequence, _ord).
+Frames with equal event time are peers of a time window (``arrival_ties``: only those already arrived count); ``lag``
+and running counts order by (t, sequence, _ord).  Bounds on windows are off unless parameters set them.
 """
 
 from __future__ import annotations
@@ -35,11 +28,11 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from busguard.operators import traffic
+from busguard.operators.chunks import floor_div, time_cuts, with_chunk
+from busguard.operators.traffic import KEY, ORDER
 from busguard.params import NS_PER_MS, NS_PER_S, DetectorParams
 
-ORDER = ["t", "sequence", "_ord"]
-KEY = "arbitration_key"
-
 
 def with_bus(df: DataFrame, params: DetectorParams) -> DataFrame:
     """Single ``_bus`` key column (constant when ``bus_keys`` is empty: one merged bus)."""
@@ -53,17 +46,6 @@ def with_bus(df: DataFrame, params: DetectorParams) -> DataFrame:
     return out
 
 
-def floor_div(x: Column, n: int) -> Column:
-    return ((x - F.pmod(x, F.lit(n))) / F.lit(n)).cast("bigint")
-
-
-def with_chunk(df: DataFrame, params: DetectorParams) -> DataFrame:
-    if params.chunk_ns < params.halo_ns:
-        # the halo copies a chunk's tail into the next chunk only
-        raise ValueError(f"chunk_ns ({params.chunk_ns}) must be at least halo_ns ({params.halo_ns})")
-    return df.withColumn("_chunk", floor_div(F.col("t"), params.chunk_ns))
-
-
 # --------------------------------------------------------------------------- stage 1
 def sequence_position(df: DataFrame, keys: list[str], pos_col: str = "_pos") -> DataFrame:
     """0-based position of each row inside ``keys`` ordered by ORDER; needs ``_chunk``.
@@ -80,8 +62,22 @@ def sequence_position(df: DataFrame, keys: list[str], pos_col: str = "_pos") ->
 
 
 # --------------------------------------------------------------------------- stage 2
-def add_sequence_features(df: DataFrame, params: DetectorParams, keep_text: bool = False) -> DataFrame:
-    """W1, W10 (+ positive-gap cv for W23), W14 (3-gram key), W25-W27 per (bus, id) sequence.
+def earlier_sightings(df: DataFrame, keys: list[str], history: DataFrame | None) -> DataFrame:
+    """One row per (id, signature, block) with the last sighting in earlier blocks (``_seen``) and the first one in
+    earlier runs (``_seen_first``).  ``history`` rows come before all blocks."""
+    seen = df.groupBy(*keys, "sig", "_blk").agg(F.max("t").alias("_t"), F.lit(None).cast("bigint").alias("_first"))
+    if history is not None:
+        seen = seen.unionByName(history.select(*keys, "sig", F.lit(None).cast("bigint").alias("_blk"),
+                                               F.lit(None).cast("bigint").alias("_t"), F.col("first_t").alias("_first")))
+    w = Window.partitionBy(*keys, "sig").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    seen = seen.select(*keys, "sig", "_blk", F.max("_t").over(w).alias("_seen"), F.min("_first").over(w).alias("_seen_first"))
+    return seen.filter(F.col("_blk").isNotNull() & (F.col("_seen").isNotNull() | F.col("_seen_first").isNotNull()))
+
+
+def add_sequence_features(df: DataFrame, params: DetectorParams, keep_text: bool = False,
+                          history: DataFrame | None = None) -> DataFrame:
+    """W1, W10 (+ positive-gap cv for W23), W14 (3-gram key), W25-W27 per (bus, id) sequence, and the frames whose
+    signature was seen before with some distance (``_suspicious``, counted by W11).
 
     Input needs ``_bus``, ``_chunk``, ``t``, signals, ``sig``.  Adds ``_pos`` (position in the id
     sequence) and the columns below; rows are unchanged.
@@ -97,12 +93,24 @@ def add_sequence_features(df: DataFrame, params: DetectorParams, keep_text: bool
         raise ValueError("block_rows must exceed interarrival_rows")
     keys = ["_bus", KEY]
     df = sequence_position(df, keys)
-    blk = floor_div(F.col("_pos"), block)
+    df = df.withColumn("_blk", floor_div(F.col("_pos"), block))
     copy = F.when(F.pmod(F.col("_pos"), F.lit(block)) >= block - rows, F.array(F.lit(0), F.lit(1))) \
         .otherwise(F.array(F.lit(0)))
     ext = (df.withColumn("_copy", F.explode(copy))
-             .withColumn("_blk", blk + F.col("_copy"))
+             .withColumn("_blk", F.col("_blk") + F.col("_copy"))
              .withColumn("_rhalo", F.col("_copy") == 1).drop("_copy"))
+    seen = earlier_sightings(df, keys, history).withColumn("_mark", F.lit(True))
+    # one exchange for all windows; the sightings are a partition of their own in the first
+    ext = ext.withColumn("_mark", F.lit(False)).unionByName(seen, allowMissingColumns=True).repartition(*keys, "_blk")
+
+    by_sig = Window.partitionBy(*keys, "_blk", "sig").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    ext = ext.withColumns({
+        "_before": F.last(F.when(F.col("_mark"), F.col("_seen")).otherwise(F.col("t")), ignorenulls=True).over(by_sig),
+        "_first": F.last("_seen_first", ignorenulls=True).over(by_sig)}).filter(~F.col("_mark"))
+    # a sighting of an earlier run that no kept frame shows is older than every window
+    suspicious = F.when(F.col("_before").isNotNull(), F.col("t") - F.col("_before") > params.replay_suspicion_age_ns) \
+        .otherwise(F.coalesce(F.col("_first") < F.col("t"), F.lit(False)))
+    ext = ext.withColumn("_suspicious", suspicious.cast("bigint")).drop("_before", "_first", "_seen", "_seen_first", "_mark")
 
     w = Window.partitionBy(*keys, "_blk").orderBy("_pos")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -183,272 +191,37 @@ def add_state_features(df: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- stage 3
-DIST_SCHEMA = ("_bus string, _chunk bigint, t bigint, sequence bigint, _ord bigint, _d_n long, _d_idn long, "
-               "_d_s double, _d_k long, _d_idmax long, _d_sigmax long")
-
-
 def capped(count: Column, cap: int | None) -> Column:
     """``count``, saturated at an optional bound."""
     return count if cap is None else F.least(count, F.lit(cap))
 
 
-def _sweep_distributions(span_ns: int, cap: int | None, arrival_ties: bool = False):
-    """Grouped-map body: for every own row of a (bus, chunk) group, over the bus window -- the
-    frames in [t - span, t] (RANGE: equal times are peers), at most the last ``cap`` of them where a cap
-    is set -- the number of frames, distinct ids, sum of c*log2(c) over
-    id counts, largest id count and largest signature count; and, over the time window alone, the
-    frames of the row's id.
-
-    One pass over the time-sorted rows; each frame enters and leaves once and updates running
-    counts, sum c*log2(c), distinct count and the maximum count (kept with a count-of-counts
-    table), so a window of w frames costs O(1) per frame instead of O(w).
-    """
-    import math
-
-    import numpy as np
-    import pandas as pd
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "sequence", "_ord"], kind="stable")
-        t = pdf["t"].to_numpy(dtype=np.int64)
-        ids = pd.factorize(pdf[KEY])[0].tolist()
-        sigs = pd.factorize(pdf["sig"])[0].tolist()
-        n = len(t)
-        cnt_i, cnt_s = [0] * (max(ids, default=0) + 1), [0] * (max(sigs, default=0) + 1)
-        cnt_t = [0] * (max(ids, default=0) + 1)  # per id over the time window only
-        hist_i, hist_s = [0] * (n + 2), [0] * (n + 2)
-        out_n, out_idn, out_s, out_k, out_mi, out_ms = ([0] * n, [0] * n, [0.0] * n, [0] * n, [0] * n, [0] * n)
-        flog = [0.0] + [c * math.log2(c) for c in range(1, n + 2)]
-        s, k, mi, ms = 0.0, 0, 0, 0
-        lo = lo_t = i = 0
-        most = n if cap is None else cap
-        tl = t.tolist()
-        while i < n:
-            u = tl[i]
-            j = i
-            while j < n and tl[j] == u and (j == i or not arrival_ties):
-                x = ids[j]
-                cnt_t[x] += 1
-                c = cnt_i[x]
-                s += flog[c + 1] - flog[c]
-                if c == 0:
-                    k += 1
-                else:
-                    hist_i[c] -= 1
-                cnt_i[x] = c + 1
-                hist_i[c + 1] += 1
-                if c + 1 > mi:
-                    mi = c + 1
-                y = sigs[j]
-                c = cnt_s[y]
-                if c:
-                    hist_s[c] -= 1
-                cnt_s[y] = c + 1
-                hist_s[c + 1] += 1
-                if c + 1 > ms:
-                    ms = c + 1
-                j += 1
-            edge = u - span_ns
-            while tl[lo_t] < edge:
-                cnt_t[ids[lo_t]] -= 1
-                lo_t += 1
-            while tl[lo] < edge or j - lo > most:
-                x = ids[lo]
-                c = cnt_i[x]
-                s += flog[c - 1] - flog[c]
-                hist_i[c] -= 1
-                if c == mi and hist_i[c] == 0:
-                    mi = c - 1
-                cnt_i[x] = c - 1
-                if c > 1:
-                    hist_i[c - 1] += 1
-                else:
-                    k -= 1
-                y = sigs[lo]
-                c = cnt_s[y]
-                hist_s[c] -= 1
-                if c == ms and hist_s[c] == 0:
-                    ms = c - 1
-                cnt_s[y] = c - 1
-                if c > 1:
-                    hist_s[c - 1] += 1
-                lo += 1
-            for r in range(i, j):
-                out_n[r], out_idn[r], out_s[r], out_k[r], out_mi[r], out_ms[r] = j - lo, cnt_t[ids[r]], s, k, mi, ms
-            i = j
-        keep = ~pdf["_halo"].to_numpy()
-        res = pd.DataFrame({"_bus": pdf["_bus"].to_numpy(), "_chunk": pdf["_chunk"].to_numpy(), "t": t,
-                            "sequence": pdf["sequence"].to_numpy(), "_ord": pdf["_ord"].to_numpy(),
-                            "_d_n": out_n, "_d_idn": out_idn, "_d_s": out_s, "_d_k": out_k,
-                            "_d_idmax": out_mi, "_d_sigmax": out_ms})
-        return res[keep]
-
-    return fn
-
-
-def time_halo(df: DataFrame, params: DetectorParams) -> DataFrame:
-    """Copy rows in the last ``halo_ns`` of their chunk into the next chunk (``_halo`` = copy)."""
-    L, H = params.chunk_ns, params.halo_ns
-    copy = F.when(F.col("t") >= (F.col("_chunk") + 1) * F.lit(L) - F.lit(H), F.array(F.lit(0), F.lit(1))) \
-        .otherwise(F.array(F.lit(0)))
-    return (df.withColumn("_copy", F.explode(copy))
-              .withColumn("_chunk", F.col("_chunk") + F.col("_copy"))
-              .withColumn("_halo", F.col("_copy") == 1).drop("_copy"))
-
-
-def window_distributions(df: DataFrame, params: DetectorParams) -> DataFrame:
-    """W3-W6/W8 counts per frame, from a narrow projection (bus, chunk, time, order, id, signature)
-    spread over time chunks with the same halo as the window stage."""
-    narrow = time_halo(df.select("_bus", "_chunk", "t", "sequence", "_ord", KEY, "sig"), params)
-    body = _sweep_distributions(params.traffic_window_ns, params.bus_arrival_cap, params.arrival_ties)
-    return narrow.groupBy("_bus", "_chunk").applyInPandas(body, DIST_SCHEMA)
-
-
-def _markers(base: DataFrame, seq: DataFrame, params: DetectorParams,
-             history: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Carry rows for look-backs that may reach past the previous chunk (see module doc).
-
-    ``base``: frames before stage 1 (bus and signature carries need no sequence position);
-    ``seq``: stage-2 output (3-gram carries); ``history``: sightings of earlier runs (a stream's
-    previous micro-batches) as (signatures: _bus, id, sig, first_t, last_t; 3-grams: _bus, id,
-    ngram, n, last_t), entered as one chunk before all others.
-    """
-    L, H = params.chunk_ns, params.halo_ns
-    no_chunk = F.lit(None).cast("bigint")  # history rows: null sorts before every chunk
-    real = base.select("_bus", "_chunk", KEY, "sig", "t", "sequence", "_ord")
-    by_chunk = Window.partitionBy
-    # previous frame on the bus before this chunk
-    bus = real.groupBy("_bus", "_chunk").agg(
-        F.max_by(F.col(KEY), F.struct(*ORDER)).alias("_last_id"))
-    bus = bus.select("_bus", "_chunk", F.lag("_last_id").over(by_chunk("_bus").orderBy("_chunk")).alias("_mk_id")) \
-        .filter(F.col("_mk_id").isNotNull())
-    bus = bus.select("_bus", "_chunk", F.lit("bus").alias("_kind"), "_mk_id")
-    # first sighting of (id, signature) before a chunk; also sent to the next chunk when the group
-    # has rows in that chunk's halo
-    g = real.groupBy("_bus", KEY, "sig", "_chunk").agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))
-    if history is not None:
-        g = g.unionByName(history[0].select("_bus", KEY, "sig", no_chunk.alias("_chunk"),
-                                            F.col("first_t").alias("_t0"), F.col("last_t").alias("_t1")))
-    w = by_chunk("_bus", KEY, "sig").orderBy("_chunk")
-    g = g.select("*", F.min("_t0").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-                 F.min("_t0").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"))
-    halo_start = (F.col("_chunk") + 1) * F.lit(L) - F.lit(H)
-    sig_here = g.select("_bus", F.col("_chunk"), KEY, "sig", F.col("_before").alias("_mk_t"))
-    sig_next = g.filter(F.col("_t1") >= halo_start).select(
-        "_bus", (F.col("_chunk") + 1).alias("_chunk"), KEY, "sig", F.col("_upto").alias("_mk_t"))
-    sig = sig_here.unionByName(sig_next).filter(F.col("_mk_t").isNotNull()) \
-        .withColumn("_kind", F.lit("sig"))
-    # earlier sightings of a 3-gram before a chunk: count and last time
-    counted = seq.filter(~F.col("_hist")) if "_hist" in seq.columns else seq  # tail rows are in history
-    ng = counted.select("_bus", "_chunk", KEY, "ngram", "t").filter(F.col("ngram").isNotNull()).groupBy("_bus", KEY, "ngram", "_chunk").agg(
-        F.count(F.lit(1)).alias("_n"), F.max("t").alias("_t1"))
-    if history is not None:
-        ng = ng.unionByName(history[1].select("_bus", KEY, "ngram", no_chunk.alias("_chunk"),
-                                              F.col("n").alias("_n"), F.col("last_t").alias("_t1")))
-    wn = by_chunk("_bus", KEY, "ngram").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ng = ng.select("_bus", "_chunk", KEY, "ngram", F.sum("_n").over(wn).alias("_mk_n"),
-                   F.max("_t1").over(wn).alias("_mk_t")).filter(F.col("_mk_n").isNotNull()) \
-        .withColumn("_kind", F.lit("ngram"))
-    out = bus.unionByName(sig, allowMissingColumns=True).unionByName(ng, allowMissingColumns=True)
-    out = out.filter(F.col("_chunk").isNotNull())
-    # a carry row sorts before every row of its chunk (halo included); a NULL time would make all
-    # carry rows one peer group at the head of every RANGE frame
-    return out.withColumn("t", F.col("_chunk") * F.lit(L) - F.lit(H) - F.lit(1))
-
-
-def add_traffic_features(base: DataFrame, seq: DataFrame, params: DetectorParams,
+def add_traffic_features(base: DataFrame, seq: DataFrame, params: DetectorParams, with_cuts: bool,
                          history: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """W2-W9, W11, W12, W15, W16, W19 over time chunks with a halo; ``seq`` is the stage-2 output
-    of ``base`` (frames with bus and chunk).  Four window specs share one exchange on (bus, chunk)."""
-    L, H, S = params.chunk_ns, params.halo_ns, params.traffic_window_ns
-    ext = time_halo(seq, params).withColumn("_kind", F.lit("real"))
-    ext = ext.unionByName(_markers(base, seq, params, history), allowMissingColumns=True)
-    dist = window_distributions(base, params).withColumn("_kind", F.lit("dist"))
-    ext = ext.unionByName(dist, allowMissingColumns=True)
-    kind = F.col("_kind")
-    real = kind == "real"
-    own = real & ~F.col("_halo")
-    before, after = Window.unboundedPreceding, Window.unboundedFollowing
-    # a distribution row sorts right before the frame it describes
-    rank = F.when(real, F.lit(1)).otherwise(F.lit(0))
-    bus_o = Window.partitionBy("_bus", "_chunk").orderBy(*ORDER, "_rank")
-    id_t = Window.partitionBy("_bus", "_chunk", KEY).orderBy("t")
-    id_o = Window.partitionBy("_bus", "_chunk", KEY).orderBy(*ORDER)
-    sig_t = Window.partitionBy("_bus", "_chunk", KEY, "sig").orderBy("t")
-    sig_o = Window.partitionBy("_bus", "_chunk", KEY, "sig").orderBy(*ORDER)
-    ng_o = Window.partitionBy("_bus", "_chunk", KEY, "ngram").orderBy(*ORDER)
-
-    def trailing(x: Column, w: Window, span: int, w_order: Window | None = None) -> Column:
-        """sum of x over t in [t - span, t] as the difference of two running sums: both frames
-        start unbounded, which Spark evaluates incrementally (a sliding RANGE frame would
-        re-aggregate all w rows of the frame for every row).  With ``arrival_ties`` the first sum
-        runs in arrival order up to this frame, so later frames of the same time are not counted."""
-        if params.arrival_ties and w_order is not None:
-            upto = F.sum(x).over(w_order.rowsBetween(before, 0))
-        else:
-            upto = F.sum(x).over(w.rangeBetween(before, 0))
-        older = F.sum(x).over(w.rangeBetween(before, -(span + 1)))
-        return F.coalesce(upto, F.lit(0)) - F.coalesce(older, F.lit(0))
-
-    # spec 1 (bus order): previous frame on the bus (W19), distribution counts onto their frame
-    ext = ext.withColumn("_rank", rank)
-    cols = {"_prev_bus_id": F.coalesce(
-        F.last(F.when(real, F.col(KEY)), ignorenulls=True).over(bus_o.rowsBetween(before, -1)),
-        F.max(F.when(kind == "bus", F.col("_mk_id"))).over(bus_o.rowsBetween(before, after)))}
-    for c in ("_d_n", "_d_idn", "_d_s", "_d_k", "_d_idmax", "_d_sigmax"):
-        cols[c] = F.last(c, ignorenulls=True).over(bus_o.rowsBetween(before, 0))
-    ext = ext.withColumns(cols).filter(real | kind.isin("sig", "ngram"))
-    # spec 2 (id, signature): 3 s repeats (W12), previous sighting -> replay suspicion
-    ext = ext.withColumns({
-        "_sig_n3": trailing(F.when(real, F.lit(1)).otherwise(F.lit(0)), sig_t, params.repeat_window_ns, sig_o),
-        # peers share a time, so with peer semantics the time order suffices (the replay count sums
-        # over peers); arrival order needs the full order key, one more sort
-        "_prev_sig_t": F.last(F.when(real, F.col("t")), ignorenulls=True).over(
-            (sig_o if params.arrival_ties else sig_t).rowsBetween(before, -1)),
-        "_sig_first_before": F.min(F.when(kind == "sig", F.col("_mk_t"))).over(sig_t.rowsBetween(before, after)),
-    })
-    suspicious = F.when(
-        F.col("_prev_sig_t").isNotNull(),
-        (F.col("t") - F.col("_prev_sig_t")) > F.lit(params.replay_suspicion_age_ns),
-    ).otherwise(F.coalesce(F.col("_sig_first_before") < F.col("t"), F.lit(False)))
-    ext = ext.withColumn("_suspicious", F.when(real & suspicious, F.lit(1)).otherwise(F.lit(0)))
-    # spec 3 (id, time): suspicious frames of the id in the last second
-    ext = ext.withColumn("_replay_n", trailing(F.col("_suspicious"), id_t, S, id_o))
-    # spec 4 (id, 3-gram): earlier sightings and age of the last one
-    ext = ext.filter(real | (kind == "ngram")).withColumns({
-        "_ng_prev_t": F.last(F.when(own, F.col("t")), ignorenulls=True).over(ng_o.rowsBetween(before, -1)),
-        "_ng_before_n": F.count(F.when(own & ~F.col("_hist"), 1) if "_hist" in ext.columns else F.when(own, 1))
-        .over(ng_o.rowsBetween(before, -1)),
-        "_ng_mk_n": F.max(F.when(kind == "ngram", F.col("_mk_n"))).over(ng_o.rowsBetween(before, after)),
-        "_ng_mk_t": F.max(F.when(kind == "ngram", F.col("_mk_t"))).over(ng_o.rowsBetween(before, after)),
-    })
-    out = ext.filter(own)
-
-    bus_total = F.col("_d_n").cast("double")
-    id_total = capped(F.col("_d_idn"), params.id_arrival_cap).cast("double")
+    """W2-W9, W11, W12, W15, W16, W19 over time chunks; ``seq`` is the stage-2 output of ``base``."""
+    out = traffic.chunk_table(base, seq, params, with_cuts, history)
     n = F.col("_d_n").cast("double")
+    id_total = capped(F.col("_d_idn"), params.id_arrival_cap).cast("double")
     entropy = F.log2(n) - F.col("_d_s") / n
     norm = F.log2(F.greatest(F.lit(2.0), F.col("_d_k").cast("double")))
-    ng_n = F.coalesce(F.col("_ng_mk_n"), F.lit(0)) + F.col("_ng_before_n")
-    ng_prev = F.coalesce(F.col("_ng_prev_t"), F.col("_ng_mk_t"))
     has_ng = F.col("ngram").isNotNull()
     sightings = None if params.ngram_sighting_cap is None else params.ngram_sighting_cap - 1
     out = out.withColumns({
         "id_frequency_1s": id_total,
-        "bus_frequency_1s": bus_total,
+        "bus_frequency_1s": n,
         "id_entropy_1s": F.when(F.col("_d_n") <= 1, F.lit(0.0)).otherwise(entropy / norm),
         "dominant_id_ratio": F.when(n > 0, F.col("_d_idmax") / n).otherwise(F.lit(0.0)),
         "unique_ids_per_second": F.col("_d_k").cast("double"),
-        "bus_utilization": F.least(F.lit(1.0), bus_total / F.lit(params.bus_capacity_per_s)),
-        "repeated_id_ratio": F.when(bus_total > 0, id_total / bus_total).otherwise(F.lit(0.0)),
+        "bus_utilization": F.least(F.lit(1.0), n / F.lit(params.bus_capacity_per_s)),
+        "repeated_id_ratio": F.when(n > 0, id_total / n).otherwise(F.lit(0.0)),
         "payload_repeat_ratio": F.when(n > 0, F.col("_d_sigmax") / n).otherwise(F.lit(0.0)),
         "replay_signature_repeats_1s": capped(F.col("_replay_n"), params.replay_suspicion_cap).cast("double"),
         "payload_signature_repeats_3s": (capped(F.col("_sig_n3"), params.signature_time_cap) - 1).cast("double"),
         "previous_bus_id": F.col("_prev_bus_id"),
-        "payload_sequence_repeat_count": F.when(has_ng, capped(ng_n, sightings).cast("double"))
+        "payload_sequence_repeat_count": F.when(has_ng, capped(F.col("_ng_n"), sightings).cast("double"))
         .otherwise(F.lit(0.0)),
-        "payload_sequence_age_ms": F.when(has_ng & ng_prev.isNotNull(),
-                                          (F.col("t") - ng_prev).cast("double") / NS_PER_MS).otherwise(F.lit(0.0)),
+        "payload_sequence_age_ms": F.when(has_ng & F.col("_ng_t").isNotNull(),
+                                          (F.col("t") - F.col("_ng_t")).cast("double") / NS_PER_MS).otherwise(F.lit(0.0)),
     })
     out = out.withColumn("payload_repeat_score", F.least(F.lit(1.0), F.col("payload_signature_repeats_3s") / 12.0))
     keep = [c for c in out.columns if not c.startswith("_") or c in ("_ord", "_pos", "_n_gaps")]
@@ -456,7 +229,7 @@ def add_traffic_features(base: DataFrame, seq: DataFrame, params: DetectorParams
 
 
 # Columns the window stages read; everything else rides along once, joined back on ``_ord``.
-NARROW = ["_bus", "_chunk", "t", "sequence", "_ord", KEY, "sig", "speed", "rpm", "coolant_temp",
+NARROW = ["_bus", "t", "sequence", "_ord", KEY, "sig", "speed", "rpm", "coolant_temp",
           "brake_pressure", "odometer_km"]
 STAGE_OUTPUTS = ["interarrival_ms", "_n_gaps", "rolling_interarrival_mean", "rolling_interarrival_std", "rolling_cv",
                  "ngram", "speed_delta_mps2", "rpm_delta_per_second", "coolant_delta_per_second",
@@ -471,19 +244,24 @@ def frame_features(decoded: DataFrame, params: DetectorParams, keep_text: bool =
                    history: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """All baseline-free features of SURVEY 2.D for decoded frames.
 
-    The three window stages see only the narrow columns; the wide frame (payload text, decoded
-    signals, labels) is joined back once on ``_ord``.  The narrow frame feeds stage 1 twice, the
-    distribution sweep and the carries, and the stage-2 rows feed stage 3 and the 3-gram carries,
-    so both are persisted (recomputed from lineage if an executor is lost).
+    The window stages see only the narrow columns; the wide frame (payload text, decoded
+    signals, labels) is joined back once on ``_ord``.  The narrow frame feeds the cuts, stage 1 and the carries, and
+    the stage-2 rows feed stage 3 and the 3-gram carries, so both are persisted (recomputed from lineage if an
+    executor is lost).
     """
-    wide = with_chunk(with_bus(decoded, params), params)
+    wide = with_bus(decoded, params)
     cols = NARROW + (["payload_signature"] if keep_text else []) + (["_hist"] if "_hist" in wide.columns else [])
-    narrow = wide.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
-    seq = add_sequence_features(narrow, params, keep_text=keep_text).persist(StorageLevel.MEMORY_AND_DISK)
-    feats = add_traffic_features(narrow, seq, params, history)
+    frames = wide.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    cuts = time_cuts(frames, params)
+    narrow = with_chunk(frames, params, cuts)
+    signatures = history[0] if history is not None else None
+    seq = add_sequence_features(narrow, params, keep_text=keep_text, history=signatures)
+    seq = seq.persist(StorageLevel.MEMORY_AND_DISK)
+    feats = add_traffic_features(narrow, seq, params, cuts is not None, history)
     outs = STAGE_OUTPUTS + (["ngram_text"] if keep_text else [])
     out = wide.join(feats.select("_ord", *outs), "_ord")
-    out._busguard_cached = (narrow, seq)  # released by callers that materialise ``out``
+    # released by callers that materialise ``out``
+    out._busguard_cached = (frames, seq, *(() if cuts is None else (cuts,)))
     return out
 
 

@@ -48,7 +48,8 @@ class DetectorParams:
     replay_suspicion_cap: int | None = None
     # --- ours: data layout and streaming ---
     bus_keys: tuple[str, ...] = ("vehicle_id",)
-    chunk_ns: int = 20 * NS_PER_S      # time chunk that splits a bus into parallel tasks
+    chunk_ns: int = 20 * NS_PER_S      # grid of time chunks that splits a bus into parallel tasks
+    chunk_rows: int = 200_000          # rows of one chunk's task: busier cells of the grid are cut further
     block_rows: int = 50_000           # row block that splits one identifier's sequence
     use_model: bool = True
     arrival_ties: bool = False         # True: equal event times count in arrival order, not as peers

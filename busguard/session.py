@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +73,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def stage_table(df: DataFrame, stem: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet in the shared folder and read back (columns are pruned on reading, lost executors do
+    no harm), and its folder for ``drop_folder``."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file system API (works for any shared store)."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)

@@ -31,6 +31,11 @@ CASES = {
     "one_bus_small_deque_caps": REFERENCE_BUS.with_(min_warmup_bus_frequency=5.0, warmup_samples=200,
                                                     use_model=False, chunk_ns=4_000_000_000, block_rows=301,
                                                     bus_arrival_cap=6, id_arrival_cap=3),
+    "one_bus_row_budget": REFERENCE_BUS.with_(min_warmup_bus_frequency=5.0, warmup_samples=200, use_model=False,
+                                              chunk_ns=20_000_000_000, chunk_rows=12, block_rows=400),
+    "three_buses_row_budget": REFERENCE_BUS.with_(bus_keys=("vehicle_id",), min_warmup_bus_frequency=3.0,
+                                                  warmup_samples=150, use_model=False, chunk_ns=3_000_000_000,
+                                                  chunk_rows=4, block_rows=305),
     "three_buses_tiny_chunks": REFERENCE_BUS.with_(bus_keys=("vehicle_id",), min_warmup_bus_frequency=3.0,
                                                    warmup_samples=150, use_model=False,
                                                    chunk_ns=3_500_000_000, block_rows=305),
