@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,3 +58,22 @@ def first_of(df: DataFrame, keys: list[str], order: list[Column], n: int, spread
     some = df.withColumn("part", F.pmod(spread, F.lit(64))).withColumn("rank", F.row_number().over(parts))
     some = some.filter(F.col("rank") <= n).drop("part", "rank")
     return some.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)
+
+
+def give_back() -> None:
+    """Return the memory that a Python worker has freed to the system; idle workers live on between stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` (over a task's batches), giving back its memory at the end of the task."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+    return whole

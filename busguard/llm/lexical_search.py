@@ -34,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from busguard.llm.common import col, first_of, scratch_path, text_or_empty
+from busguard.llm.common import col, first_of, scratch_path, text_or_empty, tidy
 
 TOP = 20
 FIRST = 40
 COORDINATES = 1 << 16
 ITEMS = 256
 PAIRS = 16_384
-MEMO = 200_000
+MEMO = 50_000
 DOCS_AT_ONCE = 256
 
 #: fixed values of the score
@@ -241,7 +241,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, text: str = "text", id: str
     whole, name = text_or_empty(col(docs, text)), col(docs, id).cast("long")
     texts = docs.select(F.xxhash64(name, whole).alias("k1"), F.xxhash64(F.lit(1), whole, name).alias("k2"),
                         name.alias("id"), whole.alias("text"))
-    index = stage(texts.select("k1", "k2", "text").mapInArrow(index_rows, INDEX), "index")
+    index = stage(texts.select("k1", "k2", "text").mapInArrow(tidy(index_rows), INDEX), "index")
     sketches = index.filter(F.col("term").isNull()).select("k1", "k2", "length", "at", "most")
     held = index.filter(F.col("term").isNotNull()).groupBy("term").agg(F.sum("holders").alias("holders"))
     n_docs, n_terms = sketches.agg(F.count(F.lit(1)), F.sum("length")).first()
@@ -283,15 +283,15 @@ def ranked_search(docs: DataFrame, items: DataFrame, text: str = "text", id: str
             """Exact scores of pairs; documents meet their items by key (Spark sends a small table to all)."""
             per_doc = stage(chosen.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("q")).alias("qs")), "pairs")
             some = texts.join(per_doc, ["k1", "k2"]).select("id", "text", "qs")
-            return stage(some.mapInArrow(exact_scores(shared), "q int, doc_id long, score long"), "scores")
+            return stage(some.mapInArrow(tidy(exact_scores(shared)), "q int, doc_id long, score long"), "scores")
 
-        bounds = sketches.mapInArrow(highest_bounds(shared, FIRST), PAIR)
+        bounds = sketches.mapInArrow(tidy(highest_bounds(shared, FIRST)), PAIR)
         first = stage(first_of(bounds, ["q"], [F.desc("bound"), "k1", "k2"], FIRST, F.col("k1")).drop("rank"), "first")
         best = [F.desc("score"), F.asc_nulls_last("doc_id")]
         known = scored(first)
         by_score = first_of(known, ["q"], best, top, F.xxhash64("doc_id"))
         thresholds = sc.broadcast({r["q"]: r["score"] for r in by_score.filter(F.col("rank") == top).collect()})
-        rest = sketches.mapInArrow(reaching(shared, thresholds), PAIR).join(first, ["q", "k1", "k2"], "left_anti")
+        rest = sketches.mapInArrow(tidy(reaching(shared, thresholds)), PAIR).join(first, ["q", "k1", "k2"], "left_anti")
         both = known.unionByName(scored(rest))
         names = spark.createDataFrame(list(numbers.items()), "item string, q int")
         part = first_of(both, ["q"], best, top, F.xxhash64("doc_id", "score")).join(names, "q").join(asked, "item")
