@@ -1,11 +1,12 @@
 """Isolation Forest (Liu, Ting, Zhou 2008) on Spark.
 
 MLlib has no isolation forest.  Fit: each tree draws psi = min(256, n) rows of the scaled warm-up
-vectors without replacement by ranking a seeded hash of (tree, row), then ``groupBy(tree_id)
-.applyInPandas`` grows one tree per task (random feature, uniform split in (min, max), height limit
-ceil(log2 psi)).  The node table is bounded by n_trees * (2 psi - 1) rows.  Score: a pandas UDF
-walks all trees level by level over an Arrow batch (numpy, no per-row Python), with the node arrays
-shipped once per executor as a broadcast variable.
+vectors without replacement, those of the smallest seeded hashes of (tree, row).  A row goes only to the trees whose
+hash lies below a bound that psi rows of n reach with room to spare, so about 1.5 psi rows a tree are ranked, whatever n
+is; a tree that the bound leaves short widens it.  ``groupBy(tree_id).applyInPandas`` grows one tree per group (random
+feature, uniform split in (min, max), height limit ceil(log2 psi)).  The node table is bounded by
+n_trees * (2 psi - 1) rows.  Score: a pandas UDF walks all trees together, level by level, for some rows at a time
+(numpy, no loop over trees or rows), with the node arrays shipped once per executor as a broadcast variable.
 
 score_samples = -2^(-E[h(x)] / c(psi)); offset = contamination percentile of the training scores;
 decision = score_samples - offset; prediction = -1 when decision < 0.
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 from busguard.params import DetectorParams
 
 EULER_GAMMA = 0.5772156649
+WALKS = 1 << 16  # rows times trees that walk together
 NODE_SCHEMA = ("tree_id int, node_id int, feature int, threshold double, left int, right int, "
                "size int, depth int")
 
@@ -100,27 +102,55 @@ class Forest:
         leafv[t, n] = nodes["depth"].to_numpy() + average_path_length(nodes["size"].to_numpy())
         return Forest(feat, thr, left, right, leafv, psi, int(math.ceil(math.log2(max(psi, 2)))))
 
+    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Feature, threshold and the two children (left, right) of every node, trees one after the other.  A leaf
+        is its own child, so a walk of ``height_limit`` steps ends in leaves."""
+        trees, width = self.feature.shape
+        node = np.arange(trees * width).reshape(trees, width)
+        inner = self.feature >= 0
+        first = node[:, :1]
+        children = np.stack([np.where(inner, self.left + first, node), np.where(inner, self.right + first, node)], axis=2)
+        return np.where(inner, self.feature, 0).ravel(), self.threshold.ravel(), children.ravel()
+
     def score_samples(self, x: np.ndarray) -> np.ndarray:
-        """-2^(-mean path length / c(psi)) for each row of x; each tree walks the whole batch one
-        level at a time (numpy, no per-row Python)."""
-        n = len(x)
-        rows = np.arange(n)
-        total = np.zeros(n)
-        for tr in range(self.feature.shape[0]):
-            node = np.zeros(n, dtype=np.int64)
-            for _ in range(self.height_limit + 1):
-                f = self.feature[tr, node]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                go_left = x[rows, np.where(inner, f, 0)] <= self.threshold[tr, node]
-                nxt = np.where(go_left, self.left[tr, node], self.right[tr, node])
-                node = np.where(inner, nxt, node)
-            total += self.leaf_value[tr, node]
-        mean_h = total / self.feature.shape[0]
+        """-2^(-mean path length / c(psi)) for each row of x; all trees walk a block of rows one level at a time."""
+        trees, width = self.feature.shape
+        feature, threshold, children = self.flat()
+        leaf_value = self.leaf_value.ravel()
+        x = np.ascontiguousarray(x, dtype=np.float64)
+        total = np.empty(len(x))
+        block = max(1, WALKS // trees)
+        for begin in range(0, len(x), block):
+            values = x[begin:begin + block]
+            row = np.repeat(np.arange(len(values)) * x.shape[1], trees)
+            node = np.tile(np.arange(trees) * width, len(values))
+            for _ in range(self.height_limit):
+                right = ~(values.take(row + feature.take(node)) <= threshold.take(node))
+                node = children.take(2 * node + right)
+            total[begin:begin + block] = leaf_value.take(node).reshape(-1, trees).sum(axis=1)
+        mean_h = total / trees
         return -np.power(2.0, -mean_h / average_path_length(np.array([self.psi]))[0])
 
 
+def tree_samples(vectors: DataFrame, params: DetectorParams, n: int, psi: int, row_key: str) -> DataFrame:
+    """tree_id, x: for each tree the psi rows of the smallest hashes of (tree, row)."""
+    spread = psi + 6.0 * math.sqrt(psi) + 20.0
+    while True:
+        share = min(1.0, spread / max(n, 1))
+        bound = F.lit((1 << 63) - 1) if share >= 1 else F.lit(int(-(1 << 63) + share * (1 << 64)))
+        order = lambda tree: F.xxhash64(F.lit(params.seed), tree, row_key)
+        trees = F.filter(F.sequence(F.lit(0), F.lit(params.n_trees - 1)), lambda tree: order(tree) <= bound)
+        drawn = vectors.select(row_key, "x", F.explode(trees).alias("tree_id"))
+        if share >= 1:
+            break
+        got = drawn.groupBy("tree_id").count().agg(F.count(F.lit(1)), F.min("count")).first()  # n_trees counts
+        if got[0] == params.n_trees and got[1] >= psi:
+            break
+        spread *= 2
+    rank = Window.partitionBy("tree_id").orderBy(order(F.col("tree_id")), row_key)
+    return drawn.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= psi).drop("_r")
+
+
 def fit_forest(vectors: DataFrame, params: DetectorParams, row_key: str = "_row",
                n: int | None = None) -> tuple[DataFrame, int]:
     """M1: node table grown on Spark, one tree per group.  ``vectors`` has ``row_key`` and ``x``
@@ -130,9 +160,7 @@ def fit_forest(vectors: DataFrame, params: DetectorParams, row_key: str = "_row"
     psi = int(min(256, n))
     height = int(math.ceil(math.log2(max(psi, 2))))
     seed = params.seed
-    trees = vectors.select(row_key, "x", F.explode(F.sequence(F.lit(0), F.lit(params.n_trees - 1))).alias("tree_id"))
-    rank = Window.partitionBy("tree_id").orderBy(F.xxhash64(F.lit(seed), "tree_id", row_key), row_key)
-    sample = trees.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= psi)
+    sample = tree_samples(vectors, params, n, psi, row_key)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree_id = int(pdf["tree_id"].iloc[0])
