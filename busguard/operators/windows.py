@@ -199,7 +199,13 @@ def capped(count: Column, cap: int | None) -> Column:
 def add_traffic_features(base: DataFrame, seq: DataFrame, params: DetectorParams, with_cuts: bool,
                          history: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """W2-W9, W11, W12, W15, W16, W19 over time chunks; ``seq`` is the stage-2 output of ``base``."""
-    out = traffic.chunk_table(base, seq, params, with_cuts, history)
+    out = traffic_columns(traffic.chunk_table(base, seq, params, with_cuts, history), params)
+    keep = [c for c in out.columns if not c.startswith("_") or c in ("_ord", "_pos", "_n_gaps")]
+    return out.select(*keep)
+
+
+def traffic_columns(out: DataFrame, params: DetectorParams) -> DataFrame:
+    """The features from a chunk's counts (``traffic.FOUND``)."""
     n = F.col("_d_n").cast("double")
     id_total = capped(F.col("_d_idn"), params.id_arrival_cap).cast("double")
     entropy = F.log2(n) - F.col("_d_s") / n
@@ -223,9 +229,7 @@ def add_traffic_features(base: DataFrame, seq: DataFrame, params: DetectorParams
         "payload_sequence_age_ms": F.when(has_ng & F.col("_ng_t").isNotNull(),
                                           (F.col("t") - F.col("_ng_t")).cast("double") / NS_PER_MS).otherwise(F.lit(0.0)),
     })
-    out = out.withColumn("payload_repeat_score", F.least(F.lit(1.0), F.col("payload_signature_repeats_3s") / 12.0))
-    keep = [c for c in out.columns if not c.startswith("_") or c in ("_ord", "_pos", "_n_gaps")]
-    return out.select(*keep)
+    return out.withColumn("payload_repeat_score", F.least(F.lit(1.0), F.col("payload_signature_repeats_3s") / 12.0))
 
 
 # Columns the window stages read; everything else rides along once, joined back on ``_ord``.
