@@ -1,8 +1,9 @@
 """Command line: the reference's entry points as Spark jobs.
 
   python -m busguard detect   --frames PATH --alerts OUT [--artifacts OUT] [--quarantine OUT] [--format parquet|json]
-  python -m busguard stream   --frames DIR --alerts OUT --artifacts DIR --checkpoint DIR [--state DIR]
-                              [--quarantine DIR] [--interval T] [--available-now]
+  python -m busguard stream   (--frames DIR | --kafka SERVERS) --alerts OUT --artifacts DIR --checkpoint DIR
+                              [--lateness T] [--state-ttl-days N] [--state DIR] [--quarantine DIR] [--interval T]
+                              [--available-now]
   python -m busguard evaluate --alerts PATTERN [--start-time T] [--end-time T] --json-out P --csv-out P
   python -m busguard gates    --alerts PATTERN [--min-overall-f1 .99 ...]   (exit code 1 on failure)
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import functions as F
@@ -45,39 +47,77 @@ def cmd_detect(a, spark):
     rejected = a.quarantine or a.alerts.rstrip("/") + "-quarantine"
     detect.quarantine(frames).write.mode("overwrite").parquet(rejected)
     alerts, art = detect.detect(frames, _params(a))
-    A.write_alerts(alerts, a.alerts, "overwrite")
+    A.write_alerts(alerts, a.alerts, "overwrite", with_id=True)
     if a.artifacts:
         detect.save_artifacts(art, a.artifacts)
     print(json.dumps({"alerts": spark.read.parquet(a.alerts).count(), "quarantined": spark.read.parquet(rejected).count()}))
     return 0
 
 
+def _frame_stream(a, spark):
+    from busguard.sources.frames import kafka_options, read_kafka, stream_frames
+    if not a.kafka:
+        return stream_frames(spark, a.frames, a.format, a.max_files)
+    password = os.environ.get(a.password_env) if a.username else None
+    return read_kafka(spark, kafka_options(a.kafka, a.topic, a.starting_offsets, a.max_offsets, a.username, password,
+                                           a.ca_location))
+
+
 def cmd_stream(a, spark):
-    from busguard.sources.frames import stream_frames
-    from busguard.streaming.stream import StreamDetector
     art = detect.load_artifacts(spark, a.artifacts)
+    frames, params = _frame_stream(a, spark), _params(a)
     # state and quarantine outlive the session: beside the checkpoint that holds the offsets
     beside = a.checkpoint.rstrip("/")
-    det = StreamDetector(spark, _params(a), art, a.alerts, a.state or f"{beside}-state",
+    if params.bus_keys:
+        return _keyed_stream(a, spark, frames, params, art, a.quarantine or f"{beside}-quarantine")
+    from busguard.streaming.stream import StreamDetector
+    det = StreamDetector(spark, params, art, a.alerts, a.state or f"{beside}-state",
                          a.quarantine or f"{beside}-quarantine")
-    q = det.start(stream_frames(spark, a.frames, a.format, a.max_files), a.checkpoint,
-                  available_now=a.available_now,
-                  processing_time=a.interval, dedupe_watermark=a.dedupe_watermark)
-    q.awaitTermination()
+    q = det.start(frames, a.checkpoint, available_now=a.available_now, processing_time=a.interval,
+                  dedupe_watermark=a.dedupe_watermark)
+    _until_stopped([q])
     print(json.dumps(dict(det.stats)))
     return 0
 
 
+def _keyed_stream(a, spark, frames, params, art, quarantine):
+    from busguard.streaming import keyed
+    alerts = keyed.keyed_alerts(frames, params, art, lateness=a.lateness, ttl_ms=int(a.state_ttl_days * 86_400_000))
+    flagged, total = F.count_if("is_anomaly").alias("anomalies"), F.count(F.lit(1)).alias("indexed")
+    alerts = alerts.observe("alerts", total, flagged)
+    rejects = keyed.rejected(frames).observe("rejects", F.count(F.lit(1)).alias("quarantined"))
+    q = keyed.start_keyed(alerts, a.alerts, a.checkpoint, a.available_now, a.interval)
+    r = keyed.start_rejects(rejects, quarantine, a.checkpoint.rstrip("/") + "-quarantine-offsets", a.available_now, a.interval)
+    _until_stopped([q, r])
+    print(json.dumps(keyed.counters(q, r)))
+    return 0
+
+
+def _until_stopped(queries):
+    """Wait for the queries; on an interrupt finish what is present, then stop."""
+    from busguard.streaming.keyed import drain
+    try:
+        for q in queries:
+            q.awaitTermination()
+    except KeyboardInterrupt:
+        for q in queries:
+            drain(q)
+
+
 def _report(a, spark):
     alerts = A.read_alerts(spark, a.alerts)
-    start = F.lit(a.start_time).cast("timestamp_ntz") if a.start_time else None
-    end = F.lit(a.end_time).cast("timestamp_ntz") if a.end_time else None
-    return alerts, ev.detection_report(alerts, start, end).persist()
+    return alerts, ev.detection_report(alerts, *_range(a)).persist()
+
+
+def _range(a):
+    return [F.lit(x).cast("timestamp_ntz") if x else None for x in (a.start_time, a.end_time)]
 
 
 def cmd_evaluate(a, spark):
-    _, report = _report(a, spark)
-    A.write_report(report, a.json_out, a.csv_out)
+    alerts, report = _report(a, spark)
+    normal = ev.confusion_counts(alerts, *_range(a)).first()
+    A.write_report(report, a.json_out, a.csv_out, a.alerts, a.start_time, a.end_time,
+                   int(normal["normal_total"] or 0))
     overall = report.filter(F.col("attack_type") == "overall").drop("ord", "total").first().asDict()
     print(json.dumps(overall, indent=2))
     return 0
@@ -89,6 +129,13 @@ def cmd_gates(a, spark):
                          a.min_replay_recall).first()
     missing = [r["label"] for r in ev.missing_labels(alerts).collect()]  # at most five labels
     failures = list(g["failures"]) + ([f"missing labels: {missing}"] if missing else [])
+    zero = [r["label"] for r in ev.zero_totals(report).collect()]  # at most four
+    failures += [f"zero totals for attack classes: {zero}"] if zero else []
+    if a.produced is not None:
+        produced = spark.createDataFrame([(a.produced,)], "frames long")
+        r = ev.count_reconciliation(produced, alerts).first()
+        if not r["within_bounds"]:
+            failures.append(f"indexed {r['indexed_total']} outside {r['lower_bound']}..{r['upper_bound']}")
     print(json.dumps({"passed": not failures, "failures": failures}))
     return 0 if not failures else 1
 
@@ -104,7 +151,16 @@ def main(argv=None) -> int:
     d.add_argument("--quarantine", help="rejected records; default: beside the alerts")
     _detector_flags(d)
     s = sub.add_parser("stream")
-    s.add_argument("--frames", required=True)
+    s.add_argument("--frames", help="folder of frame files; or --kafka")
+    s.add_argument("--kafka", help="bootstrap servers of the frame topic (the connector comes with spark-submit)")
+    s.add_argument("--topic", default="can-telematics")
+    s.add_argument("--starting-offsets", default="latest")
+    s.add_argument("--max-offsets", type=int, default=None, help="records per trigger")
+    s.add_argument("--username")
+    s.add_argument("--password-env", default="BUSGUARD_KAFKA_PASSWORD", help="environment variable with the password")
+    s.add_argument("--ca-location")
+    s.add_argument("--lateness", default="10 seconds", help="how long frames wait for earlier ones")
+    s.add_argument("--state-ttl-days", type=float, default=7, help="forget what was not seen for so long; 0 = never")
     s.add_argument("--format", default="json", choices=["parquet", "json"])
     s.add_argument("--max-files", type=int, default=None)
     s.add_argument("--alerts", required=True)
@@ -129,7 +185,10 @@ def main(argv=None) -> int:
             e.add_argument("--min-precision", type=float, default=0.99)
             e.add_argument("--max-false-positive-rate", type=float, default=0.005)
             e.add_argument("--min-replay-recall", type=float, default=0.99)
+            e.add_argument("--produced", type=int, help="frames produced: the alerts must be within 2 % of them")
     a = ap.parse_args(argv)
+    if a.cmd == "stream" and not a.frames and not a.kafka:
+        ap.error("stream needs --frames or --kafka")
     spark = build_session()
     return {"detect": cmd_detect, "stream": cmd_stream, "evaluate": cmd_evaluate, "gates": cmd_gates}[a.cmd](a, spark)
 

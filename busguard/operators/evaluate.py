@@ -94,6 +94,12 @@ def missing_labels(alerts: DataFrame) -> DataFrame:
     return required.join(present.filter(F.col("n") > 0), "label", "left_anti")
 
 
+def zero_totals(report: DataFrame) -> DataFrame:
+    """Attack classes without a scored event in the report."""
+    return report.filter((F.col("attack_type") != "overall") & (F.coalesce("total", F.lit(0)) <= 0)) \
+        .select(F.col("attack_type").alias("label"))
+
+
 def count_reconciliation(produced: DataFrame, alerts: DataFrame, low: float = 0.98, high: float = 1.02) -> DataFrame:
     """A10: indexed total within [int(expected*low), int(expected*high)] of the produced total."""
     both = produced.select(F.col("frames").cast("bigint").alias("_e"), F.lit(0).cast("bigint").alias("_i")) \

@@ -16,7 +16,7 @@ from busguard.functions import decode, rules
 from busguard.operators import baselines, forest, windows
 from busguard.params import DetectorParams
 from busguard.schema import ALL_FEATURES, FEATURE_COLUMNS, FRAME_COLUMNS
-from busguard.session import cut_lineage
+from busguard.session import cut_lineage, stage_table
 
 # Processing time used by the registered queries so latency columns are deterministic:
 # 100 s after the fixture's time origin (the end of its compressed time line).
@@ -127,8 +127,8 @@ def decide(df: DataFrame, params: DetectorParams) -> DataFrame:
     return df.withColumn("anomaly_prediction", F.when(F.col("is_anomaly"), F.lit(-1)).otherwise(F.lit(1)))
 
 
-def enrich(df: DataFrame, processing_ns: Column) -> DataFrame:
-    """Frame columns + detector fields + the 56-feature struct + latency."""
+def enrich(df: DataFrame, processing_ns: Column, *others: str) -> DataFrame:
+    """Frame columns + detector fields + the 56-feature struct + latency (and ``others``)."""
     feats = F.struct(*[F.col(c).cast("double").alias(c) for c in ALL_FEATURES])
     return df.select(
         *FRAME_COLUMNS,
@@ -138,6 +138,7 @@ def enrich(df: DataFrame, processing_ns: Column) -> DataFrame:
         "anomaly_score", "rule_flag", "rule_score", "rule_flags", "triggered_rules", "decision_reasons",
         feats.alias("features"),
         decode.pipeline_latency_ms("simulator_send_time_ns", processing_ns).alias("pipeline_latency_ms"),
+        *others,
     )
 
 
@@ -148,7 +149,8 @@ def detect(frames: DataFrame, params: DetectorParams, processing_ns: Column | No
         processing_ns = F.unix_micros(F.current_timestamp()) * 1000
     feats = features(frames, params, processing_ns)
     if materialize:
-        cached, feats = feats, cut_lineage(feats)
+        cached = feats
+        feats, _ = stage_table(feats, "features")  # columns are pruned where it is read again
         windows.release(cached)
     warm, art = learn(feats, params, materialize=materialize)
     if params.use_model and art.fit_key is not None:

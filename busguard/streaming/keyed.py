@@ -39,15 +39,18 @@ from busguard.params import NS_PER_MS, DetectorParams
 from busguard.plans import detect
 from busguard.schema import FRAME_COLUMNS, FRAME_SCHEMA
 from busguard.session import stage_table
+from busguard.sources.alerts import hashed_id, write_alerts
 
 LATENESS = "10 seconds"
+SOURCE = ("topic", "partition", "offset")
 TTL_MS = 7 * 24 * 3600 * 1000
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SIGNALS = ["speed", "rpm", "coolant_temp", "brake_pressure", "odometer_km"]
 PREVIOUS = ["_prev_speed", "_prev_rpm", "_prev_coolant", "_prev_brake", "_prev_odometer"]
-WAITING = ["t", "sequence", "arrival", KEY, "sig", *SIGNALS, "frame"]
+WAITING = ["t", "sequence", "arrival", KEY, "sig", *SIGNALS, "frame", "document_id"]
 OUT = T.StructType([
     T.StructField("_bus", T.StringType()), T.StructField("frame", T.StringType()),
+    T.StructField("document_id", T.StringType()),
     T.StructField("_ord", T.LongType()), T.StructField("_prev_t", T.LongType()),
     *(T.StructField(c, T.DoubleType()) for c in PREVIOUS),
     T.StructField("_sig1", T.LongType()), T.StructField("_sig2", T.LongType()), T.StructField("_n_gaps", T.LongType()),
@@ -203,7 +206,7 @@ class BusFeatures(StatefulProcessor):
         mine = mine if recent is None else pd.concat([recent, mine], ignore_index=True)
         mine = mine[mine["t"] >= t[-1] - p.halo_ns]
         self.bus.update((keys[-1], packed(mine), sweep))
-        result = pd.DataFrame({"_bus": bus, "frame": df["frame"], "_ord": df["_ord"], "_prev_t": out["_prev_t"],
+        result = pd.DataFrame({"_bus": bus, "frame": df["frame"], "document_id": df["document_id"], "_ord": df["_ord"], "_prev_t": out["_prev_t"],
                                **{c: out[c] for c in PREVIOUS}, "_sig1": out["_sig1"], "_sig2": out["_sig2"],
                                "_n_gaps": rolling["n"].astype(np.int64), "rolling_interarrival_mean": rolling["all_mean"],
                                "rolling_interarrival_std": rolling["all_std"], "rolling_cv": rolling["cv"]})
@@ -245,9 +248,12 @@ def keyed_features(frames: DataFrame, params: DetectorParams, processing_ns=None
     """Baseline-free features of a stream of frames, as ``detect.features`` gives them for a table."""
     text = F.to_json(F.struct(*(F.col(c) for c in FRAME_COLUMNS)))
     decoded = windows.with_bus(detect.decoded_frames(frames, params, processing_ns).withColumn("_ord", F.xxhash64(text)), params)
+    # a frame delivered again has the same id: its source position where it has one, else its content
+    named = SOURCE if set(SOURCE) <= set(frames.columns) else ("session_id", "sequence", "arbitration_id", "_ord")
+    document = hashed_id(*named).alias("document_id")
     narrow = decoded.select("_bus", "t", F.coalesce("sequence", F.lit(traffic.LEAST)).alias("sequence"),
                             F.col("_ord").alias("arrival"), KEY, "sig",
-                            *SIGNALS, text.alias("frame"), F.timestamp_micros(F.floor(F.col("t") / 1000)).alias("event_time"))
+                            *SIGNALS, text.alias("frame"), document, F.timestamp_micros(F.floor(F.col("t") / 1000)).alias("event_time"))
     stream = narrow.withWatermark("event_time", lateness).groupBy("_bus").transformWithStateInPandas(
         BusFeatures(params, ttl_ms), OUT, "Append", "EventTime")
     parsed = stream.withColumn("_f", F.from_json("frame", FRAME_SCHEMA))
@@ -268,7 +274,12 @@ def keyed_alerts(frames: DataFrame, params: DetectorParams, artifacts: detect.Ar
     out = baselines.learned_features(keyed_features(frames, params, proc, lateness, ttl_ms), artifacts.timing_baseline,
                                      artifacts.transitions, params, F.lit(fitted))
     out = out.withColumn("detector_phase", F.lit("inference" if fitted else "warmup"))
-    return detect.enrich(detect.score_and_decide(out, artifacts, params), proc)
+    return detect.enrich(detect.score_and_decide(out, artifacts, params), proc, "document_id")
+
+
+def rejected(frames: DataFrame) -> DataFrame:
+    """What the detector leaves out of a stream, with the reason: a query of its own writes it."""
+    return detect.quarantine(frames)
 
 
 def start_keyed(alerts: DataFrame, path: str, checkpoint: str, available_now: bool = False, interval: str = "1 second"):
@@ -281,6 +292,23 @@ def start_keyed(alerts: DataFrame, path: str, checkpoint: str, available_now: bo
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 
+def start_rejects(rejects: DataFrame, path: str, checkpoint: str, available_now: bool = False, interval: str = "1 second"):
+    """Write what the detector leaves out."""
+    writer = rejects.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
+
+
+def counters(alerts_query, rejects_query) -> dict[str, int]:
+    """A13 of the batches that the queries remember: frames read, indexed, anomalies, quarantined, dropped as late."""
+    def observed(query, name, field):
+        return sum(int((getattr(p.observedMetrics.get(name), field, 0) or 0)) for p in query.recentProgress
+                   if p.observedMetrics and name in p.observedMetrics)
+    dropped = sum(op.numRowsDroppedByWatermark for p in alerts_query.recentProgress for op in p.stateOperators)
+    return {"processed": sum(p.numInputRows for p in alerts_query.recentProgress),
+            "indexed": observed(alerts_query, "alerts", "indexed"), "anomalies": observed(alerts_query, "alerts", "anomalies"),
+            "quarantined": observed(rejects_query, "rejects", "quarantined"), "late": dropped}
+
+
 def drain(query, timeout_s: int | None = None) -> None:
     """Graceful stop: finish what is present in the source, then stop between two batches."""
     query.processAllAvailable()
@@ -291,7 +319,6 @@ def drain(query, timeout_s: int | None = None) -> None:
 def compact_alerts(spark: SparkSession, path: str, into: str, before: str) -> int:
     """Rewrite the committed alerts of the days before ``before`` into a table with a file or a few for each day and
     label; only these days are replaced in ``into``.  Returns the number of rows."""
-    from busguard.sources.alerts import write_alerts
     done, _ = stage_table(spark.read.parquet(path).filter(F.col("event_date") < F.lit(before).cast("date")), "compact")
     write_alerts(done.drop("event_date"), into, "overwrite")
     return done.count()

@@ -6,7 +6,7 @@ those fixed artifacts (T4/T5).  Each micro-batch runs the batch pipeline over
     tail of earlier frames  UNION  the micro-batch
 
 where the tail is bounded: the last ``interarrival_rows`` frames of every (bus, id) and the frames
-within ``halo_ns`` of each bus's latest time.  Look-backs of unbounded age (first sighting of an
+within ``halo_ns`` and the lateness of each bus's latest time.  Look-backs of unbounded age (first sighting of an
 (id, signature), earlier sightings of a 3-gram) are carried in two grouped state tables that enter
 the window stage as one chunk before all others, so a frame gets the same features whether it
 arrives in one batch or many (T1-T3).  Tail rows are recomputed and dropped, never re-emitted.
@@ -16,7 +16,7 @@ Delivery (S6): the source offsets live in ``checkpointLocation``; alerts of batc
 its own output: effectively once.  Frames older than the newest event time minus
 ``late_ns`` and frames whose payload is not JSON go to a quarantine folder with a reason (T6, S4);
 re-delivered frames are dropped within the watermark.  Counters (processed, anomalies,
-quarantined) are collected per batch with ``observe`` (A13).
+quarantined, indexed, errors) are collected per batch with ``observe`` (A13).
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from busguard.operators.windows import KEY, ORDER
 from busguard.params import DetectorParams
 from busguard.plans import detect
 from busguard.schema import FRAME_COLUMNS, FRAME_SCHEMA
-from busguard.session import checkpoint_dir
+from busguard.session import checkpoint_dir, drop_folder
 
 SIG_STATE = "_bus string, arbitration_key string, sig bigint, first_t bigint, last_t bigint"
 NGRAM_STATE = "_bus string, arbitration_key string, ngram bigint, n bigint, last_t bigint"
@@ -120,6 +120,12 @@ class StreamDetector:
         ngram.write.mode("overwrite").parquet(f"{base}/ngram")
         path, fs = _fs(self.spark, f"{base}/_COMMITTED")
         fs.create(path, True).close()
+        # the version that this batch read stays for a run of the batch again; older ones go
+        root, fs = _fs(self.spark, self.state_dir)
+        older = sorted(int(st.getPath().getName()[2:]) for st in fs.listStatus(root)
+                       if st.getPath().getName().startswith("v="))
+        for v in [v for v in older if v < batch_id][:-1]:
+            drop_folder(self.spark, f"{self.state_dir}/v={v}")
 
     # ------------------------------------------------------------------ one micro-batch
     def process(self, batch: DataFrame, batch_id: int) -> None:
@@ -144,17 +150,21 @@ class StreamDetector:
         new = new.filter(reason.isNull()).drop("record")
         frames = tail.withColumn("_hist", F.lit(True)).unionByName(new.withColumn("_hist", F.lit(False)))
         feats = detect.features(frames, p, proc, history=(sig_state, ng_state)).persist()
-        ready = F.lit(True)
-        lf = baselines.learned_features(feats, self.art.timing_baseline, self.art.transitions, p, ready)
-        lf = lf.withColumn("detector_phase", F.lit("inference"))
+        fitted = self.art.fit_key is not None  # without a fit every frame is warm-up, and nothing is flagged
+        lf = baselines.learned_features(feats, self.art.timing_baseline, self.art.transitions, p, F.lit(fitted))
+        lf = lf.withColumn("detector_phase", F.lit("inference" if fitted else "warmup"))
         decided = detect.score_and_decide(lf, self.art, p)
         alerts = detect.enrich(decided.filter(~F.col("_hist")), proc)
         obs = Observation(f"detector-{batch_id}")
         alerts = alerts.observe(obs, F.count(F.lit(1)).alias("processed"),
                                 F.count_if(F.col("is_anomaly")).alias("anomalies"))
-        alerts.write.mode("overwrite").parquet(f"{self.alerts_dir}/batch_id={batch_id}")
+        target = f"{self.alerts_dir}/batch_id={batch_id}"
+        alerts.write.mode("overwrite").parquet(target)
         for k, v in obs.get.items():
             self.stats[k] += int(v or 0)
+        indexed = self.spark.read.schema(alerts.schema).parquet(target).count()
+        self.stats["indexed"] += indexed
+        self.stats["errors"] += int(obs.get["processed"] or 0) - indexed
 
         # next state: bounded tail + grouped sightings
         fresh = feats.filter(~F.col("_hist"))
@@ -187,12 +197,14 @@ class StreamDetector:
     def start(self, frames_stream: DataFrame, checkpoint: str, available_now: bool = False,
               processing_time: str = "1 second", dedupe_watermark: str | None = None):
         """``available_now`` drains everything present and stops; otherwise a periodic trigger.
-        ``dedupe_watermark``: drop re-delivered frames (same session, sequence, id and send time)."""
+        ``dedupe_watermark``: drop records that the source delivers again, told by their topic, partition and offset (equal
+        frames of a flood are different records)."""
         stream = frames_stream
         if dedupe_watermark:
-            stream = (stream.withWatermark("timestamp", dedupe_watermark)
-                      .dropDuplicatesWithinWatermark(["session_id", "sequence", "arbitration_id",
-                                                      "simulator_send_time_ns"]))
+            source = ["topic", "partition", "offset"]
+            if not set(source) <= set(stream.columns):
+                raise ValueError("dedupe_watermark needs the source columns topic, partition and offset")
+            stream = stream.withWatermark("timestamp", dedupe_watermark).dropDuplicatesWithinWatermark(source)
         writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
         return writer.start()

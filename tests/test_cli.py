@@ -1,6 +1,7 @@
 """Command line: detect -> artifacts -> evaluate -> gates on the sf0.001 fixture."""
 
 import glob
+import json
 import tempfile
 
 from pyspark.sql import functions as F
@@ -47,3 +48,30 @@ def test_cli_stream_with_saved_artifacts(spark):
                  "--min-warmup-bus-frequency", "5", "--warmup-samples", "200", "--bus-keys"]) == 0
     got = spark.read.parquet(f"{d}/alerts-stream")
     assert got.count() == 1000 and got.filter(F.col("anomaly_score") != 0).count() > 0
+    assert spark.read.parquet(f"{d}/alerts-batch").select("document_id").distinct().count() == 1000
+
+
+def test_cli_stream_per_vehicle(spark, capsys):
+    d = tempfile.mkdtemp(prefix="bg-cli-keyed-")
+    frames = frames_from_events(spark, "/root/testdata/sf0.001")
+    plain = frames.select(*[F.col(c).cast(FRAME_SCHEMA[c].dataType).alias(c) for c in FRAME_COLUMNS])
+    for i in range(4):  # four batches in time order, the second with a line that is no frame
+        plain.filter(f"sequence div 250 = {i}").coalesce(1).write.mode("append").json(f"{d}/frames")
+        if i == 1:
+            with open(f"{d}/frames/broken.json", "w") as f:
+                f.write("no frame\n")
+    assert main(["detect", "--frames", f"{d}/frames", "--format", "json", "--alerts", f"{d}/alerts-batch", "--artifacts",
+                 f"{d}/art", "--warmup-samples", "150", "--min-warmup-bus-frequency", "3"]) == 0
+    assert main(["stream", "--frames", f"{d}/frames", "--alerts", f"{d}/alerts", "--artifacts", f"{d}/art", "--checkpoint",
+                 f"{d}/ckpt", "--available-now", "--lateness", "2 seconds", "--max-files", "1"]) == 0
+    got = spark.read.parquet(f"{d}/alerts")
+    n = got.count()
+    # the newest frames wait for the watermark to pass them
+    assert 500 < n < 1000 and got.select("document_id").distinct().count() == n
+    assert set(got.select("detector_phase").distinct().toPandas()["detector_phase"]) == {"inference"}
+    counted = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert counted["indexed"] == n and counted["processed"] == 1001 and counted["quarantined"] == 1
+    assert spark.read.parquet(f"{d}/ckpt-quarantine").count() == 1
+    assert main(["evaluate", "--alerts", f"{d}/alerts", "--json-out", f"{d}/r.json", "--csv-out", f"{d}/r.csv"]) == 0
+    assert main(["gates", "--alerts", f"{d}/alerts", "--produced", "5000"]) == 1
+    assert "outside 4900..5100" in capsys.readouterr().out

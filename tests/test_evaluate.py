@@ -4,6 +4,7 @@ import csv
 import glob
 import json
 import tempfile
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,15 +78,43 @@ def test_time_range_and_unknown_labels(spark):
 
 def test_report_sinks(spark):
     d = tempfile.mkdtemp()
-    A.write_report(ev.detection_report(make(spark, COUNTS)), f"{d}/json", f"{d}/csv")
+    A.write_report(ev.detection_report(make(spark, COUNTS)), f"{d}/json", f"{d}/csv", "alerts-*", None, "2024-02-01", 1000,
+                   datetime(2024, 1, 2, tzinfo=timezone.utc))
     with open(glob.glob(f"{d}/csv/*.csv")[0]) as fh:
         rows = list(csv.DictReader(fh))
     assert [r["attack_type"] for r in rows] == ["fuzz", "replay", "injection", "dos", "overall"]
     assert rows[-1]["total"] == "" and list(rows[0]) == ["attack_type", "total", "tp", "tn", "fp", "fn",
                                                          "detection_rate", "precision", "recall", "f1",
                                                          "false_positive_rate", "accuracy"]
-    lines = [json.loads(x) for f in glob.glob(f"{d}/json/*.json") for x in open(f)]
-    assert len(lines) == 5
+    [document] = [json.loads(x) for f in glob.glob(f"{d}/json/part-*") for x in open(f)]
+    assert document["generated_at"] == "2024-01-02T00:00:00+00:00" and document["index"] == "alerts-*"
+    assert document["time_range"] == {"gte": None, "lte": "2024-02-01"} and document["normal_total"] == 1000
+    assert list(document["per_attack"]) == ["fuzz", "replay", "injection", "dos"]
+    assert document["overall"]["tp"] == sum(x["tp"] for x in document["per_attack"].values())
+    assert "total" not in document["overall"] and document["per_attack"]["dos"]["total"] == 60
+
+
+def test_zero_totals_on_the_scored_report(spark):
+    report = ev.detection_report(make(spark, COUNTS))
+    assert ev.zero_totals(report).collect() == []
+    some = make(spark, COUNTS).filter("attack_type_label not in ('fuzz', 'dos')")
+    assert sorted(r["label"] for r in ev.zero_totals(ev.detection_report(some)).collect()) == ["dos", "fuzz"]
+
+
+def test_many_indices_are_one_scan(spark, tmp_path):
+    for i in range(12):
+        df = spark.range(3).withColumn("is_anomaly", F.lit(i % 2 == 0))
+        df = df.withColumn("extra", F.lit(i)) if i == 5 else df
+        label = F.when(F.col("id") == 0, "a+b: c/d").when(F.col("id") == 1, "dos")
+        df = df.withColumn("event_date", F.lit("2024-01-01")).withColumn("attack_type_label", label) if i >= 8 else df
+        writer = df.write.partitionBy("event_date", "attack_type_label") if i >= 8 else df.write
+        writer.parquet(f"{tmp_path}/alerts-{i:02d}")
+    both = A.read_alerts(spark, f"{tmp_path}/alerts-*")
+    assert both.count() == 36 and both.filter("extra = 5").count() == 3 and both.filter("event_date is not null").count() == 12
+    assert {r["attack_type_label"]: r["count"] for r in both.filter("event_date = date'2024-01-01'").groupBy(
+        "attack_type_label").count().collect()} == {"a+b: c/d": 4, "dos": 4, None: 4}
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2  # one for each layout
 
 
 def test_reconciliation_lag_missing(spark):
