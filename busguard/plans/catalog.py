@@ -19,11 +19,11 @@ from busguard.operators.windows import KEY
 from busguard.params import REFERENCE_BUS
 from busguard.plans import dashboards as D
 from busguard.plans import detect
-from busguard.plans.oracle import alerts_query, features_query, given_scores_query, learned_query
+from busguard.plans.oracle import alerts_query, features_query, given_scores_query, learned_query, rough_query
 from busguard.schema import (ATTACK_TYPES, FEATURE_COLUMNS, NUMERIC_SIGNALS, REQUIRED_LABELS, RULE_NAMES)
 from busguard.session import checkpoint_dir
 from busguard.sources import alerts as A
-from busguard.sources.frames import frame_key_value, frames_from_events
+from busguard.sources.frames import frame_key_value, frames_from_events, rough_frames
 
 P = REFERENCE_BUS
 RULES_ONLY = P.with_(use_model=False)
@@ -580,6 +580,69 @@ _dash("kql_detection_rates", D.kql_detection_rates,
       "count_if(attack_type_label = 'normal') AS normal_total FROM alerts)")
 
 
+# D13 over scores that vary
+@reg("score_histogram_given_scores", given_scores_query(
+    "SELECT round(floor(anomaly_score / 0.05) * 0.05, 6) AS score_bucket, count(*) AS frames FROM alerts GROUP BY 1"))
+def q_score_histogram_given(spark, sf):
+    return D.score_histogram(given_alerts(spark, sf))
+
+
+# W22, W23, W25-W27, P3, P5, R10, R13-R17 on frames laid anew so that each of them occurs
+def rough_state(spark, sf, given: bool = False):
+    def build():
+        f = detect.features(rough_frames(frames(spark, sf)), P, proc()).persist()
+        _, art = detect.learn(f, RULES_ONLY)
+        return detect.learned(f, art, RULES_ONLY).persist()
+    df = _memo(spark, sf, "rough", build)
+    prediction = F.when(F.col("sequence") % 5 == 0, F.lit(-1)).otherwise(F.lit(1)) if given else F.lit(1)
+    return df.withColumn("model_prediction", prediction.cast("int"))
+
+
+@reg("rough_payload_signature", rough_query(
+    'SELECT "sequence", payload AS payload_signature, abs_active, lane_assist_active, yaw_rate, steering_angle, '
+    'throttle_position, engine_load, gear, ambient_temp, odometer_km FROM dec'))
+def q_rough_payload(spark, sf):
+    df = detect.decoded_frames(rough_frames(frames(spark, sf)), P, proc())
+    return df.select("sequence", "payload_signature", "abs_active", "lane_assist_active", "yaw_rate", "steering_angle",
+                     "throttle_position", "engine_load", "gear", "ambient_temp", "odometer_km")
+
+
+@reg("rough_state_deltas", rough_query(
+    'SELECT "sequence", ' + ", ".join(r(c) for c in [*_STATE, "state_transition_violation_score"]) + " FROM feats"))
+def q_rough_state(spark, sf):
+    return rough_state(spark, sf).select("sequence", *[R(c) for c in [*_STATE, "state_transition_violation_score"]])
+
+
+@reg("rough_timing_rhythm", rough_query(
+    'SELECT "sequence", detector_phase, ' + ", ".join(r(c) for c in [
+        *_TIMING, "rare_transition_flag", "payload_sequence_tight_timing_flag", "payload_sequence_replay_score"]) + " FROM lf"))
+def q_rough_timing(spark, sf):
+    return rough_state(spark, sf).select("sequence", "detector_phase", *[R(c) for c in [
+        *_TIMING, "rare_transition_flag", "payload_sequence_tight_timing_flag", "payload_sequence_replay_score"]])
+
+
+def _rough_rules(given: bool):
+    def fn(spark, sf):
+        from busguard.functions.rules import rule_flag_columns
+        df = rough_state(spark, sf, given).filter(F.col("detector_phase") == "inference")
+        cols = rule_flag_columns(RULES_ONLY, F.col("model_prediction"))
+        return df.select("sequence", *[c.alias(n) for n, c in cols.items()])
+    return fn
+
+
+for _name, _given in (("rough_security_rules", False), ("rough_security_rules_given_scores", True)):
+    Q[_name] = (_rough_rules(_given),
+                rough_query(f'SELECT "sequence", {_RULE_SQL} FROM rl WHERE detector_phase = \'inference\'', _given))
+
+
+# A9 on the scored report
+@reg("zero_totals", alerts_query(
+    "SELECT a AS label FROM (SELECT unnest(['fuzz', 'replay', 'injection', 'dos']) AS a) WHERE a NOT IN (SELECT "
+    "attack_type_label FROM alerts WHERE (benchmark_scored IS NULL OR benchmark_scored) AND is_anomaly IS NOT NULL)"))
+def q_zero_totals(spark, sf):
+    return evaluate.zero_totals(evaluate.detection_report(alerts(spark, sf)))
+
+
 # 2.H streaming: the fixture's frames as three time slices through the stream detector, scored
 # with the artifacts of the batch fit (rows-only: equal to the batch alerts after warm-up, which
 # tests/test_stream.py checks value by value)

@@ -11,7 +11,7 @@ import re
 
 from busguard.params import REFERENCE_BUS as P
 from busguard.schema import MODEL_REASON, RULE_NAMES
-from busguard.sources.frames import FRAMES_SQL
+from busguard.sources.frames import FRAMES_SQL, ROUGH_SQL
 
 S = 1_000_000_000
 NUM_SIGNALS = ["rpm", "speed", "brake_pressure", "coolant_temp", "throttle_position", "engine_load", "gear",
@@ -350,3 +350,9 @@ def alerts_query(select: str, rules: str | None = None) -> str:
 def given_scores_query(select: str) -> str:
     """Over alerts that were decided with the model stand-in."""
     return alerts_query(select, rules_sql(GIVEN_PREDICTION, GIVEN_SCORE))
+
+
+def rough_query(select: str, scores: bool = False) -> str:
+    """Over the frames that are laid anew (``rough_frames``); with ``scores`` decided with the model stand-in."""
+    rules = rules_sql(GIVEN_PREDICTION, GIVEN_SCORE) if scores else RULES_SQL
+    return with_ctes(ROUGH_SQL, DECODED_SQL, FEATS_SQL, LEARNED_SQL, rules, select=select)

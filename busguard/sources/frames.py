@@ -207,3 +207,63 @@ frames_ev AS (
     CAST(NULL AS BIGINT) AS replayed_original_sequence
   FROM frames_arb
 )"""
+
+
+# ---- the same frames with their times, identifiers and payloads laid anew from the sequence number, so that regular and
+# hurried traffic, unseen transitions, odometer rollbacks, flags and unsorted payload keys occur
+ROUGH_CYCLE = 5000
+ROUGH_IDS = ["0x110", "0x220", "0x330", "0x440", "0x550"]
+ROUGH_POS, ROUGH_TURN = f"(\"sequence\" % {ROUGH_CYCLE})", f"(\"sequence\" // {ROUGH_CYCLE})"
+ROUGH_SQL = FRAMES_SQL.replace("), frames AS (", "), frames_plain AS (") + f""", frames_laid AS (
+  SELECT *, {ROUGH_POS} AS pos, "sequence" // 5 AS tick,
+    {ROUGH_TURN} * 50000000000 + CASE
+      WHEN {ROUGH_POS} < 1500 OR {ROUGH_POS} >= 4400 THEN {ROUGH_POS} * 8000000 + (("sequence" * 7919) % 13) * 500000
+      WHEN {ROUGH_POS} < 3400 THEN 12000000000 + ({ROUGH_POS} - 1500) * 8000000
+      WHEN {ROUGH_POS} < 3800 THEN 27200000000 + ({ROUGH_POS} - 3400) * 4000000
+      ELSE 28800000000 + ({ROUGH_POS} - 3800) * 8370000 END AS laid
+  FROM frames_plain
+), frames_valued AS (
+  SELECT *, CASE WHEN pos BETWEEN 3400 AND 4399 THEN 4 - "sequence" % 5 ELSE "sequence" % 5 END AS place,
+    CASE WHEN pos BETWEEN 3400 AND 3799 THEN 10 + tick % 40 WHEN pos BETWEEN 3800 AND 4399 THEN 60 + tick % 4
+         ELSE tick % 4 END AS p
+  FROM frames_laid
+), frames AS (
+  SELECT "timestamp", laid // 1000000 AS event_time_epoch_ms, laid AS simulator_send_time_ns, vehicle_id, session_id, "sequence",
+    CASE place {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(ROUGH_IDS))} END AS arbitration_id, dlc,
+    CASE place
+      WHEN 0 THEN '{{"engine_load":' || (20 + p) || ',"gear":' || (1 + p % 5) || ',"rpm":' || (1000 + 10 * p)
+                  || ',"throttle_position":' || p || '}}'
+      WHEN 1 THEN '{{"abs_active":' || CASE WHEN p % 2 = 0 THEN 'true' ELSE 'false' END || ',"brake_pressure":' || (10 + p)
+                  || ',"wheel_speed_fl":80,"wheel_speed_fr":81}}'
+      WHEN 2 THEN '{{"acceleration":0,"odometer_km":' || (100 + "sequence" % 700) || ',"speed":' || (40 + p % 4) || '}}'
+      WHEN 3 THEN '{{"lane_assist_active":' || CASE WHEN p % 3 = 0 THEN 'true' ELSE 'false' END || ',"steering_angle":' || p
+                  || ',"yaw_rate":' || (p + 1) || '}}'
+      ELSE '{{"ambient_temp":' || (20 + p) || ',"battery_voltage":14,"coolant_temp":86}}' END AS payload,
+    CASE WHEN pos < 1500 OR pos >= 4400 THEN 'normal' ELSE 'replay' END AS attack_type_label, attack_phase,
+    CAST(NULL AS BOOLEAN) AS benchmark_scored, replayed_original_sequence
+  FROM frames_valued
+)"""
+
+
+def rough_frames(frames: DataFrame) -> DataFrame:
+    """``frames`` laid anew as ``ROUGH_SQL`` does; payload keys come unsorted and spaced."""
+    seq = F.col("sequence")
+    pos, tick = seq % ROUGH_CYCLE, F.floor(seq / 5)
+    jitter = pos * 8_000_000 + (seq * 7919 % 13) * 500_000
+    at = F.floor(seq / ROUGH_CYCLE) * 50_000_000_000 + F.when((pos < 1500) | (pos >= 4400), jitter) \
+        .when(pos < 3400, 12_000_000_000 + (pos - 1500) * 8_000_000) \
+        .when(pos < 3800, 27_200_000_000 + (pos - 3400) * 4_000_000).otherwise(28_800_000_000 + (pos - 3800) * 8_370_000)
+    place = F.when(pos.between(3400, 4399), 4 - seq % 5).otherwise(seq % 5)
+    p = F.when(pos.between(3400, 3799), 10 + tick % 40).when(pos.between(3800, 4399), 60 + tick % 4).otherwise(tick % 4)
+    flag = lambda c: F.when(c, F.lit("true")).otherwise(F.lit("false"))
+    texts = [F.format_string('{"throttle_position": %d, "rpm": %d, "gear": %d, "engine_load": %d}', p, 1000 + 10 * p, 1 + p % 5, 20 + p),
+             F.format_string('{"wheel_speed_fr": 81, "wheel_speed_fl": 80, "brake_pressure": %d, "abs_active": %s}', 10 + p, flag(p % 2 == 0)),
+             F.format_string('{"speed": %d, "odometer_km": %d, "acceleration": 0}', 40 + p % 4, 100 + seq % 700),
+             F.format_string('{"yaw_rate": %d, "steering_angle": %d, "lane_assist_active": %s}', p + 1, p, flag(p % 3 == 0)),
+             F.format_string('{"coolant_temp": 86, "battery_voltage": 14, "ambient_temp": %d}', 20 + p)]
+    pick = lambda values: F.element_at(F.array(*values), (place + 1).cast("int"))
+    return frames.withColumns({
+        "event_time_epoch_ms": F.floor(at / 1_000_000), "simulator_send_time_ns": at.cast("bigint"),
+        "arbitration_id": pick([F.lit(x) for x in ROUGH_IDS]), "payload": pick(texts),
+        "attack_type_label": F.when((pos < 1500) | (pos >= 4400), F.lit("normal")).otherwise(F.lit("replay")),
+        "benchmark_scored": F.lit(None).cast("boolean")})
