@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from busguard.llm.common import col, free_name, stage_table, text_or_empty
+from busguard.llm.common import col, free_name, give_back, stage_table, text_or_empty, tidy
 
 WHITE = b" \t\n\x0b\x0c\r"
 BLOCK_BITS = 1 << 16
@@ -100,11 +100,11 @@ def merge_blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def seen_twice(docs: DataFrame, text: str, min_chars: int, bits: int) -> np.ndarray:
     """The merged seen-twice bit array: ``bits`` / 8 bytes at most, whatever the input's size."""
     texts = docs.select(text_or_empty(col(docs, text)).alias("text"))
-    parts = texts.mapInPandas(lambda it: seen_blocks((b["text"] for b in it), min_chars, bits),
+    parts = texts.mapInPandas(tidy(lambda it: seen_blocks((b["text"] for b in it), min_chars, bits)),
                               "block long, once binary, twice binary")
     whole = np.zeros(bits // 8, dtype=np.uint8)
     size = BLOCK_BITS // 8
-    for row in parts.repartition("block").mapInPandas(merge_blocks, "block long, twice binary").collect():
+    for row in parts.repartition("block").mapInPandas(tidy(merge_blocks), "block long, twice binary").collect():
         whole[row.block * size:(row.block + 1) * size] = np.frombuffer(bytes(row.twice), dtype=np.uint8)
     return whole
 
@@ -119,7 +119,7 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_cha
     twice = spark.sparkContext.broadcast(seen_twice(docs, text, min_chars, filter_bits).tobytes())
 
     @F.pandas_udf("array<binary>")
-    def suspected(texts: pd.Series) -> pd.Series:
+    def suspected(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bitmap = np.frombuffer(twice.value, dtype=np.uint8)
 
         def one(t: str) -> list[bytes]:
@@ -129,17 +129,21 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_cha
             at = slots(found, filter_bits)
             hit = (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1)
             return [d for d, h in zip(found, hit) if h]
-        return texts.map(one)
+        for texts in batches:
+            yield texts.map(one)
+        give_back()
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
-    def without(texts: pd.Series, digests: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, drop in zip(texts, digests):
-            lines = t.encode().split(b"\n")
-            bad = set(map(bytes, drop)) if drop is not None else None
-            left = [x for x in lines if line_digest(x, min_chars) not in bad] if bad else lines
-            out.append((b"\n".join(left).decode("utf-8", "replace"), len(lines), len(lines) - len(left)))
-        return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
+    def without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, digests in batches:
+            out = []
+            for t, drop in zip(texts, digests):
+                lines = t.encode().split(b"\n")
+                bad = set(map(bytes, drop)) if drop is not None else None
+                left = [x for x in lines if line_digest(x, min_chars) not in bad] if bad else lines
+                out.append((b"\n".join(left).decode("utf-8", "replace"), len(lines), len(lines) - len(left)))
+            yield pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
+        give_back()
 
     sus, key, res = free_name(docs, "suspected"), free_name(docs, "document"), free_name(docs, "cut")
     flagged = docs.withColumn(sus, suspected(text_or_empty(col(docs, text))))
