@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from busguard.llm.common import col, free_name, text_or_empty
+from busguard.llm.common import col, free_name, give_back, text_or_empty
 
 MARK = "▁"
 MEMO_CHUNKS = 200_000
@@ -239,6 +239,8 @@ def encode_decode(docs: DataFrame, text: str = "text", model: str = MODEL, ids_a
             ids = codec.encode(texts.tolist())
             yield pd.DataFrame({"ids": ids, "n_tokens": [len(b) // 4 for b in ids],
                                 "decoded": [codec.decode(b) for b in ids]})
+        del codec
+        give_back()
 
     out = free_name(docs, "coded")
     coded = docs.withColumn(out, run(text_or_empty(col(docs, text))))
