@@ -32,9 +32,15 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+#: Scratch folders that this driver has named and not deleted.
+CREATED: list[str] = []
+
+
 def scratch_path(spark: SparkSession, stem: str) -> str:
     """A new folder below the shared checkpoint folder of the session."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    CREATED.append(path)
+    return path
 
 
 def stage_table(df: DataFrame, stem: str) -> DataFrame:
@@ -45,6 +51,13 @@ def stage_table(df: DataFrame, stem: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession, before: int) -> None:
+    """Delete the scratch folders named since ``CREATED`` had ``before`` entries, but for the last."""
+    for path in CREATED[before:-1]:
+        drop_folder(spark, path)
+    del CREATED[before:-1]
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Hadoop's file system API (works for any shared store)."""
     jvm = spark.sparkContext._jvm

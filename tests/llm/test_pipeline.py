@@ -83,3 +83,17 @@ def test_run_equals_the_stages_by_brute_force(spark):
     bad = {r[0] for r in brute.contamination(rows, items) if r[-1]}
     want = brute.sentencepiece([(i, t) for i, t in rows if i not in bad])
     kit.same(kit.as_rows(corpus_pipeline.run(spark, sf_dir), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), want)
+
+
+def test_a_run_leaves_only_its_result_in_the_scratch_folder(spark, tmp_path):
+    import os
+    from busguard.llm import common
+    from busguard.session import checkpoint_dir
+    root = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    sf = kit.table_dir(tmp_path, documents=kit.docs_frame(spark),
+                       benchmark=spark.createDataFrame([("a", "no such text anywhere")], "item_id string, text string"))
+    out = corpus_pipeline.run(spark, sf)
+    new = set(os.listdir(root)) - before
+    assert [n.split("-")[:2] for n in new if not n.startswith((".", "rdd-"))]  # Spark's checkpoints aside == [["pipeline", "sentencepiece"]]
+    assert out.count() > 0 and len(common.CREATED) >= 1
