@@ -17,14 +17,13 @@ independent; other columns pass through.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from busguard.llm.common import col, free_name, text_or_empty
+from busguard.llm.common import col, free_name, give_back, text_or_empty
 
 DOCS_PER_LANGUAGE = 220
 SLICE_CHARS = 500
@@ -36,7 +35,6 @@ MAX_LANGUAGES = 1000
 UNDETERMINED = "und"
 PAD = b"\n" * 256  # costs all languages the same few bytes; without it zstandard stores short texts uncompressed
 
-LETTER = re.compile(r"[^\W\d_]")
 PREDICTED = "lang string, score double, rejected boolean"
 
 
@@ -47,15 +45,18 @@ def is_held_out(id: Column) -> Column:
 
 def learn(train: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang",
           docs_per_language: int = DOCS_PER_LANGUAGE, slice_chars: int = SLICE_CHARS,
-          dictionary_bytes: int = DICTIONARY_BYTES, seed: int = 5) -> list[tuple[str, bytes]]:
-    """(language, dictionary) pairs, the language with the most training documents first."""
+          dictionary_bytes: int = DICTIONARY_BYTES, max_languages: int = MAX_LANGUAGES,
+          seed: int = 5) -> list[tuple[str, bytes]]:
+    """(language, dictionary) pairs, the language with the most training documents first.
+
+    The model holds at most ``max_languages`` dictionaries of ``dictionary_bytes``; more languages raise a ValueError."""
     body = F.lower(col(train, text))
     rows = train.select(col(train, lang).alias("lang"), body.alias("body"), col(train, id).alias("id"),
                         F.xxhash64(F.lit(seed), col(train, id).cast("string"), F.lit("order")).alias("order"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("body").rlike(r"\p{L}") & F.col("id").isNotNull())
-    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = rows.groupBy("lang").count().limit(max_languages + 1).collect()
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: raise max_languages")
     if not counts:
         return []
     # of the hash range, the share that holds four times the documents wanted: small groups, whatever the table's size
@@ -91,7 +92,7 @@ class Classifier:
             self.compressors.append((name, zstandard.ZstdCompressor(dict_data=dictionary, compression_params=options)))
 
     def predict(self, text: str) -> tuple[str, float, bool]:
-        if not self.compressors or not LETTER.search(text):
+        if not self.compressors or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, True
         raw = text.lower().encode()
         pieces = [raw[i:i + self.piece_bytes] + PAD for i in range(0, len(raw), self.piece_bytes)]
@@ -115,6 +116,8 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], text: str = "text"
         classifier = Classifier(sent.value, level, piece_bytes, min_margin)
         for batch in batches:
             yield pd.DataFrame([classifier.predict(t) for t in batch], columns=["lang", "score", "rejected"])
+        del classifier
+        give_back()
 
     res = free_name(docs, "language")
     out = docs.withColumn(res, run(text_or_empty(col(docs, text))))

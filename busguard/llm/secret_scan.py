@@ -19,6 +19,7 @@ independent; other columns pass through.
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import re
 from collections.abc import Iterator
@@ -85,7 +86,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def random_spans(text: str, taken: list[tuple[str, int, int]], encoding, min_chars: int,
                  max_ratio: float) -> list[tuple[str, int, int]]:
-    edges = sorted((a, b) for _, a, b in taken)
+    begins: list[int] = []  # what base spans cover, as ascending stretches
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in taken):
+        if begins and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+
+    def meets(a: int, b: int) -> bool:
+        at = bisect.bisect_right(ends, a)
+        return at < len(begins) and begins[at] < b
 
     def dense(s: str) -> bool:
         return len(s) < max_ratio * len(encoding.encode_ordinary(s))
@@ -125,7 +137,7 @@ def random_spans(text: str, taken: list[tuple[str, int, int]], encoding, min_cha
         stretch: list[tuple[int, int]] = []
         for p in PART.finditer(m[0]):
             a, b = m.start() + p.start(), m.start() + p.end()
-            if is_digest(p[0]) or any(x < b and a < y for x, y in edges):
+            if is_digest(p[0]) or meets(a, b):
                 out += in_stretch(stretch)
                 stretch = []
             else:

@@ -122,8 +122,8 @@ def read_arc(name: str, content: bytes) -> Iterator[dict]:
         text = line.decode("utf-8", "replace").rstrip("\r\n")
         if not text:
             continue  # between documents
-        is_block = text.startswith("filedesc://")
-        if not is_block and version is None:
+        is_block = version is None  # the first record of a file; later ones may have any address
+        if is_block and not text.startswith("filedesc://"):
             raise ValueError(f"{name}: no version block before {text[:80]!r}")
         n = int(text.rpartition(" ")[2])
         doc = stream.read(n)

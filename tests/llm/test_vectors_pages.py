@@ -258,3 +258,57 @@ def test_revisits_hold_no_payload(spark, tmp_path):
     warc.convert_arc(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
     raw = b"".join(gzip.decompress(p.read_bytes()) for p in Path(f"{tmp_path}/warc").glob("part-*"))
     assert raw.count(body.encode()) == 1 and raw.count(b"WARC-Type: revisit") == 19
+
+
+def test_numerals_are_no_letters():
+    model = [("en", b"the shop opens at nine on monday " * 20), ("fr", b"la plage avec les amis de la maison " * 20)]
+    classifier = language_id.Classifier(model)
+    for text in ("½", "² Ⅷ ①", "12 34", ""):
+        assert classifier.predict(text) == ("und", 0.0, True)
+    assert classifier.predict("the shop")[0] == "en"
+
+
+def test_more_languages_than_the_parameter_allows(spark):
+    rows = [(i, f"text number {i}", f"l{i}") for i in range(4)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language_id.learn(train, max_languages=4)) == 4
+    with pytest.raises(ValueError, match="max_languages"):
+        language_id.learn(train, max_languages=3)
+
+
+def test_page_addresses_that_look_like_a_version_block(spark, tmp_path):
+    rows = [(1, "filedesc://pages.arc", "<p>one</p>" * 20), (2, "filedesc://x 0.0.0.0 1 2 3", "<p>two</p>"),
+            (3, "http://a.example/", "<p>one</p>" * 20)]
+    sf = kit.table_dir(tmp_path, pages=spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r["page_id"]: r for r in Q["op10_warc"][0](spark, sf).collect()}
+    assert sorted(got) == [1, 2, 3] and got[3]["refers_to"] == 1 and got[2]["record_type"] == "response"
+    assert got[1]["url"] == "filedesc://pages.arc" and all(r["sound"] for r in got.values())
+
+
+def test_a_file_without_a_version_block_is_an_error():
+    with pytest.raises(ValueError, match="no version block"):
+        list(warc.read_arc("x", b"http://a 0.0.0.0 20240101000000 text/html 2\nab\n"))
+
+
+def test_long_text_full_of_secrets_takes_linear_time():
+    import time
+    from busguard.llm import secret_scan
+    encoding = secret_scan.vocabulary(secret_scan.VOCABULARY)
+    rng = random.Random(1)
+    one = "".join(f" {rng.getrandbits(100):025x}/Zk3vQ9xT1bLr8WmPz0Yd{i} password=hunter{i}\n" for i in range(20_000))
+    began = time.time()
+    some = secret_scan.scan(one[:len(one) // 8], encoding)
+    eighth, began = time.time() - began, time.time()
+    every = secret_scan.scan(one, encoding)
+    assert len(every) > 7 * len(some) and time.time() - began < 20 * eighth + 2
+
+
+def test_random_spans_leave_base_spans_alone():
+    from busguard.llm import secret_scan
+    encoding = secret_scan.vocabulary(secret_scan.VOCABULARY)
+    rng = random.Random(4)
+    for _ in range(300):
+        taken = [("hex", a, a + rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 6)))]
+        text = "".join(rng.choice("Zk3vQ9xT1bLr8/.") for _ in range(70))
+        for _, a, b in secret_scan.random_spans(text, taken, encoding, 1, 1e9):
+            assert not any(x < b and a < y and text[x:y].strip("/.") for _, x, y in taken)
