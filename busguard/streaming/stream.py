@@ -32,7 +32,8 @@ from busguard.operators.windows import KEY, ORDER
 from busguard.params import DetectorParams
 from busguard.plans import detect
 from busguard.schema import FRAME_COLUMNS, FRAME_SCHEMA
-from busguard.session import checkpoint_dir, drop_folder
+from busguard.session import checkpoint_dir, drop_folder, stage_table
+from busguard.sources.frames import spread
 
 SIG_STATE = "_bus string, arbitration_key string, sig bigint, first_t bigint, last_t bigint"
 NGRAM_STATE = "_bus string, arbitration_key string, ngram bigint, n bigint, last_t bigint"
@@ -149,7 +150,10 @@ class StreamDetector:
         held = placed
         new = new.filter(reason.isNull()).drop("record")
         frames = tail.withColumn("_hist", F.lit(True)).unionByName(new.withColumn("_hist", F.lit(False)))
-        feats = detect.features(frames, p, proc, history=(sig_state, ng_state)).persist()
+        # few files arrive in few partitions; the features are read five times below, each time other columns
+        cached = detect.features(spread(frames, "_ord"), p, proc, history=(sig_state, ng_state))
+        feats, staged = stage_table(cached, "stream-features")
+        windows.release(cached)
         fitted = self.art.fit_key is not None  # without a fit every frame is warm-up, and nothing is flagged
         lf = baselines.learned_features(feats, self.art.timing_baseline, self.art.transitions, p, F.lit(fitted))
         lf = lf.withColumn("detector_phase", F.lit("inference" if fitted else "warmup"))
@@ -189,9 +193,8 @@ class StreamDetector:
                 edge = F.lit(newest - p.state_ttl_ms * 1_000_000)
                 next_sig, next_ng = next_sig.filter(F.col("last_t") >= edge), next_ng.filter(F.col("last_t") >= edge)
         self._save_state(batch_id, next_tail, next_sig, next_ng)
-        feats.unpersist()
         held.unpersist()
-        windows.release(feats)
+        drop_folder(self.spark, staged)
 
     # ------------------------------------------------------------------ query
     def start(self, frames_stream: DataFrame, checkpoint: str, available_now: bool = False,
