@@ -107,3 +107,35 @@ def test_places_among_many_cuts(spark):
     df = spark.createDataFrame(rows, "cuts array<bigint>, u bigint")
     found = chunks.with_passed(df, {"n": (F.col("cuts"), F.col("u"))}, 217).collect()
     assert all(r["n"] == np.searchsorted(r["cuts"] or [], r["u"], "right") for r in found)
+
+
+def test_a_frame_finds_its_chunk_by_slot(spark):
+    """Cuts at the begin of a slot, inside one, and in the next cell, against counting them all."""
+    cell, slot = PARAMS.chunk_ns, PARAMS.chunk_ns // chunks.FINER
+    cuts = {0: [0, 3 * slot, 3 * slot + 5, 3 * slot + 9, 700 * slot, cell - 1], 1: [cell + slot, cell + slot + 1]}
+    times = sorted({c + d for x in cuts.values() for c in x for d in (-1, 0, 1) if c + d >= 0} | {cell - 10 ** 9, 2 * cell})
+
+    def passed(u):
+        return u // cell * chunks.SUB + sum(c <= u for c in cuts.get(u // cell, []))
+
+    for inside in (True, False):
+        if not inside:
+            cuts = {0: [3 * slot, 700 * slot], 1: [cell + slot]}
+        table = spark.createDataFrame([("", k, v) for k, v in cuts.items()], "_bus string, _cell long, cuts array<long>")
+        got = chunks.with_chunk(spark.createDataFrame([("", t) for t in times], "_bus string, t long"), PARAMS, table)
+        # no cut inside a slot: nothing is searched
+        assert ("_of_chunk" in got._jdf.queryExecution().analyzed().toString()) is inside
+        for r in got.collect():
+            w1, w3 = chunks.spans(PARAMS)
+            assert (r["_chunk"], r["_last1"], r["_last3"]) == (passed(r["t"]), passed(r["t"] + w1), passed(r["t"] + w3))
+            assert r["_parts"] == len(cuts.get(r["t"] // cell, []))
+
+
+def test_window_features_are_read_without_the_payload(spark):
+    frames = frames_df(spark, burst_rows()[::3])
+    staged = detect.staged_features(frames, PARAMS, F.lit(T0))
+    assert set(windows.STAGE_OUTPUTS) <= set(staged.narrow.columns) and "payload" not in staged.narrow.columns
+    want = detect.features(frames, PARAMS, F.lit(T0))
+    assert sorted(want.columns) == sorted(c for c in staged.wide.columns)
+    of = lambda df: {r["_ord"]: r.asDict() for r in df.select(sorted(want.columns)).collect()}
+    assert of(staged.wide) == of(want)
