@@ -110,7 +110,7 @@ class BusFeatures(StatefulProcessor):
         self.grams = handle.getMapState("grams", "id string, a long, b long, c long", "n long, t long")
 
     def handleInputRows(self, key, rows, timerValues):
-        new = pd.concat(list(rows), ignore_index=True)[WAITING].rename(columns={"arrival": "_ord"})
+        new = pd.concat(list(rows), ignore_index=True).reindex(columns=WAITING).rename(columns={"arrival": "_ord"})
         yield from self.release(key, new, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -236,9 +236,10 @@ class BusFeatures(StatefulProcessor):
                   "_suspicious": pa.int64(), "_hist": pa.bool_(), "_row": pa.int64(), "ngram": pa.int64(),
                   "_mk_id": pa.string(), "_mk_n": pa.int64(), "_mk_t": pa.int64()}
         schema = pa.schema(fields)
-        table = pa.concat_tables([pa.table({c: (pa.array(x[c], type=k, from_pandas=True) if c in x else pa.nulls(len(x), k))
-                                            for c, k in fields.items()}, schema=schema) for x in parts])
-        found = traffic.chunk_features(params, names, CHUNK)(table).to_pandas(integer_object_nulls=True)
+        mine, *others = [pa.table({c: (pa.array(x[c], type=k, from_pandas=True) if c in x else pa.nulls(len(x), k))
+                                   for c, k in fields.items()}, schema=schema) for x in parts]
+        others = pa.concat_tables(others) if others else schema.empty_table()
+        found = traffic.chunk_features(params, names, CHUNK)(mine, others).to_pandas(integer_object_nulls=True)
         found["_ng_t"] = found["_ng_t"].astype("Int64")
         return found.drop(columns="_row")
 
