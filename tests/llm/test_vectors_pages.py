@@ -312,3 +312,19 @@ def test_random_spans_leave_base_spans_alone():
         text = "".join(rng.choice("Zk3vQ9xT1bLr8/.") for _ in range(70))
         for _, a, b in secret_scan.random_spans(text, taken, encoding, 1, 1e9):
             assert not any(x < b and a < y and text[x:y].strip("/.") for _, x, y in taken)
+
+
+def test_archives_are_compressed_at_the_light_level(spark, tmp_path):
+    import glob
+    import gzip
+    import zlib
+
+    pages = spark.range(300, numPartitions=1).selectExpr(
+        "id AS page_id", "concat('http://h/', id) AS url", "array_join(transform(sequence(1, 60), i -> md5(cast(id * i % 97 AS string))), ' ') AS html")
+    warc.write_arc(pages, str(tmp_path / "arc"))
+    [file] = glob.glob(str(tmp_path / "arc" / "part-*"))
+    content = open(file, "rb").read()
+    plain = gzip.decompress(content)
+    light, usual = (len(zlib.compress(plain, level)) for level in (3, 6))
+    assert light != usual and abs(len(content) - light) < abs(len(content) - usual)
+    assert plain.count(b"HTTP/1.1 200 OK") == 300
