@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from busguard.llm.common import col, stage_table, text_or_empty
+from busguard.llm.common import col, give_back, stage_table, text_or_empty, tidy
 from busguard.llm.words import in_batches, mix, shingle_sets
 from busguard.session import cut_lineage
 
@@ -387,15 +387,18 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFra
     """(a, b, linked) with the exact Jaccard test on both sets."""
     up, down = similarity.numerator, similarity.denominator
 
+    def one(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+        both = np.concatenate([x, y])
+        both.sort()
+        common = int((both[1:] == both[:-1]).sum())
+        return down * common >= up * (len(both) - common)
+
     @F.pandas_udf("boolean")
-    def linked(left: pd.Series, right: pd.Series) -> pd.Series:
-        def one(x: bytes, y: bytes) -> bool:
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            both = np.concatenate([x, y])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            return down * common >= up * (len(both) - common)
-        return pd.Series([one(x, y) for x, y in zip(left, right)], dtype=bool)
+    def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            yield pd.Series([one(x, y) for x, y in zip(left, right)], dtype=bool)
+        give_back()
 
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("right"))
@@ -414,14 +417,18 @@ def needed_sets(docs: DataFrame, facts: DataFrame, wanted: DataFrame, k: int) ->
     sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     @F.pandas_udf("boolean")
-    def maybe(at: pd.Series) -> pd.Series:
+    def maybe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = np.frombuffer(sent.value, dtype=np.uint8)
-        place = at.to_numpy(np.int64) - 1
-        return pd.Series((known[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool))
+        for at in batches:
+            place = at.to_numpy(np.int64) - 1
+            yield pd.Series((known[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool))
+        give_back()
 
     @F.pandas_udf("binary")
-    def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([s.tobytes() for part in in_batches(texts.tolist()) for s in shingle_sets(part, k)], dtype=object)
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([s.tobytes() for part in in_batches(texts.tolist()) for s in shingle_sets(part, k)], dtype=object)
+        give_back()
 
     rows = docs.filter(maybe(slot)).join(ids, "row").dropDuplicates(["node"])
     return rows.select("node", hashes("text").alias("hashes"))
@@ -447,6 +454,7 @@ def similarity_components(docs: DataFrame, id: str = "doc_id", text: str = "text
         for texts in batches:
             yield described_frame(described_sets(texts.tolist(), k, similarity, plans),
                                   ["node", "size", "sketch", "own", "below"])
+        give_back()
 
     facts = docs.select(col(docs, id).alias("id"), F.md5(body.cast("binary")).alias("row"), described(body).alias("f"))
     facts = stage_table(facts.select("id", "row", "f.*"), "jaccard-sets")
@@ -483,7 +491,7 @@ def linked_nodes(docs: DataFrame, facts: DataFrame, blocks: DataFrame, k: int, s
         last = turn > FORESTS
         edges = stage_table(
             rows.repartition("block").sortWithinPartitions("block", "node")
-            .mapInPandas(lambda frames, last=last: edges_of_sorted(frames, rate, last), EDGES), "jaccard-edges")
+            .mapInPandas(tidy(lambda frames, last=last: edges_of_sorted(frames, rate, last)), EDGES), "jaccard-edges")
         pairs = edges.select("a", "b").distinct()
         fresh = pairs.join(known, ["a", "b"], "left_anti") if turn > 1 else pairs
         fresh = stage_table(fresh, "jaccard-pairs")
