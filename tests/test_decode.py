@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from busguard.functions import decode as DC
 from busguard.params import REFERENCE_BUS
+from busguard.schema import FRAME_SCHEMA
 from tests.framekit import frame, frames_df
 
 
@@ -78,3 +79,25 @@ def test_event_time_and_priority(spark):
 def test_signature_sorts_keys(spark):
     d = DC.decode_frames(frames_df(spark, [frame(raw_payload='{"b": 1, "a": {"d": 2, "c": 3}}')]), REFERENCE_BUS).first()
     assert d["payload_signature"] == '{"a":{"c":3,"d":2},"b":1}'
+
+
+def test_a_payload_is_parsed_once_and_once_for_the_filter(spark):
+    """Reading the payload's fields took two parses and a third one of its keys for every frame."""
+    from busguard.plans import detect
+    out = detect.decoded_frames(spark.range(1).select(*[
+        F.col("id").cast(FRAME_SCHEMA[c].dataType).alias(c) for c in FRAME_SCHEMA.names
+        if FRAME_SCHEMA[c].dataType.simpleString() not in ("boolean", "timestamp", "timestamp_ntz")]), REFERENCE_BUS).select("speed", "abs_active", "has_raw_bytes", "raw_byte_mean", "sig")
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("json_object_keys") == 0 and plan.count("parsejson") <= 2, plan
+
+
+@pytest.mark.parametrize("payload,has_raw,rpm,lane", [
+    (' \n\t{"raw_bytes":[1,2],"rpm":3}', True, 3.0, 0.0), ('{"raw_bytes":null,"lane_assist_active":null}', True, 0.0, 0.0),
+    ('[{"raw_bytes":[1],"rpm":3}]', False, 0.0, 0.0), ('"{raw_bytes"', False, 0.0, 0.0), ("null", False, 0.0, 0.0),
+    (None, False, 0.0, 0.0), ('{"a":{"raw_bytes":[1]},"rpm":true,"lane_assist_active":"x"}', False, 1.0, 1.0),
+    ('{"raw\\u005fbytes":"ab","rpm":"7","lane_assist_active":[]}', True, 7.0, 0.0)])
+def test_objects_are_told_by_their_first_character(spark, payload, has_raw, rpm, lane):
+    from busguard.plans import detect
+    df = frames_df(spark, [frame(sequence=1)]).withColumn("payload", F.lit(payload).cast("string"))
+    row = detect.decoded_frames(df, REFERENCE_BUS).first()
+    assert (row["has_raw_bytes"], row["rpm"], row["lane_assist_active"]) == (has_raw, rpm, lane)

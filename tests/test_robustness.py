@@ -160,3 +160,23 @@ def test_json_lines_read_whole(spark, tmp_path):
         out.write(good_line(1) + "\n")
     row = read_frames(spark, f"{tmp_path}/j", "json").first()
     assert row["sequence"] == 1 and row["_corrupt_record"] is None
+
+
+def test_rows_of_the_warm_up_are_the_same_by_either_path(spark, monkeypatch):
+    """The few frames of the warm-up are decoded alone; many go the way of all frames."""
+    from busguard.operators import baselines
+    params = REFERENCE_BUS.with_(warmup_samples=10, min_warmup_bus_frequency=1.0)
+    rows = [frame("0x110", {"rpm": 1000 + i, "raw_bytes": [i]}, T0 + (i // 2) * 100_000_000, sequence=i % 7) for i in range(40)]
+    feats = detect.staged_features(frames_df(spark, rows), params, F.lit(T0))
+    warm, art = detect.learn(feats, params)
+    want = baselines.warmup_set(feats.narrow, params).select("_ord").collect()
+    assert sorted(r["_ord"] for r in warm.collect()) == sorted(r["_ord"] for r in want) and len(want) == 10
+    few = detect.warmup_rows(feats, art)
+    assert "LeftSemi" in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(detect, "FEW_ROWS", 3)
+    many = detect.warmup_rows(feats, art)
+    assert "LeftSemi" not in many._jdf.queryExecution().optimizedPlan().toString()
+    cols = sorted(few.columns)
+    got = [sorted(map(str, x.select(*cols).collect())) for x in (few, many)]
+    whole = feats.wide.filter(baselines.detector_phase(baselines.FitPoint(art.fit_key)) == "warmup")
+    assert got[0] == got[1] == sorted(map(str, whole.select(*cols).collect())) and 10 <= len(got[0]) < 40
