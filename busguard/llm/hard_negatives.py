@@ -26,6 +26,7 @@ bits (an ArithmeticError says so else).
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -44,6 +45,7 @@ MOST_CENTROIDS = 256
 TURNS = 12
 FIRST_ROWS = 2048
 BLOCK = 4096
+VISITS = 8192  # rows of a batch of visits: an anchor may visit every cell
 LOW, HIGH = -(1 << 62), 1 << 62
 SEED = 5
 
@@ -168,16 +170,14 @@ def visits_of(shared, width: int, second: bool):
         for batch in batches:
             vectors = unpacked(batch.column("vec").to_pylist(), width) if batch.num_rows else []
             reached = batch.column("reached") if second else None
-            row, i, j = [], [], []
-            for r, vector in enumerate(vectors):
-                for cell in wanted_cells(shared.value, vector, batch.column("lows")[r].as_py(),
-                                         batch.column("highs")[r].as_py(), reached[r].as_py() if second else None):
-                    row.append(r)
-                    i.append(cell[0])
-                    j.append(cell[1])
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ASK), pa.array(i, pa.int32()),
-                                              pa.array(j, pa.int32())], [*ASK, "i", "j"])
+            cells = ((r, *cell) for r, vector in enumerate(vectors) for cell in wanted_cells(
+                shared.value, vector, batch.column("lows")[r].as_py(), batch.column("highs")[r].as_py(),
+                reached[r].as_py() if second else None))
+            while part := list(itertools.islice(cells, VISITS)):
+                row, i, j = np.array(part, dtype=np.int64).T
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ASK), pa.array(i.astype(np.int32)),
+                                                  pa.array(j.astype(np.int32))], [*ASK, "i", "j"])
     return run
 
 

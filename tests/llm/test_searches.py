@@ -164,3 +164,27 @@ def test_visits_are_in_order_and_certified():
         for bound, i, j, upper, lower in visits:
             scores = rows[(near[0] == i) & (near[1] == j)] @ anchor
             assert lower <= scores.min() and scores.max() <= upper <= bound + 2
+
+
+@pytest.mark.parametrize("second", [False, True])
+def test_visits_come_in_batches_of_bounded_size(monkeypatch, second):
+    """An ask may visit every cell: all visits of a batch of asks at once would not fit in memory."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(hard_negatives, "FIRST_ROWS", 0 if second else 1 << 40)
+    rng = np.random.default_rng(3)
+    books = rng.normal(size=(12, 2)) * 100, rng.normal(size=(12, 2)) * 100
+    cells = hard_negatives.Cells(*books, [(i, j, 1, 50.0, 50.0) for i in range(12) for j in range(12)])
+    vectors = rng.integers(-300, 300, size=(200, 4))
+    lows, highs = [[hard_negatives.LOW]] * 200, [[hard_negatives.HIGH]] * 200
+    asks = pa.RecordBatch.from_arrays(
+        [pa.array(range(200)), pa.array(range(200)), pa.array([1] * 200), pa.array(hard_negatives.packed(vectors), pa.binary()),
+         pa.array(lows, pa.list_(pa.int64())), pa.array(highs, pa.list_(pa.int64())), pa.array(lows, pa.list_(pa.int64()))],
+        [*hard_negatives.ASK, "reached"])
+    batches = list(hard_negatives.visits_of(SimpleNamespace(value=cells), 4, second)(iter([asks, asks.slice(0, 0)])))
+    got = [(r["key"], r["i"], r["j"]) for b in batches for r in b.select(["key", "i", "j"]).to_pylist()]
+    assert got == [(k, *at) for k, v in enumerate(vectors.astype(float)) for at in hard_negatives.wanted_cells(
+        cells, v, lows[k], highs[k], lows[k] if second else None)]
+    assert len(got) == 200 * 144 and max(b.num_rows for b in batches) <= 8192
