@@ -31,6 +31,7 @@ An empty table gives an empty result; other columns pass through.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
@@ -42,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from busguard.llm.common import col, give_back, stage_table, text_or_empty, tidy
+from busguard.llm.common import CREATED, col, drop_scratch, give_back, may_have, stage_table, text_or_empty, tidy
 from busguard.llm.words import in_batches, mix, shingle_sets
 from busguard.session import cut_lineage
 
@@ -51,6 +52,8 @@ BLOCK = 1024
 SKETCH_BITS = 1024
 SALTS = 32
 SLOTS = 1 << 16
+PASSES = 4  # over the keys, so that a shuffle holds a part of them; one for each PASS_ROWS keys at most
+PASS_ROWS = 1 << 22
 CHANCE = 0.1  # assumed chance that a shingle of one set is in another by accident; weighs costs, never decides links
 FORESTS = 2  # rounds of spanning forests before a block emits all it has left
 
@@ -335,41 +338,65 @@ class Plans(dict):
 
 def key_rows(keyed: DataFrame) -> DataFrame:
     """(key, node, is_own) of every key of every set."""
-    return keyed.select(F.explode("own").alias("key"), "node", F.lit(True).alias("is_own")).unionByName(
-        keyed.select(F.explode("below").alias("key"), "node", F.lit(False).alias("is_own")))
+    both = keyed.select("node", F.size("own").alias("n_own"), F.posexplode(F.concat("own", "below")).alias("at", "key"))
+    return both.select("key", "node", (F.col("at") < F.col("n_own")).alias("is_own"))
 
 
-def shared_keys(keyed: DataFrame) -> DataFrame:
+def slot_of(key: str) -> F.Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS))
+
+
+def full_slots(rows: DataFrame, key: str) -> tuple[list[int], int]:
+    """The classes of key hashes (of ``SLOTS``) with far more rows than most, and the number of all rows."""
+    counts = stage_table(rows.groupBy(slot_of(key).alias("slot")).count(), "jaccard-slots")
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    full = counts.filter(F.col("count") > 2 * total / SLOTS + 8 * BLOCK).select("slot").collect()
+    return [r["slot"] for r in full], total
+
+
+def one_of_each(keyed: DataFrame) -> DataFrame:
+    """One row of each node.  Rows whose node comes once stay where they are; a bitmap over nodes tells most of them."""
+    again = keyed.groupBy("node").count().filter("count > 1")
+    maybe = may_have(again, "node")(F.col("node"))
+    repeated = stage_table(keyed.filter(maybe).dropDuplicates(["node"]), "jaccard-repeated")
+    return keyed.filter(~maybe).unionByName(repeated)
+
+
+def shared_keys(keyed: DataFrame) -> Iterator[DataFrame]:
     """(key, node, n, who, lo, hi): the rows of keys that several sets hold, one of them in its own band, and what
-    tells the key's members: their number, least, greatest and the parity of their hashes.
+    tells the key's members: their number, least, greatest and the parity of their hashes; a table for each pass.
 
     Counts of key hashes in ``SLOTS`` classes (a bounded table) tell where a key may be frequent.  All other keys
     are taken together by one shuffle; those of full classes are counted first and joined, so that no task need
     hold all rows of a frequent key.
     """
-    slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS))
-    counts = key_rows(keyed).groupBy(slot.alias("slot")).count()  # copies included: an upper bound
-    rows = key_rows(keyed.dropDuplicates(["node"]))
-    mean = counts.agg(F.coalesce(F.sum("count"), F.lit(0)) / SLOTS).first()[0]
-    full = [r["slot"] for r in counts.filter(F.col("count") > 2 * mean + 8 * BLOCK).select("slot").collect()]
+    full, total = full_slots(key_rows(keyed), "key")  # copies included: an upper bound
+    passes = max(1, min(PASSES, -(-total // PASS_ROWS)))
+    once = key_rows(one_of_each(keyed))
     told = {"n": lambda: F.count(F.lit(1)), "who": lambda: F.expr("bit_xor(xxhash64(node))"),
             "lo": lambda: F.min("node"), "hi": lambda: F.max("node"), "has_own": lambda: F.max("is_own")}
     several = (F.col("lo") != F.col("hi")) & F.col("has_own")
     columns = ("key", "node", "n", "who", "lo", "hi")
-    of_key = Window.partitionBy("key")
-    out = (rows.filter(~slot.isin(full)) if full else rows).withColumns(
-        {name: made().over(of_key) for name, made in told.items()}).filter(several).select(*columns)
-    if full:
-        frequent = rows.filter(slot.isin(full))
-        counted = stage_table(frequent.groupBy("key").agg(*(made().alias(name) for name, made in told.items()))
-                              .filter(several).select("key", "n", "who", "lo", "hi"), "jaccard-frequent")
-        out = out.unionByName(frequent.select("key", "node").join(counted, "key").select(*columns))
-    return out
-
-
-def candidate_blocks(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(block, node, size, sketch): the members of every block to compare."""
-    members = stage_table(shared_keys(keyed.filter(F.size("own") > 0)), "jaccard-members")
+    of_key, slot = Window.partitionBy("key"), slot_of("key")
+    # a pass has the keys of some of the shuffle's partitions, where a set's keys lie together and pack well
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turn_of = F.floor(F.pmod(F.hash("key"), F.lit(parts)) * passes / parts)
+    for turn in range(passes):
+        rows = once.filter(turn_of == turn) if passes > 1 else once
+        out = (rows.filter(~slot.isin(full)) if full else rows).withColumns(
+            {name: made().over(of_key) for name, made in told.items()}).filter(several).select(*columns)
+        if full:
+            frequent = rows.filter(slot.isin(full))
+            counted = stage_table(frequent.groupBy("key").agg(*(made().alias(name) for name, made in told.items()))
+                                  .filter(several).select("key", "n", "who", "lo", "hi"), "jaccard-frequent")
+            out = out.unionByName(frequent.select("key", "node").join(counted, "key").select(*columns))
+        yield out
+
+
+def candidate_blocks(keyed: DataFrame) -> DataFrame:
+    """(block, node): the members of every block to compare."""
+    members = functools.reduce(DataFrame.unionByName, [
+        stage_table(rows, "jaccard-members") for rows in shared_keys(keyed.filter(F.size("own") > 0))])
     # buckets with the same members: one is enough
     buckets = members.groupBy("n", "who", "lo", "hi").agg(F.min("key").alias("key")).select("key")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -380,64 +407,43 @@ def candidate_blocks(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     members = members.select("key", "node", "part", F.explode(others).alias("other"))
     block = F.concat_ws(":", F.col("key").cast("string"), F.least("part", "other").cast("string"),
                         F.greatest("part", "other").cast("string"))
-    return members.select(block.alias("block"), "node").join(nodes, "node")
+    return members.select(block.alias("block"), "node")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
-    """(a, b, linked) with the exact Jaccard test on both sets."""
+def verified(pairs: DataFrame, docs: DataFrame, facts: DataFrame, k: int, similarity: Fraction) -> DataFrame:
+    """(a, b, linked) with the exact Jaccard test on both sets.  Texts travel, packed tighter than their hashes."""
     up, down = similarity.numerator, similarity.denominator
 
-    def one(x: bytes, y: bytes) -> bool:
-        x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-        both = np.concatenate([x, y])
-        both.sort()
-        common = int((both[1:] == both[:-1]).sum())
-        return down * common >= up * (len(both) - common)
-
     @F.pandas_udf("boolean")
     def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def one(x: str, y: str) -> bool:
+            both = np.concatenate(shingle_sets([x.encode(), y.encode()], k))
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            return down * common >= up * (len(both) - common)
+
         for left, right in batches:
             yield pd.Series([one(x, y) for x, y in zip(left, right)], dtype=bool)
         give_back()
 
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", linked("left", "right").alias("linked"))
-
-
-def needed_sets(docs: DataFrame, facts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, hashes) of the wanted nodes.  A bitmap of 2 MB over the ids' hashes keeps other texts off the shuffle."""
-    ids = facts.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
-    slots = 1 << 24
-    slot = F.pmod(F.xxhash64("row"), F.lit(slots)) + 1  # the bitmap functions count from 1
-    bits = np.zeros(slots // 8, dtype=np.uint8)
-    for r in (ids.select(slot.alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket"))
-              .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).collect()):
-        bits[(r["bucket"] - 1) * 4096:r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
-
-    @F.pandas_udf("boolean")
-    def maybe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = np.frombuffer(sent.value, dtype=np.uint8)
-        for at in batches:
-            place = at.to_numpy(np.int64) - 1
-            yield pd.Series((known[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool))
-        give_back()
-
-    @F.pandas_udf("binary")
-    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([s.tobytes() for part in in_batches(texts.tolist()) for s in shingle_sets(part, k)], dtype=object)
-        give_back()
-
-    rows = docs.filter(maybe(slot)).join(ids, "row").dropDuplicates(["node"])
-    return rows.select("node", hashes("text").alias("hashes"))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    rows = stage_table(facts.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")),
+                       "jaccard-wanted")
+    maybe = may_have(rows, "row")
+    texts = docs.filter(maybe(F.col("row"))).dropDuplicates(["row"])
+    for end in "ab":
+        pairs = pairs.join(rows.select(F.col("node").alias(end), F.col("row").alias(f"row_{end}")), end)
+    for end in "ab":
+        pairs = pairs.join(texts.select(F.col("row").alias(f"row_{end}"), F.col("text").alias(f"text_{end}")).hint("merge"),
+                           f"row_{end}")
+    return pairs.select("a", "b", linked("text_a", "text_b").alias("linked"))
 
 
 def similarity_components(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5,
                           similarity: float | Fraction = Fraction(8, 10)) -> DataFrame:
     """One row per row of ``docs``: its id, ``n_shingles`` (size of its set) and ``component_id`` (the smallest id
     reachable by links)."""
+    spark, begun = docs.sparkSession, len(CREATED)
     similarity = Fraction(similarity).limit_denominator(10_000)
     slack = (1 - similarity) / (1 + similarity)
     rate = (slack.numerator, slack.denominator)
@@ -459,21 +465,28 @@ def similarity_components(docs: DataFrame, id: str = "doc_id", text: str = "text
     facts = docs.select(col(docs, id).alias("id"), F.md5(body.cast("binary")).alias("row"), described(body).alias("f"))
     facts = stage_table(facts.select("id", "row", "f.*"), "jaccard-sets")
     sets = facts.filter("node is not null")
-    nodes = sets.select("node", "size", "sketch").dropDuplicates(["node"])
-    blocks = stage_table(candidate_blocks(sets.select("node", "own", "below"), nodes), "jaccard-blocks")
-    labels = linked_nodes(named, facts, blocks, k, similarity, rate)
-
-    member = facts.join(labels, "node", "left").select(
-        "id", "size", F.coalesce("label", "node").alias("label"))
+    blocks = stage_table(candidate_blocks(sets.select("node", "own", "below")), "jaccard-blocks")
+    nodes = stage_table(sets.select("node", "size", "sketch").dropDuplicates(["node"]), "jaccard-nodes")
+    facts = stage_table(facts.select("id", "row", "node", "size"), "jaccard-rows")
+    drop_scratch(spark, begun, keep=3)  # the keys are done with: most of the disk
+    labels = linked_nodes(named, facts, nodes, blocks, k, similarity, rate)
+
+    member = stage_table(facts.join(labels, "node", "left").select(
+        "id", "size", F.coalesce("label", "node").alias("label")), "jaccard-labels")
+    full, _ = full_slots(member, "label")
+    salts = F.when(slot_of("label").isin(full), F.lit(SALTS)).otherwise(F.lit(1)) if full else F.lit(1)
     least = member.filter("label is not null").groupBy("label").agg(F.min("id").alias("least"))
-    salted = least.select("label", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = member.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    return dealt.join(salted, ["label", "salt"], "left").select(
+    # a row for each salt of a label with very many rows; Spark sizes it by the rows before: not to be broadcast
+    salted = least.select("label", "least", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).hint("merge")
+    dealt = member.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
+    out = stage_table(dealt.join(salted, ["label", "salt"], "left").select(
         F.col("id").alias(id), F.col("size").alias("n_shingles"),
-        F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+        F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id")), "jaccard-result")
+    drop_scratch(spark, begun)
+    return out
 
 
-def linked_nodes(docs: DataFrame, facts: DataFrame, blocks: DataFrame, k: int, similarity: Fraction,
+def linked_nodes(docs: DataFrame, facts: DataFrame, nodes: DataFrame, blocks: DataFrame, k: int, similarity: Fraction,
                  rate: tuple[int, int]) -> DataFrame:
     """(node, label) of all nodes that link with another one."""
     spark = docs.sparkSession
@@ -484,8 +497,9 @@ def linked_nodes(docs: DataFrame, facts: DataFrame, blocks: DataFrame, k: int, s
     todo = blocks.withColumn("label", F.col("node"))
     for turn in itertools.count(1):
         none = F.lit(0).cast("long")  # no nulls: pandas would make floats of the 64-bit columns
-        rows = todo.select("block", F.lit(True).alias("member"), "node", "size", "sketch", "label", none.alias("a"),
-                           none.alias("b"))
+        # sketches pack badly, and blocks well: not to be broadcast by the size of their files
+        rows = todo.join(nodes.hint("merge"), "node").select(
+            "block", F.lit(True).alias("member"), "node", "size", "sketch", "label", none.alias("a"), none.alias("b"))
         if turn > 1:
             rows = rows.union(refuted.select("block", F.lit(False), none, none, F.lit(b""), none, "a", "b"))
         last = turn > FORESTS
@@ -495,9 +509,7 @@ def linked_nodes(docs: DataFrame, facts: DataFrame, blocks: DataFrame, k: int, s
         pairs = edges.select("a", "b").distinct()
         fresh = pairs.join(known, ["a", "b"], "left_anti") if turn > 1 else pairs
         fresh = stage_table(fresh, "jaccard-pairs")
-        wanted = fresh.select(F.col("a").alias("node")).union(fresh.select("b")).distinct()
-        sets = needed_sets(docs, facts, wanted, k)
-        judged = stage_table(verified(fresh, sets, similarity), "jaccard-verified")
+        judged = stage_table(verified(fresh, docs, facts, k, similarity), "jaccard-verified")
         if judged.count() != fresh.count():
             raise RuntimeError("a pair to verify has lost one of its texts")
         known = known.union(judged)
