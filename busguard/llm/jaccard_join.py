@@ -54,6 +54,7 @@ SALTS = 32
 SLOTS = 1 << 16
 PASSES = 4  # over the keys, so that a shuffle holds a part of them; one for each PASS_ROWS keys at most
 PASS_ROWS = 1 << 22
+TEXTS = 512  # most texts in a Python worker at once
 CHANCE = 0.1  # assumed chance that a shingle of one set is in another by accident; weighs costs, never decides links
 FORESTS = 2  # rounds of spanning forests before a block emits all it has left
 
@@ -463,7 +464,7 @@ def similarity_components(docs: DataFrame, id: str = "doc_id", text: str = "text
         give_back()
 
     facts = docs.select(col(docs, id).alias("id"), F.md5(body.cast("binary")).alias("row"), described(body).alias("f"))
-    facts = stage_table(facts.select("id", "row", "f.*"), "jaccard-sets")
+    facts = stage_table(facts.select("id", "row", "f.*"), "jaccard-sets", TEXTS)
     sets = facts.filter("node is not null")
     blocks = stage_table(candidate_blocks(sets.select("node", "own", "below")), "jaccard-blocks")
     nodes = stage_table(sets.select("node", "size", "sketch").dropDuplicates(["node"]), "jaccard-nodes")
@@ -509,7 +510,7 @@ def linked_nodes(docs: DataFrame, facts: DataFrame, nodes: DataFrame, blocks: Da
         pairs = edges.select("a", "b").distinct()
         fresh = pairs.join(known, ["a", "b"], "left_anti") if turn > 1 else pairs
         fresh = stage_table(fresh, "jaccard-pairs")
-        judged = stage_table(verified(fresh, docs, facts, k, similarity), "jaccard-verified")
+        judged = stage_table(verified(fresh, docs, facts, k, similarity), "jaccard-verified", TEXTS)
         if judged.count() != fresh.count():
             raise RuntimeError("a pair to verify has lost one of its texts")
         known = known.union(judged)

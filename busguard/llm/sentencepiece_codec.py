@@ -34,6 +34,7 @@ MEMO_CHUNKS = 200_000
 MEMO_CHARS = 256  # longer chunks are encoded each time
 SHORT = 48  # chunks up to this length are encoded many at a time, longer ones one by one with a heap
 CHARS_AT_ONCE = 1_000_000  # of the texts that are cut into chunks together
+ROWS = 512  # texts of a batch whose ids and decoded texts are held together
 NO_PAIR = 1 << 40
 MODEL = "piece_bpe_32k.model"
 
@@ -236,9 +237,10 @@ def encode_decode(docs: DataFrame, text: str = "text", model: str = MODEL, ids_a
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = Codec(model_path(model))
         for texts in batches:
-            ids = codec.encode(texts.tolist())
-            yield pd.DataFrame({"ids": ids, "n_tokens": [len(b) // 4 for b in ids],
-                                "decoded": [codec.decode(b) for b in ids]})
+            for begin in range(0, len(texts), ROWS):  # ids and decoded texts of a whole batch would be much memory
+                ids = codec.encode(texts.iloc[begin:begin + ROWS].tolist())
+                yield pd.DataFrame({"ids": ids, "n_tokens": [len(b) // 4 for b in ids],
+                                    "decoded": [codec.decode(b) for b in ids]})
         del codec
         give_back()
 
